@@ -1,0 +1 @@
+"""Empty on purpose: none of the supported operators works on a stream."""
