@@ -169,7 +169,7 @@ def bootstrap_difference(
     seed: int = 42,
     mode: str = "exact",
 ) -> DataFrame:
-    """One row: difference, ci_low, ci_high, excludes_zero (paired on the row draws)."""
+    """One row: metric, difference, ci_low, ci_high, excludes_zero (paired on the row draws)."""
     pair = scored.where(F.col("model").isin(model_a, model_b))
 
     def gap(table: DataFrame, keys: list[str]) -> DataFrame:
@@ -179,7 +179,7 @@ def bootstrap_difference(
 
     point = gap(ladder_metrics(score_ladder(pair, ["model"]), ["model"], [metric]), [])
     reps = gap(replicate_metrics(pair, ["model"], row_id, [metric], n_resamples, seed, mode), ["rep"])
-    bounds = interval(reps, [], alpha).select(
-        "ci_low", "ci_high", ((F.col("ci_low") > 0) | (F.col("ci_high") < 0)).alias("excludes_zero")
-    )
-    return point.select(F.col("value").alias("difference")).join(bounded(bounds, 1), F.lit(True))
+    bounds = interval(reps.withColumn("metric", F.lit(metric)), ["metric"], alpha)
+    both = point.select(F.lit(metric).alias("metric"), F.col("value").alias("difference")).join(bounded(bounds), "metric")
+    zero_out = (F.col("ci_low") > 0) | (F.col("ci_high") < 0)
+    return both.select("metric", "difference", "ci_low", "ci_high", zero_out.alias("excludes_zero"))

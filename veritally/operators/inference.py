@@ -141,7 +141,8 @@ def holm(
     Positions and the running maximum are carried over p-value buckets, so a
     family of any length is never sorted in one task.
     """
-    family = family or []
+    if not family:
+        return holm(tests.withColumn("_all", F.lit(0)), p, order_id, ["_all"], out, buckets).drop("_all")
     clean = tests.withColumn("_p", F.when(F.col(p).isNull() | F.isnan(p), F.lit(1.0)).otherwise(F.col(p).cast("double")))
     sizes = bounded(clean.groupBy(*family).agg(F.count(F.lit(1)).alias("_m")))
     if buckets is None:
@@ -152,7 +153,7 @@ def holm(
         clean = add_bucket(clean, "_p", balanced_edges(clean, "_p", buckets), "_pb")
         bucket = F.col("_pb")
     ranked = running(clean, family, bucket, ["_p", order_id], sums={"_rank": F.lit(1)})
-    ranked = ranked.join(sizes, family) if family else ranked.join(F.broadcast(sizes), F.lit(True))
+    ranked = ranked.join(sizes, family)
     step = (F.col("_m") - F.col("_rank") + 1) * F.col("_p")
     done = running(ranked.withColumn("_step", step), family, bucket, ["_p", order_id], maxes={out: F.col("_step")})
     return done.withColumn(out, F.least(F.lit(1.0), out)).drop("_p", "_pb", "_rank", "_m", "_step")

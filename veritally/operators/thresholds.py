@@ -18,6 +18,8 @@ def select_thresholds(
     specificity (highest score on ties, 1.0 if no score beats flagging nobody),
     fixed_sensitivity is the highest score that reaches the target.
     """
+    if not keys:
+        return select_thresholds(ladder.withColumn("_all", F.lit(0)), ["_all"], capacity, target_sensitivity).drop("_all")
     tp = F.col("pos_total") - F.col("pos_below")
     fp = F.col("neg_total") - F.col("neg_below")
     sens = F.try_divide(tp, F.greatest(F.col("pos_total"), F.lit(1)))
@@ -28,8 +30,7 @@ def select_thresholds(
         F.min("p").alias("_min"),
     )
     top = ladder_quantiles(ladder, keys, [1 - capacity], "_q")
-    both = points.join(bounded(top), keys) if keys else points.join(F.broadcast(top), F.lit(True))
-    return both.select(
+    return points.join(bounded(top), keys).select(
         *keys,
         F.col("_q")[0].alias("capacity"),
         F.when(F.col("_best.j") > 0, F.least(F.greatest(F.col("_best.p"), F.lit(0.0)), F.lit(1.0)))
