@@ -12,7 +12,7 @@ from veritally.operators.split import ColumnRoles
 from veritally.plans.hospital import MEDICATIONS
 from veritally.sources import encounters as enc
 from veritally.sources import tables as io
-from veritally.sources.manifest import RunManifest, counted
+from veritally.sources.manifest import RunManifest, written_rows
 from veritally.sources.model_store import load_model, save_model
 from veritally.sources.trials import TrialStore, unfinished
 
@@ -86,9 +86,8 @@ def manifest(spark, sf):
     path = scratch_path(spark, "manifest")
     log = RunManifest(spark, path, "run-1")
     for name in ("orders", "events"):
-        seen_df, seen = counted(table(spark, sf, name), name)
-        seen_df.groupBy().agg(F.count(F.lit(1))).collect()
-        log.record_rows(name, seen.get["n"])
+        out = io.write_parquet(table(spark, sf, name), scratch_path(spark, name))
+        log.record_rows(name, written_rows(spark, out))
     log.record_stage("loaded", tables=2)
     return log.read().select("run_id", "kind", "name", "payload")
 
