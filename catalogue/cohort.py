@@ -124,7 +124,7 @@ QUERIES["cohort_gates"] = gates
 ORACLES["cohort_gates"] = f"""with {FIRST}, s as (select count(*) as n, avg((o_orderpriority = '1-URGENT')::int) as prev,
     count(o_orderpriority) as labelled from first)
   select 'cohort_size' as name, n between 1 and 1000000000 as passed, true as fatal, 'n = ' || n as detail from s
-  union all select 'outcome_prevalence', prev between 0.1 and 0.2, true, 'prevalence = ' || round(prev, 6) from s
+  union all select 'outcome_prevalence', prev between 0.1 and 0.2, true, printf('prevalence = %.6f', prev) from s
   union all select 'outcome_partition', labelled = n, true, 'labelled = ' || labelled from s"""
 
 

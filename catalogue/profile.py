@@ -192,8 +192,7 @@ QUERIES["leakage_split_gate"] = split_gate
 ORACLES["leakage_split_gate"] = f"""with {SPLIT_CTE}, g as (select abs(avg(target) filter (where split = 'development')
     - avg(target) filter (where split = 'holdout')) as gap from split)
   select 'split_prevalence_match' as name, gap < 0.002 as passed, true as fatal,
-    'gap = ' || case when round(gap, 6) = 0 then '0.0' when round(gap, 6) < 0.001 then
-      regexp_replace(printf('%.1E', round(gap, 6)), 'E-0', 'E-') else round(gap, 6)::varchar end as detail from g"""
+    printf('gap = %.6f', gap) as detail from g"""
 
 
 def mean_prediction(spark, sf):

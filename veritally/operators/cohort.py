@@ -136,7 +136,7 @@ def cohort_gates(
         stats,
         [
             Gate("cohort_size", n.between(*n_range), F.concat(F.lit("n = "), n)),
-            Gate("outcome_prevalence", prev.between(*prevalence_range), F.concat(F.lit("prevalence = "), F.round(prev, 6))),
+            Gate("outcome_prevalence", prev.between(*prevalence_range), F.format_string("prevalence = %.6f", prev)),
             Gate("outcome_partition", F.col("labelled") == n, F.concat(F.lit("labelled = "), F.col("labelled"))),
         ],
     )

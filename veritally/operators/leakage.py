@@ -64,7 +64,7 @@ def split_gates(df: DataFrame, target: str, tolerance: float = 0.002) -> DataFra
     )
     gap = F.abs(F.col("dev") - F.col("hold"))
     return evaluate_gates(
-        stats, [Gate("split_prevalence_match", gap < tolerance, F.concat(F.lit("gap = "), F.round(gap, 6)))]
+        stats, [Gate("split_prevalence_match", gap < tolerance, F.format_string("gap = %.6f", gap))]
     )
 
 
@@ -83,5 +83,5 @@ def auroc_ceiling(metrics: DataFrame, ceiling: float = 0.75, fatal: bool = True)
     """An AUROC above the plausible ceiling points to leakage."""
     best = metrics.agg(F.max("auroc").alias("best"))
     return evaluate_gates(
-        best, [Gate("auroc_plausible", F.col("best") <= ceiling, F.concat(F.lit("best = "), F.round("best", 6)), fatal)]
+        best, [Gate("auroc_plausible", F.col("best") <= ceiling, F.format_string("best = %.6f", F.col("best")), fatal)]
     )

@@ -177,6 +177,19 @@ def fit_model(
     weight: str | None = None,
 ) -> RiskModel:
     """Encode and fit on the training rows. A listed feature that is absent raises."""
+    encoding, encoded, total = encode_training(key, train, roles, target, features, weight)
+    return RiskModel(key, encoding, make_estimator(key, params, total, seed, weighted=bool(weight)).fit(encoded))
+
+
+def encode_training(
+    key: str,
+    train: DataFrame,
+    roles: ColumnRoles,
+    target: str,
+    features: list[str] | None = None,
+    weight: str | None = None,
+) -> tuple[Encoding, DataFrame, float]:
+    """The fitted encoder, the encoded rows (features, label, weight) and their total weight."""
     used = roles.only(features) if features is not None else roles
     spec = MODELS[key]
     columns = [*used.features, target, *([weight] if weight else [])]
@@ -188,8 +201,7 @@ def fit_model(
         total = float(rows.count())
     encoding = fit_encoding(rows, used, scale=spec.linear, drop_first=spec.linear)
     encoded = drop_helpers(encoding.transform(rows)).select("features", "label", *(["weight"] if weight else []))
-    model = make_estimator(key, params, total, seed, weighted=bool(weight)).fit(encoded)
-    return RiskModel(key, encoding, model)
+    return encoding, encoded, total
 
 
 def score_models(models: list[RiskModel], df: DataFrame, keep: list[str]) -> DataFrame:
