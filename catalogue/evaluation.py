@@ -317,11 +317,32 @@ def draws(spark, sf):
     )
 
 
+PRIME = 2147483647
+
+
+def residues(seed: int, purpose: str, *keys: str) -> str:
+    """h1 and h2 of a row."""
+    parts = ", ".join([f"'{seed}'", f"'{purpose}'", *[f"({k})::varchar" for k in keys]])
+    digest = f"md5(concat_ws('-', {parts}))"
+    return ", ".join(f"('0x' || substring({digest}, {at}, 12))::bigint % {PRIME} as h{i}" for i, at in ((1, 1), (2, 13)))
+
+
+def coefficients(seed: int, purpose: str, prefix: str) -> str:
+    return ", ".join(f"{h(seed, purpose, f"'a{i}'", 'rep')} % {PRIME} as {prefix}{i}" for i in range(4))
+
+
+def polynomial(prefix: str) -> str:
+    c = [f"{prefix}{i}" for i in range(4)]
+    return f"((({c[2]} * h1 + {c[1]}) % {PRIME} * h1 + {c[0]}) % {PRIME} + ({c[3]} * h2) % {PRIME}) % {PRIME}"
+
+
 def draws_cte(reps: int, rows: str = "wide", stratum: str = "y", row_id: str = "row_id") -> str:
     return f"""pos_ix as (select {row_id}, {stratum} as s, row_number() over (partition by {stratum} order by {h(42, 'boot-index', row_id)}, {row_id}) as idx,
       count(*) over (partition by {stratum}) as n from {rows}),
     reps as (select unnest(range(1, {reps + 1})) as rep),
-    draws as (select s, {h(42, 'boot', 'rep', 's', 'idx')} % n + 1 as idx, rep from pos_ix cross join reps),
+    coefs as (select rep, {coefficients(42, 'boot-high', 'a')}, {coefficients(42, 'boot-low', 'b')} from reps),
+    hashed as (select s, n, {residues(42, 'boot', 's', 'idx')} from pos_ix),
+    draws as (select s, ({polynomial('a')} * 2147483648 + {polynomial('b')}) % n + 1 as idx, rep from hashed cross join coefs),
     drawn as (select p.{row_id}, d.rep, count(*) as times from draws d join pos_ix p on p.s = d.s and p.idx = d.idx group by p.{row_id}, d.rep)"""
 
 
@@ -373,11 +394,12 @@ def poisson_intervals(spark, sf):
     return rounded(bs.bootstrap_ci(scored_orders(spark, sf, ["pa", "pb"]), ["model"], n_resamples=REPS, mode="poisson"))
 
 
-POISSON = " ".join(f"when {{u}} < {c!r}::double then {k}" for k, c in enumerate(bs.poisson_cuts()))
+POISSON = " ".join(f"when v < {c!r}::double then {k}" for k, c in enumerate(bs.poisson_cuts()))
 QUERIES["bootstrap_intervals_poisson"] = poisson_intervals
 ORACLES["bootstrap_intervals_poisson"] = f"""with {orders_scored_cte(['pa', 'pb'])}, reps as (select unnest(range(1, {REPS + 1})) as rep),
-  pw as (select row_id, rep, {u(42, 'poisson', 'rep', 'row_id')} as v from wide cross join reps),
-  drawn as (select row_id, rep, case {POISSON.replace('{u}', 'v')} else {len(bs.poisson_cuts())} end as times from pw),
+  coefs as (select rep, {coefficients(42, 'poisson', 'a')} from reps), hashed as (select row_id, {residues(42, 'poisson', 'row_id')} from wide),
+  pw as (select row_id, rep, ({polynomial('a')}) / {PRIME}::double as v from hashed cross join coefs),
+  drawn as (select row_id, rep, case {POISSON} else {len(bs.poisson_cuts())} end as times from pw),
   hit as (select * from drawn where times > 0), {replicate_sql('scored', 'hit', 'model', ['auroc', 'auprc', 'brier'])}
   select model, metric, {CI_OUT} from est join ci using (model, metric)"""
 

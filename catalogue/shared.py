@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veritally.functions.hashing import key_uniform
 from veritally.operators.ladder import score_ladder
 
 
@@ -57,17 +56,22 @@ ORDER_MODELS = ["pa", "pb", "pc"]
 def scored_orders_wide(spark: SparkSession, sf: str) -> DataFrame:
     y = (F.col("o_orderpriority") == "1-URGENT").cast("int")
 
-    def draw(p: str):
-        return key_uniform(7, p, "o_orderkey")
+    digest = F.md5(F.concat_ws("-", F.lit("7"), F.lit("score"), F.col("o_orderkey").cast("string")))
+    rows = table(spark, sf, "orders").select("*", y.alias("y"), digest.alias("digest"))
 
-    return table(spark, sf, "orders").select(
+    def draw(start: int, length: int):
+        part = F.conv(F.substring("digest", start, length), 16, 10).cast("bigint")
+        return part / F.lit(float(16**length))
+
+    rows = rows.withColumns({"u1": draw(1, 12), "u2": draw(13, 12), "u3": draw(25, 8)})
+    return rows.select(
         F.col("o_orderkey").alias("row_id"),
-        y.alias("y"),
+        "y",
         F.col("o_orderstatus").alias("status"),
         F.year("o_orderdate").cast("string").alias("yr"),
-        (F.lit(0.05) + 0.5 * draw("pa") + 0.2 * y * draw("pa2")).alias("pa"),
-        (F.lit(0.05) + 0.4 * draw("pb") + 0.1 * y * draw("pb2")).alias("pb"),
-        (F.lit(0.1) + 0.2 * draw("pc")).alias("pc"),
+        (F.lit(0.05) + 0.5 * F.col("u1") + 0.2 * F.col("y") * F.col("u2")).alias("pa"),
+        (F.lit(0.05) + 0.4 * F.col("u2") + 0.1 * F.col("y") * F.col("u1")).alias("pb"),
+        (F.lit(0.1) + 0.2 * F.col("u3")).alias("pc"),
     )
 
 
@@ -81,12 +85,15 @@ def scored_orders(spark: SparkSession, sf: str, models: list[str] | None = None)
 
 
 def orders_wide_cte() -> str:
-    y = "(o_orderpriority = '1-URGENT')::int"
-    k = "o_orderkey"
-    return f"""wide as (select {k} as row_id, {y} as y, o_orderstatus as status, year(o_orderdate)::varchar as yr,
-      0.05::double + 0.5::double * {u(7, 'pa', k)} + 0.2::double * {y} * {u(7, 'pa2', k)} as pa,
-      0.05::double + 0.4::double * {u(7, 'pb', k)} + 0.1::double * {y} * {u(7, 'pb2', k)} as pb,
-      0.1::double + 0.2::double * {u(7, 'pc', k)} as pc from orders)"""
+    def draw(start: int, length: int) -> str:
+        digest = "md5(concat_ws('-', '7', 'score', o_orderkey::varchar))"
+        return f"('0x' || substring({digest}, {start}, {length}))::bigint::double / {16**length}::double"
+
+    return f"""drawn_scores as (select *, (o_orderpriority = '1-URGENT')::int as y, {draw(1, 12)} as u1, {draw(13, 12)} as u2, {draw(25, 8)} as u3 from orders),
+    wide as (select o_orderkey as row_id, y, o_orderstatus as status, year(o_orderdate)::varchar as yr,
+      0.05::double + 0.5::double * u1 + 0.2::double * y * u2 as pa,
+      0.05::double + 0.4::double * u2 + 0.1::double * y * u1 as pb,
+      0.1::double + 0.2::double * u3 as pc from drawn_scores)"""
 
 
 def orders_scored_cte(models: list[str] | None = None) -> str:

@@ -2,29 +2,49 @@
 
 ``exact`` draws n_y rows with replacement inside each outcome class and
 replicate. ``poisson`` gives every row an independent Poisson(1) weight per
-replicate: nothing is joined and weights fold into score cells before the
-shuffle, which is the mode for tables where replicates x rows is too much to
-send around. The two modes are never mixed.
+replicate; nothing is drawn across rows, so no replicate data is shuffled, which
+is the mode for very large tables. The two modes are never mixed.
+
+Replicate metrics never build one sorted table per replicate. Rows are cut into
+score blocks once; a block holds its rows times all replicates as one matrix and
+returns a few sums per replicate.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from veritally.functions.hashing import key_hash, key_uniform
-from veritally.operators.bounded import bounded, stored
+from veritally.functions.columns import EPS
+from veritally.functions.hashing import (
+    PRIME,
+    explode_replicates,
+    key_residues,
+    polynomial,
+    replicate_coefficients,
+)
+from veritally.operators.bounded import bounded, shuffle_partitions, stored
 from veritally.operators.discrimination import METRICS, ladder_metrics
-from veritally.operators.ladder import score_ladder
+from veritally.operators.ladder import add_bucket, balanced_edges, score_cells, score_ladder
 from veritally.operators.row_index import stratified_index
 
+# Rows x replicates handled at a time, rows per score block, and most blocks.
+MATRIX_CELLS = 4_000_000
+BLOCK_ROWS = 20_000
+MAX_BLOCKS = 16_384
+
+
+# --- draws -----------------------------------------------------------------------
+
 
-def poisson_cuts(mean: float = 1.0, bits: int = 48) -> list[float]:
-    """Cumulative Poisson probabilities up to the resolution of the hash stream."""
-    cuts, total, term = [], 0.0, math.exp(-mean)
-    k = 0
+def poisson_cuts(mean: float = 1.0, bits: int = 31) -> list[float]:
+    """Cumulative Poisson probabilities up to the resolution of the draws."""
+    cuts, total, term, k = [], 0.0, math.exp(-mean), 0
     while 1.0 - total > 2.0**-bits and k < 40:
         total += term
         cuts.append(total)
@@ -33,32 +53,23 @@ def poisson_cuts(mean: float = 1.0, bits: int = 48) -> list[float]:
     return cuts
 
 
-def poisson_count(uniform: Column) -> Column:
-    """Number of cumulative probabilities at or below the uniform draw."""
-    out = None
-    for k, cut in enumerate(poisson_cuts()):
-        out = F.when(uniform < cut, k) if out is None else out.when(uniform < cut, k)
-    return out.otherwise(len(poisson_cuts()))
-
-
 def _positions(rows: DataFrame, stratum: str, row_id: str, seed: int, stratified: bool) -> DataFrame:
     group = F.col(stratum) if stratified else F.lit(0)
     return stored(stratified_index(rows.select(row_id, group.alias("_s")), ["_s"], row_id, seed, "boot-index"))
 
 
-def _draw_counts(positions: DataFrame, n_resamples: int, seed: int) -> DataFrame:
-    """_s, idx, rep, times, already laid out by (_s, idx) for the join that follows.
-
-    Row j of a stratum also carries draw number j, so replicate r of a stratum of
-    n rows makes exactly n draws.
-    """
-    drawn = F.pmod(key_hash(seed, "boot", "rep", "_s", "idx"), F.col("stratum_n")) + 1
+def _draws(positions: DataFrame, n_resamples: int, seed: int) -> DataFrame:
+    """_s, idx, rep: one row per draw. Position j of a stratum of n rows also makes draw number j of every replicate."""
+    h1, h2 = key_residues(seed, "boot", "_s", "idx")
+    high = replicate_coefficients(seed, "boot-high", n_resamples)
+    low = replicate_coefficients(seed, "boot-low", n_resamples)
+    both = [{**a, **{f"b{k[1]}": b[k] for k in b if k != "rep"}} for a, b in zip(high, low)]
+    x = polynomial(F.col("h1"), F.col("h2"), {a: F.col(f"c.{a}") for a in ("a0", "a1", "a2", "a3")})
+    y = polynomial(F.col("h1"), F.col("h2"), {f"a{i}": F.col(f"c.b{i}") for i in range(4)})
     return (
-        positions.select("_s", "idx", "stratum_n", F.explode(F.sequence(F.lit(1), F.lit(n_resamples))).alias("rep"))
-        .select("_s", drawn.alias("idx"), "rep")
-        .repartition("_s", "idx")
-        .groupBy("_s", "idx", "rep")
-        .agg(F.count(F.lit(1)).alias("times"))
+        positions.select("_s", "stratum_n", h1.alias("h1"), h2.alias("h2"))
+        .select("*", explode_replicates(both, "c"))
+        .select("_s", ((x * 2**31 + y) % F.col("stratum_n") + 1).alias("idx"), F.col("c.rep").cast("int").alias("rep"))
     )
 
 
@@ -67,8 +78,13 @@ def bootstrap_draws(
 ) -> DataFrame:
     """row_id, rep, times: how often each row is drawn in each replicate (drawn rows only)."""
     positions = _positions(rows, stratum, row_id, seed, stratified)
-    draws = _draw_counts(positions, n_resamples, seed)
-    return draws.join(positions.select("_s", "idx", row_id), ["_s", "idx"]).select(row_id, "rep", "times")
+    counts = (
+        _draws(positions, n_resamples, seed)
+        .repartition("_s", "idx")
+        .groupBy("_s", "idx", "rep")
+        .agg(F.count(F.lit(1)).alias("times"))
+    )
+    return counts.join(positions.select("_s", "idx", row_id), ["_s", "idx"]).select(row_id, "rep", "times")
 
 
 def cluster_draws(rows: DataFrame, entity: str, n_resamples: int, seed: int = 42) -> DataFrame:
@@ -77,28 +93,85 @@ def cluster_draws(rows: DataFrame, entity: str, n_resamples: int, seed: int = 42
     return bootstrap_draws(entities, entity, entity, n_resamples, seed, stratified=False)
 
 
-def replicate_rows(
-    scored: DataFrame,
-    row_id: str,
-    n_resamples: int,
-    seed: int = 42,
-    mode: str = "exact",
-    stratified: bool = True,
-    stratum: str = "y",
+def _with_draws(
+    scored: DataFrame, row_id: str, n_resamples: int, seed: int, mode: str, stratified: bool, stratum: str
 ) -> DataFrame:
-    """The scored rows of every replicate with their weight ``times``.
+    """Scored rows with what their weights follow from: ``h1, h2`` or the comma list ``reps`` of drawn replicates.
 
+    Text and bytes reach Python workers as they are; arrays would be rebuilt row by row.
     All models of a row share its draws, so differences between models are paired.
     """
     if mode == "poisson":
-        rep = F.explode(F.sequence(F.lit(1), F.lit(n_resamples))).alias("rep")
-        times = poisson_count(key_uniform(seed, "poisson", "rep", row_id))
-        return scored.select("*", rep).withColumn("times", times).where(F.col("times") > 0)
+        h1, h2 = key_residues(seed, "poisson", row_id)
+        return scored.withColumns({"h1": h1, "h2": h2})
     if mode != "exact":
         raise ValueError(f"unknown bootstrap mode {mode!r}")
-    positions = _positions(scored.select(row_id, stratum).distinct(), stratum, row_id, seed, stratified)
-    placed = scored.join(positions.drop("stratum_n"), row_id)
-    return placed.join(_draw_counts(positions, n_resamples, seed), ["_s", "idx"]).drop("_s", "idx")
+    rows = stored(scored.select(row_id, stratum).distinct())
+    positions = _positions(rows, stratum, row_id, seed, stratified)
+    # A position is drawn about n_resamples times in all, so the list is short.
+    draws = _draws(positions, n_resamples, seed).repartition("_s", "idx")
+    listed = F.array_join(F.collect_list("rep").cast("array<string>"), ",")
+    lists = draws.groupBy("_s", "idx").agg(listed.alias("reps"))
+    drawn = positions.join(lists, ["_s", "idx"]).select(row_id, "reps")
+    return scored.join(drawn, row_id)
+
+
+# --- replicate sums over score blocks ------------------------------------------------
+
+
+class _Weights:
+    """Weight matrices (rows x some replicates) from the draw columns of rows."""
+
+    def __init__(self, mode: str, n_resamples: int, seed: int):
+        self.mode, self.n = mode, n_resamples
+        if mode == "poisson":
+            table = replicate_coefficients(seed, "poisson", n_resamples)
+            self.c = {k: np.array([r[k] for r in table], dtype="int64") for k in table[0] if k != "rep"}
+            self.cuts = np.array(poisson_cuts())
+
+    def chunks(self, rows: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(replicate numbers, matrix) pairs that stay below the cell limit."""
+        step = max(1, MATRIX_CELLS // max(1, len(rows)))
+        if self.mode == "poisson":
+            h1, h2 = (rows[c].fillna(0).to_numpy("int64")[:, None] for c in ("h1", "h2"))
+        else:
+            drawn = rows["reps"].notna().to_numpy()
+            lists = rows["reps"][drawn]
+            sizes = lists.str.count(",").to_numpy("int64") + 1
+            reps = np.fromstring(",".join(lists), dtype="int64", sep=",") - 1
+            at = np.repeat(np.flatnonzero(drawn), sizes)
+            order = np.argsort(reps, kind="stable")
+            reps, at = reps[order], at[order]
+        for low in range(0, self.n, step):
+            high = min(self.n, low + step)
+            if self.mode == "poisson":
+                c = {k: v[None, low:high] for k, v in self.c.items()}
+                x = polynomial(h1, h2, c) / float(PRIME)
+                matrix = np.searchsorted(self.cuts, x, side="right").astype("float64")
+            else:
+                a, b = np.searchsorted(reps, [low, high])
+                flat = np.bincount(at[a:b] * (high - low) + reps[a:b] - low, minlength=len(rows) * (high - low))
+                matrix = flat.reshape(len(rows), high - low).astype("float64")
+            yield np.arange(low, high), matrix
+
+
+def _block_cells(block: pd.DataFrame, weights: _Weights) -> Iterator[tuple]:
+    """(replicates, distinct scores, positive and negative weights per score and replicate)."""
+    block = block.sort_values("p", kind="stable")
+    p = block["p"].to_numpy("float64")
+    starts = np.flatnonzero(np.r_[True, p[1:] != p[:-1]])
+    y = block["y"].fillna(0).to_numpy("float64")[:, None]
+    folded = np.flatnonzero(block["pos"].notna().to_numpy())
+    ready = [(i, np.frombuffer(block["pos"].iloc[i]), np.frombuffer(block["neg"].iloc[i])) for i in folded]
+    for reps, w in weights.chunks(block):
+        pos, neg = w * y, w * (1.0 - y)
+        for i, a, b in ready:
+            pos[i], neg[i] = a[reps], b[reps]
+        yield reps, p[starts], np.add.reduceat(pos, starts, axis=0), np.add.reduceat(neg, starts, axis=0)
+
+
+def _ddl(df: DataFrame, columns: list[str]) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*columns).schema.fields)
 
 
 def replicate_metrics(
@@ -110,11 +183,128 @@ def replicate_metrics(
     seed: int = 42,
     mode: str = "exact",
     stratified: bool = True,
+    stratum: str = "y",
+    block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
-    """keys, rep and one column per metric."""
-    drawn = replicate_rows(scored, row_id, n_resamples, seed, mode, stratified)
-    ladder = score_ladder(drawn, [*keys, "rep"], weight=F.col("times"))
-    return ladder_metrics(ladder, [*keys, "rep"], metrics)
+    """keys, rep and one column per metric.
+
+    Scores that many rows share are folded in salted parts first, so a block
+    stays small whatever the distribution of scores.
+    """
+    weights = _Weights(mode, n_resamples, seed)
+    kinds = _ddl(scored, keys)
+    draw = ["h1", "h2"] if mode == "poisson" else ["reps"]
+    rows = _with_draws(
+        scored.withColumns({"p": F.col("p").cast("double"), "y": F.col("y").cast("int")}),
+        row_id, n_resamples, seed, mode, stratified, stratum,
+    ).select(*keys, row_id, "p", "y", *draw)
+
+    cells = stored(score_cells(scored, keys).select(*keys, "p", (F.col("pos") + F.col("neg")).alias("_rows")))
+    crowded = cells.where(F.col("_rows") > block_rows).withColumn("_parts", F.ceil(F.col("_rows") / block_rows))
+    edges = balanced_edges(cells, "p", min(MAX_BLOCKS, math.ceil(cells.count() / block_rows)))
+    crowded = bounded(crowded.drop("_rows"))
+
+    def fold(part: pd.DataFrame) -> pd.DataFrame:
+        found = list(_block_cells(part.assign(pos=None, neg=None), weights))
+        pos, neg = (np.concatenate([c[i][0] for c in found]) for i in (2, 3))
+        return part[keys].iloc[:1].assign(p=part["p"].iloc[0], pos=[pos.tobytes()], neg=[neg.tobytes()])
+
+    parts = (
+        rows.join(crowded, [*keys, "p"])
+        .withColumn("_part", F.pmod(F.xxhash64(row_id), F.col("_parts")))
+        .drop("_parts", row_id)
+        .groupBy(*keys, "p", "_part")
+        .applyInPandas(fold, f"{kinds}, p double, pos binary, neg binary")
+    )
+    none = F.lit(None).cast("binary")
+    plain = rows.join(crowded, [*keys, "p"], "left_anti").drop(row_id)
+    blank = [F.lit(None).cast(t).alias(c) for c, t in plain.select("y", *draw).dtypes]
+    blocks = add_bucket(
+        plain.withColumns({"pos": none, "neg": none}).unionByName(parts.select(*keys, "p", *blank, "pos", "neg")),
+        "p", edges, "block",
+    )
+    # An explicit count keeps the parts apart: blocks are few bytes but much work.
+    blocks = blocks.repartition(shuffle_partitions(scored), *keys, "block")
+    if "auprc" in metrics:
+        blocks = stored(blocks)
+
+    def sums(block: pd.DataFrame) -> pd.DataFrame:
+        parts = []
+        for reps, p, pos, neg in _block_cells(block, weights):
+            q = np.clip(p, EPS, 1 - EPS)
+            below = np.cumsum(neg, axis=0) - neg
+            parts.append(
+                pd.DataFrame(
+                    {
+                        "rep": (reps + 1).astype("int32"),
+                        "pos": pos.sum(0),
+                        "neg": neg.sum(0),
+                        "won": (pos * (below + neg / 2)).sum(0),
+                        "loss": -(np.log(q) @ pos + np.log(1 - q) @ neg),
+                        "square": ((1 - p) ** 2) @ pos + (p**2) @ neg,
+                        "total": p @ (pos + neg),
+                    }
+                )
+            )
+        return block[[*keys, "block"]].iloc[:1].merge(pd.concat(parts), how="cross")
+
+    names = ("pos", "neg", "won", "loss", "square", "total")
+    schema = f"{kinds}, block double, rep int, " + ", ".join(f"{c} double" for c in names)
+    per_block = blocks.groupBy(*keys, "block").applyInPandas(sums, schema)
+    group = [*keys, "rep"]
+    after = Window.partitionBy(*group).orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*group).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    placed = per_block.withColumn("_neg_below", F.coalesce(F.sum("neg").over(before), F.lit(0.0)))
+    if "auprc" in metrics:
+        placed = stored(
+            placed.withColumns(
+                {
+                    "_tp": F.coalesce(F.sum("pos").over(after), F.lit(0.0)),
+                    "_fp": F.coalesce(F.sum("neg").over(after), F.lit(0.0)),
+                }
+            )
+        )
+    size = F.sum("pos") + F.sum("neg")
+    pi = F.sum("pos") / size
+    formulas = {
+        "auroc": F.try_divide(F.sum(F.col("won") + F.col("pos") * F.col("_neg_below")), F.sum("pos") * F.sum("neg")),
+        "auprc_baseline": pi,
+        "log_loss": F.sum("loss") / size,
+        "brier": F.sum("square") / size,
+        "brier_scaled": 1 - F.try_divide(F.sum("square") / size, pi * (1 - pi)),
+        "mean_predicted_risk": F.sum("total") / size,
+    }
+    table = placed.groupBy(*group).agg(
+        *[formulas[m].alias(m) for m in metrics if m != "auprc"], F.sum("pos").alias("_pos_total")
+    )
+    if "auprc" in metrics:
+        ahead = placed.groupBy(*keys, "block").agg(
+            F.array_sort(F.collect_list(F.struct("rep", "_tp", "_fp"))).alias("ahead")
+        ).select(*keys, "block", F.col("ahead._tp").alias("tp"), F.col("ahead._fp").alias("fp"))
+
+        def precision(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+            if left.empty or right.empty:
+                return pd.DataFrame({**{k: [] for k in keys}, "rep": [], "gain": []})
+            above_tp, above_fp = (np.asarray(right[c].iloc[0]) for c in ("tp", "fp"))
+            parts = []
+            for reps, _, pos, neg in _block_cells(left, weights):
+                tp = np.cumsum(pos[::-1], axis=0)[::-1] + above_tp[reps]
+                fp = np.cumsum(neg[::-1], axis=0)[::-1] + above_fp[reps]
+                gain = np.divide(pos * tp, tp + fp, out=np.zeros_like(tp), where=tp + fp > 0).sum(0)
+                parts.append(pd.DataFrame({"rep": (reps + 1).astype("int32"), "gain": gain}))
+            return left[keys].iloc[:1].merge(pd.concat(parts), how="cross")
+
+        gains = (
+            blocks.groupBy(*keys, "block")
+            .cogroup(ahead.groupBy(*keys, "block"))
+            .applyInPandas(precision, f"{kinds}, rep int, gain double")
+        )
+        gains = gains.groupBy(*group).agg(F.sum("gain").alias("_gain"))
+        table = table.join(gains, group).withColumn("auprc", F.try_divide(F.col("_gain"), F.col("_pos_total")))
+    return table.select(*group, *metrics)
+
+
+# --- intervals -------------------------------------------------------------------------
 
 
 def long_metrics(table: DataFrame, keys: list[str], metrics: list[str]) -> DataFrame:
