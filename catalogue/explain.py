@@ -207,10 +207,12 @@ def missing_arms(spark, sf):
 
 
 QUERIES["sensitivity_missing_data_arms"] = missing_arms
-ORACLES["sensitivity_missing_data_arms"] = f"""with {SPLIT_CTE} select 'explicit_category' as arm, sum((split = 'development')::int)::bigint as n_development,
-    sum((split = 'holdout')::int)::bigint as n_holdout, sum((split = 'holdout')::int)::bigint as scored from split
-  union all select 'complete_case', sum((split = 'development')::int)::bigint, sum((split = 'holdout')::int)::bigint,
-    sum((split = 'holdout')::int)::bigint from split where o_orderkey % 3 <> 0"""
+ORACLES["sensitivity_missing_data_arms"] = f"""with {SPLIT_CTE},
+  arms as (select 'explicit_category' as arm, split, target from split
+    union all select 'complete_case', split, target from split where o_orderkey % 3 <> 0),
+  n as (select arm, sum((split = 'development')::int)::bigint as n_development, sum((split = 'holdout')::int)::bigint as n_holdout,
+    count(distinct target) filter (where split = 'holdout') as classes from arms group by arm)
+  select arm, n_development, n_holdout, n_holdout as scored from n where n_holdout >= 200 and classes = 2"""
 
 
 def arm_metrics(spark, sf):

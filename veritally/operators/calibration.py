@@ -28,16 +28,19 @@ def logistic_fits(
     pos: Column | None = None,
     neg: Column | None = None,
     steps: int = 25,
-    tolerance: float = 1e-11,
+    tolerance: float = 1e-6,
+    start: tuple[float, float] = (0.0, 0.0),
 ) -> DataFrame:
     """Newton fits for all key groups at once: keys, intercept, slope, offset_intercept.
 
     ``intercept`` and ``slope`` belong to logit(y) ~ a + b x, ``offset_intercept``
     to logit(y) ~ c + x with c kept in [-10, 10]. Every step is one grouped sum;
-    only a few coefficients per group travel. Groups with one class give nulls.
+    only a few coefficients per group travel. Convergence is quadratic, so once a
+    step is shorter than the tolerance the error is far below it. Groups with one
+    class give nulls.
     """
     if not keys:
-        fits = logistic_fits(cells.withColumn("_all", F.lit(0)), ["_all"], x, pos, neg, steps, tolerance)
+        fits = logistic_fits(cells.withColumn("_all", F.lit(0)), ["_all"], x, pos, neg, steps, tolerance, start)
         return fits.drop("_all")
     data = stored(
         cells.select(
@@ -51,7 +54,7 @@ def logistic_fits(
         data.groupBy(*keys)
         .agg(F.sum("_pos").alias("_p"), F.sum("_neg").alias("_q"))
         .where((F.col("_p") > 0) & (F.col("_q") > 0))
-        .select(*keys, *[F.lit(0.0).alias(c) for c in ("a", "b", "c")])
+        .select(*keys, F.lit(start[0]).alias("a"), F.lit(start[1]).alias("b"), F.lit(0.0).alias("c"))
     )
     n = F.col("_pos") + F.col("_neg")
     q = sigmoid(F.col("a") + F.col("b") * F.col("_x"))
@@ -93,7 +96,8 @@ def logistic_fits(
 
 def calibration_fits(cells: DataFrame, keys: list[str]) -> DataFrame:
     """keys, calibration_slope, calibration_intercept (in the large)."""
-    fits = logistic_fits(cells, keys, logit(F.col("p")))
+    # A perfectly calibrated score has intercept 0 and slope 1: start there.
+    fits = logistic_fits(cells, keys, logit(F.col("p")), start=(0.0, 1.0))
     return fits.select(
         *keys, F.col("slope").alias("calibration_slope"), F.col("offset_intercept").alias("calibration_intercept")
     )
