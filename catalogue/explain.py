@@ -10,6 +10,7 @@ from catalogue.shared import h, ladder_cte, metrics_sql, rounded, scored_orders,
 from catalogue.sources import COEFS, LINEAR_SHAP_CTE, SLOTS
 from veritally.operators import explain as ex
 from veritally.operators import sensitivity as se
+from veritally.operators.bounded import stored
 from veritally.operators.encoding import drop_helpers, parent_features
 from veritally.operators.models import fit_model
 
@@ -165,9 +166,8 @@ ORACLES["explain_top_features"] = f"with {RANK_CTE} select * from compared order
 
 
 def _arm_split(spark, sf):
-    s = split_orders(spark, sf).withColumn(
-        "o_orderstatus", F.when(F.col("o_orderkey") % 3 == 0, "Unknown").otherwise(F.col("o_orderstatus"))
-    )
+    status = F.when(F.col("o_orderkey") % 3 == 0, "Unknown").otherwise(F.col("o_orderstatus"))
+    s = stored(split_orders(spark, sf).withColumn("o_orderstatus", status))
     return s.where("split = 'development'"), s.where("split = 'holdout'")
 
 

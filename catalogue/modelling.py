@@ -11,7 +11,7 @@ from catalogue.shared import LINES_CTE, ladder_cte, metrics_sql, orders_scored_c
 from catalogue.sources import customer_encounters
 from veritally.operators import models as mo
 from veritally.operators import tuning as tu
-from veritally.operators.bounded import scratch_path
+from veritally.operators.bounded import scratch_path, stored
 from veritally.operators.discrimination import ladder_metrics
 from veritally.operators.imputation import impute_level
 from veritally.operators.ladder import score_ladder
@@ -36,7 +36,7 @@ ROLES = ColumnRoles(["o_totalprice", "o_custkey"], ["o_orderstatus"], {"o_totalp
 
 def split_model(key: str):
     def run(spark, sf):
-        s = split_orders(spark, sf)
+        s = stored(split_orders(spark, sf))
         model = mo.fit_model(key, s.where("split = 'development'"), ROLES, "target", SMALL[key])
         scored = model.score(s, ["o_orderkey", "split", F.col("target").alias("y")])
         return rounded(ladder_metrics(score_ladder(scored, ["model", "split"]), ["model", "split"]))
@@ -101,7 +101,7 @@ for _key, _space in mo.SPACES.items():
 def search(spark, sf):
     """Two trials of a small search, then one more after a restart."""
     store = TrialStore(spark, scratch_path(spark, "trials"))
-    dev = split_orders(spark, sf).where("split = 'development'")
+    dev = stored(split_orders(spark, sf)).where("split = 'development'")
     tu.tune_model("penalised_lr", dev, ROLES, "target", "o_orderkey", store, n_trials=1, k=2, fixed={"max_iter": 20})
     tu.tune_model("parsimonious_lr", dev, ROLES, "target", "o_orderkey", store, k=2)
     trials = tu.tune_model("penalised_lr", dev, ROLES, "target", "o_orderkey", store, n_trials=2, k=2, fixed={"max_iter": 20})
@@ -224,7 +224,7 @@ ORACLES["recalibration_platt"] = f"""with recursive {orders_scored_cte()},
 
 def recalibrated(method: str):
     def run(spark, sf):
-        s = split_orders(spark, sf)
+        s = stored(split_orders(spark, sf))
         dev, hold = s.where("split = 'development'"), s.where("split = 'holdout'")
         scored = calibrated_scores("parsimonious_lr", dev, hold, ROLES, "target", "o_orderkey", method=method, k=3)
         return rounded(ladder_metrics(score_ladder(scored, ["model"]), ["model"]))

@@ -213,13 +213,12 @@ def integrated_calibration_index(
     segments = F.broadcast(ladder.sparkSession.createDataFrame(where))
     n = (F.col("pos") + F.col("neg")).cast("double")
     t = (F.col("p") - (F.col("low") + F.col("high")) / 2) / (F.col("high") - F.col("low"))
-    tk = [F.lit(1.0)]
-    for _ in range(1, MOMENTS):
-        tk.append(tk[-1] * F.col("_t"))
+    powered = placed.join(segments, "seg").withColumn("_t1", t)
+    for k in range(2, MOMENTS):
+        powered = powered.withColumn(f"_t{k}", F.col(f"_t{k - 1}") * F.col("_t1"))
+    tk = [F.lit(1.0), *[F.col(f"_t{k}") for k in range(1, MOMENTS)]]
     moments = (
-        placed.join(segments, "seg")
-        .withColumn("_t", t)
-        .groupBy(*keys, "seg", "low", "high")
+        powered.groupBy(*keys, "seg", "low", "high")
         .agg(
             F.array(*[F.sum(n * x) for x in tk]).alias("m"),
             F.array(*[F.sum(F.col("pos") * x) for x in tk]).alias("my"),
@@ -282,13 +281,13 @@ def _local_lines(at: np.ndarray, width: np.ndarray, seg: pd.DataFrame) -> np.nda
         inside = (low >= a - h) & (high <= a + h)
         alpha, delta = (span / h)[inside], ((mid - a) / h)[inside]
         side = np.where(mid[inside] < a, -1.0, 1.0)
+        ones = np.ones_like(alpha)
+        scale = np.cumprod([ones, *[alpha] * (MOMENTS - 1)], axis=0)
+        shift = np.cumprod([ones, *[delta] * (MOMENTS - 1)], axis=0)
 
         def powers(mom):
-            raw = mom[inside]
-            out = []
-            for k in range(MOMENTS):
-                out.append(sum(binom[k][i] * alpha**i * delta ** (k - i) * raw[:, i] for i in range(k + 1)))
-            return out
+            part = scale * mom[inside].T
+            return [sum(binom[k][i] * part[i] * shift[k - i] for i in range(k + 1)) for k in range(MOMENTS)]
 
         u, uy = powers(m), powers(my)
 
