@@ -381,6 +381,21 @@ ORACLES["bootstrap_intervals_exact"] = f"""with {orders_scored_cte(['pa', 'pb'])
   select model, metric, {CI_OUT} from est join ci using (model, metric)"""
 
 
+def custom_intervals(spark, sf):
+    gap = {"mean_score_gap": lambda: F.sum(F.col("pos") * F.col("p")) / F.sum("pos") - F.sum(F.col("neg") * F.col("p")) / F.sum("neg")}
+    return rounded(bs.bootstrap_ci(scored_orders(spark, sf, ["pa"]), ["model"], metrics=gap, n_resamples=10))
+
+
+QUERIES["bootstrap_custom_metric"] = custom_intervals
+ORACLES["bootstrap_custom_metric"] = f"""with {orders_scored_cte(['pa'])}, {draws_cte(10)},
+  r as (select rep, sum(times * y * p) / sum(times * y) - sum(times * (1 - y) * p) / sum(times * (1 - y)) as value
+    from scored join drawn using (row_id) group by rep),
+  e as (select sum(y * p) / sum(y) - sum((1 - y) * p) / sum(1 - y) as estimate from scored),
+  ci as (select quantile_cont(value, 0.025) as ci_low, quantile_cont(value, 0.975) as ci_high, stddev_samp(value) as se, count(*) as n_resamples from r)
+  select 'pa' as model, 'mean_score_gap' as metric, round(estimate, 6) as estimate, round(ci_low, 6) as ci_low, round(ci_high, 6) as ci_high,
+    round(se, 6) as se, n_resamples from e, ci"""
+
+
 def plain_intervals(spark, sf):
     return rounded(bs.bootstrap_ci(scored_orders(spark, sf, ["pa"]), ["model"], metrics=["auroc"], n_resamples=20, stratified=False))
 

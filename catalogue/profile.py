@@ -9,8 +9,10 @@ from catalogue.sampling import SPLIT_CTE, split_orders
 from catalogue.shared import ladder_cte, metrics_sql, order_ladder, orders_scored_cte, rounded, scored_orders, table
 from veritally.operators import leakage as lk
 from veritally.operators import profile as pr
+from veritally.operators.bounded import scratch_path
 from veritally.operators.discrimination import ladder_metrics
 from veritally.plans import hospital
+from veritally.sources.manifest import RunManifest, written_rows
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -212,3 +214,18 @@ def ceiling(spark, sf):
 QUERIES["leakage_auroc_ceiling"] = ceiling
 ORACLES["leakage_auroc_ceiling"] = f"""with {orders_scored_cte()}, {ladder_cte(['model'])}, m as (select model, {metrics_sql(['auroc'])} from ladder group by model)
   select 'auroc_plausible' as name, max(auroc) <= 0.75 as passed, false as fatal from m"""
+
+
+def recorded(spark, sf):
+    log = RunManifest(spark, scratch_path(spark, "manifest"), "run-2")
+    for name in ("orders", "part"):
+        log.record_rows(name, written_rows(spark, f"{sf}/{name}.parquet"))
+    return lk.recorded_gates(log.read(), {"orders": "rows", "part": "rows", "thresholds": "stage"}, fatal=False)
+
+
+QUERIES["leakage_recorded_artifacts"] = recorded
+ORACLES["leakage_recorded_artifacts"] = """with m(name) as (select 'orders' from (select count(*) as n from orders) where n > 0
+    union all select 'part' from (select count(*) as n from part) where n > 0),
+  r(name, kind) as (values ('orders', 'rows'), ('part', 'rows'), ('thresholds', 'stage')),
+  c as (select r.name, r.kind, count(m.name) as n from r left join m using (name) group by r.name, r.kind)
+  select 'recorded_' || name as name, n > 0 as passed, false as fatal, kind || ' ' || name || ': ' || n as detail from c"""

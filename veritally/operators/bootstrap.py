@@ -13,11 +13,11 @@ returns a few sums per replicate.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veritally.functions.columns import EPS
@@ -326,19 +326,36 @@ def interval(replicates: DataFrame, keys: list[str], alpha: float = 0.05) -> Dat
     )
 
 
+def _custom_metrics(ladder: DataFrame, keys: list[str], metrics: dict[str, Callable[[], Column]]) -> DataFrame:
+    table = ladder.groupBy(*keys).agg(*[make().alias(name) for name, make in metrics.items()])
+    return long_metrics(table, keys, list(metrics))
+
+
 def bootstrap_ci(
     scored: DataFrame,
     keys: list[str],
     row_id: str = "row_id",
-    metrics: list[str] | None = None,
+    metrics: list[str] | dict[str, Callable[[], Column]] | None = None,
     n_resamples: int = 2000,
     alpha: float = 0.05,
     seed: int = 42,
     mode: str = "exact",
     stratified: bool = True,
 ) -> DataFrame:
-    """keys, metric, estimate, ci_low, ci_high, se, n_resamples."""
+    """keys, metric, estimate, ci_low, ci_high, se, n_resamples.
+
+    ``metrics`` names built-in metrics, or maps names to functions that return an
+    aggregate over ladder rows (see ``discrimination``). The latter need one ladder
+    per replicate and support exact draws only.
+    """
     metrics = metrics or ["auroc", "auprc", "brier"]
+    if isinstance(metrics, dict):
+        point = _custom_metrics(score_ladder(scored, keys), keys, metrics)
+        draws = bootstrap_draws(scored.select(row_id, "y").distinct(), "y", row_id, n_resamples, seed, stratified)
+        ladder = score_ladder(scored.join(draws, row_id), [*keys, "rep"], weight=F.col("times"))
+        reps = _custom_metrics(ladder, [*keys, "rep"], metrics)
+        bounds = interval(reps, [*keys, "metric"], alpha)
+        return point.withColumnRenamed("value", "estimate").join(bounded(bounds), [*keys, "metric"], "left")
     unknown = [m for m in metrics if m not in METRICS]
     if unknown:
         raise KeyError(f"unknown metrics: {unknown}")

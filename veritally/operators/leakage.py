@@ -85,3 +85,17 @@ def auroc_ceiling(metrics: DataFrame, ceiling: float = 0.75, fatal: bool = True)
     return evaluate_gates(
         best, [Gate("auroc_plausible", F.col("best") <= ceiling, F.format_string("best = %.6f", F.col("best")), fatal)]
     )
+
+
+def recorded_gates(manifest: DataFrame, required: dict[str, str], fatal: bool = True) -> DataFrame:
+    """One gate per required manifest record (name to kind): what a run claims must have been written.
+
+    Use it to require, say, the development scores behind the thresholds and the
+    fitted encoders of all models.
+    """
+    seen = [F.count_if((F.col("name") == n) & (F.col("kind") == k)).alias(f"n{i}") for i, (n, k) in enumerate(required.items())]
+    gates = [
+        Gate(f"recorded_{n}", F.col(f"n{i}") > 0, F.format_string(f"{k} {n}: %d", F.col(f"n{i}")), fatal)
+        for i, (n, k) in enumerate(required.items())
+    ]
+    return evaluate_gates(manifest.agg(*seen), gates)
