@@ -107,6 +107,18 @@ def test_replicates_equal_weighted_ladders(skewed, mode, monkeypatch):
     assert rows_of(fast) == rows_of(slow.select(fast.columns))
 
 
+def test_half_crowded_scores_do_not_share_one_block(spark, monkeypatch):
+    """Many scores just below the crowding limit must spread over many blocks."""
+    rows = spark.range(4000).select(
+        F.col("id").alias("row_id"), F.lit("m").alias("model"), (F.col("id") % 3 == 0).cast("int").alias("y"), (F.col("id") % 50 / 50).alias("p")
+    )
+    seen = []
+    plain = bs.add_bucket
+    monkeypatch.setattr(bs, "add_bucket", lambda df, c, edges, out: seen.append(len(edges)) or plain(df, c, edges, out))
+    bs.replicate_metrics(rows, ["model"], "row_id", ["auroc"], 3, mode="poisson", block_rows=100).collect()
+    assert seen[0] >= 35
+
+
 def test_poisson_weights_have_mean_and_variance_one(spark):
     rows = spark.range(20000).select(F.col("id").alias("row_id"), F.lit(1).alias("y"))
     pdf = bs._with_draws(rows, "row_id", 50, 3, "poisson", True, "y").toPandas()

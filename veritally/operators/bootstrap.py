@@ -201,7 +201,9 @@ def replicate_metrics(
 
     cells = stored(score_cells(scored, keys).select(*keys, "p", (F.col("pos") + F.col("neg")).alias("_rows")))
     crowded = cells.where(F.col("_rows") > block_rows).withColumn("_parts", F.ceil(F.col("_rows") / block_rows))
-    edges = balanced_edges(cells, "p", min(MAX_BLOCKS, math.ceil(cells.count() / block_rows)))
+    # Blocks are balanced by rows, not by distinct scores: half-crowded scores add up.
+    total = cells.agg(F.sum("_rows").alias("n")).first()["n"] or 0
+    edges = balanced_edges(scored.select(F.col("p").cast("double").alias("p")), "p", min(MAX_BLOCKS, math.ceil(total / block_rows)))
     crowded = bounded(crowded.drop("_rows"))
 
     def fold(part: pd.DataFrame) -> pd.DataFrame:
@@ -209,20 +211,22 @@ def replicate_metrics(
         pos, neg = (np.concatenate([c[i][0] for c in found]) for i in (2, 3))
         return part[keys].iloc[:1].assign(p=part["p"].iloc[0], pos=[pos.tobytes()], neg=[neg.tobytes()])
 
-    parts = (
-        rows.join(crowded, [*keys, "p"])
-        .withColumn("_part", F.pmod(F.xxhash64(row_id), F.col("_parts")))
-        .drop("_parts", row_id)
-        .groupBy(*keys, "p", "_part")
-        .applyInPandas(fold, f"{kinds}, p double, pos binary, neg binary")
-    )
     none = F.lit(None).cast("binary")
-    plain = rows.join(crowded, [*keys, "p"], "left_anti").drop(row_id)
-    blank = [F.lit(None).cast(t).alias(c) for c, t in plain.select("y", *draw).dtypes]
-    blocks = add_bucket(
-        plain.withColumns({"pos": none, "neg": none}).unionByName(parts.select(*keys, "p", *blank, "pos", "neg")),
-        "p", edges, "block",
-    )
+    if crowded.isEmpty():
+        cold = rows.drop(row_id).withColumns({"pos": none, "neg": none})
+    else:
+        rows = stored(rows)
+        parts = (
+            rows.join(crowded, [*keys, "p"])
+            .withColumn("_part", F.pmod(F.xxhash64(row_id), F.col("_parts")))
+            .drop("_parts", row_id)
+            .groupBy(*keys, "p", "_part")
+            .applyInPandas(fold, f"{kinds}, p double, pos binary, neg binary")
+        )
+        plain = rows.join(crowded, [*keys, "p"], "left_anti").drop(row_id)
+        blank = [F.lit(None).cast(t).alias(c) for c, t in plain.select("y", *draw).dtypes]
+        cold = plain.withColumns({"pos": none, "neg": none}).unionByName(parts.select(*keys, "p", *blank, "pos", "neg"))
+    blocks = add_bucket(cold, "p", edges, "block")
     # An explicit count keeps the parts apart: blocks are few bytes but much work.
     blocks = blocks.repartition(shuffle_partitions(scored), *keys, "block")
     if "auprc" in metrics:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, field
 
+from pyspark import StorageLevel
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.functions import vector_to_array
@@ -178,7 +179,13 @@ def fit_model(
 ) -> RiskModel:
     """Encode and fit on the training rows. A listed feature that is absent raises."""
     encoding, encoded, total = encode_training(key, train, roles, target, features, weight)
-    return RiskModel(key, encoding, make_estimator(key, params, total, seed, weighted=bool(weight)).fit(encoded))
+    estimator = make_estimator(key, params, total, seed, weighted=bool(weight))
+    # Learners pass over their input many times: keep it encoded for the length of the fit.
+    encoded.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return RiskModel(key, encoding, estimator.fit(encoded))
+    finally:
+        encoded.unpersist()
 
 
 def encode_training(
