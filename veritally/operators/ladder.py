@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from veritally.operators.bounded import bounded, stored
 
 MAX_BUCKETS = 4096
-BUCKET_ROWS = 250_000
+BUCKET_ROWS = 1_000_000
 
 
 def balanced_edges(df: DataFrame, column: str, buckets: int) -> list[float]:
