@@ -42,7 +42,7 @@ RULES = (
     Rule("too_few_words", "n_words", least=50),
     Rule("repeated_windows", "repeat_ratio", most=0.5),
     Rule("odd_word_length", "mean_word_chars", least=2, most=20),
-    Rule("symbols", "symbols_per_word", most=1.0),
+    Rule("symbols", "symbols_per_word", most=0.1),
     Rule("repeated_lines", "dup_line_ratio", most=0.5),
     Rule("bullet_lines", "bullet_line_ratio", most=0.9),
     Rule("ellipsis_lines", "ellipsis_line_ratio", most=0.5),
