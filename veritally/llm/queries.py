@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veritally.llm import quality
+from veritally.llm import minhash, quality
 from veritally.llm.common import table
 
 
@@ -21,8 +21,13 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), settings=minhash.Settings(similar=85))
+
+
 QUERIES = {
     "op7_quality": op7_quality,
+    "op10_minhash": op10_minhash,
 }
 
 ORACLES: dict[str, str] = {}
