@@ -34,7 +34,7 @@ from veritally.llm.words import pieces, utf8
 
 SUFFIX = "</w>"
 END = 0x0400  # added to a symbol's code point when it ends a word; byte symbols lie below
-CACHED_WORDS = 300_000
+CACHED_WORDS = 500_000
 PRINTABLE = re.compile(rb"[!-~]+").fullmatch
 # Fixed value: the word pattern of the vocabulary file, for lower-case ASCII. The byte alphabet shows printable ASCII as itself.
 ASCII_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+").findall
@@ -69,6 +69,7 @@ class Encoder:
         self.piece_text: dict[str, bytes] = {}
         self.ids: dict[bytes, bytes] = {}
         self.decoded: dict[bytes, bytes] = {}
+        self.older: tuple[dict[bytes, bytes], dict[bytes, bytes]] = {}, {}
 
     def fragment(self, marked_words: str) -> str:
         """Cuts at every byte pair that no vocabulary token holds. Words end with a marked symbol; a line break stands between words."""
@@ -113,12 +114,15 @@ class Encoder:
                 start = end + 1
 
     def learn(self, words: set[bytes]) -> None:
-        """Adds words to the table; an over-full table is emptied first."""
+        """Adds words to the tables. A full table becomes the older one, from which words in use come back."""
+        if len(self.ids) > CACHED_WORDS // 2:
+            self.older = self.ids, self.decoded
+            self.ids, self.decoded, self.piece_ids, self.piece_text = {}, {}, {}, {}
         missing = words.difference(self.ids)
-        if len(self.ids) + len(missing) > CACHED_WORDS and self.ids:
-            for kept in (self.ids, self.decoded, self.piece_ids, self.piece_text):
-                kept.clear()
-            missing = words
+        known, shown = self.older
+        for w in missing.intersection(known):
+            self.ids[w], self.decoded[w] = known[w], shown[w]
+        missing = missing.difference(known)
         for t, i in self.special.items():
             self.piece_ids[t], self.piece_text[t] = np.array([i], "<u4").tobytes(), t.encode()
         cut: list[tuple[bytes, list[str]]] = []
