@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veritally.llm import bpe, minhash, packing, quality
+from veritally.llm import bpe, minhash, packing, quality, secrets
 from veritally.llm.common import table
 
 
@@ -30,6 +30,22 @@ def op2_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents"))
+    of_kind = lambda kind: lambda s: s.kind == kind
+    base = F.filter("spans", lambda s: s.kind.isin(*[r.kind for r in secrets.BASE]))
+
+    def joined(spans):
+        return F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.start.cast("string"), s.end.cast("string"))))
+
+    return found.select(
+        "doc_id",
+        *[F.size(F.filter("spans", of_kind(r.kind))).cast("long").alias(f"n_{r.kind}") for r in secrets.BASE],
+        F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"),
+        joined(F.col("spans")).alias("spans"),
+    )
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     q = F.col("quality")
@@ -49,6 +65,7 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_pack": op2_pack,
+    "op4_secrets": op4_secrets,
     "op7_quality": op7_quality,
     "op10_minhash": op10_minhash,
 }
