@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veritally.llm import bpe, minhash, packing, quality, secrets
+from veritally.llm import bpe, minhash, packing, quality, repeats, secrets
 from veritally.llm.common import table
 
 
@@ -58,6 +58,17 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats.report(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        "n_bytes",
+        (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), settings=minhash.Settings(similar=85))
 
@@ -67,6 +78,7 @@ QUERIES = {
     "op2_pack": op2_pack,
     "op4_secrets": op4_secrets,
     "op7_quality": op7_quality,
+    "op9_repeats": op9_repeats,
     "op10_minhash": op10_minhash,
 }
 
