@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veritally.llm import bpe, minhash, packing, quality, repeats, secrets
+from veritally.llm import bpe, langid, minhash, packing, quality, repeats, secrets
 from veritally.llm.common import table
 
 
@@ -30,6 +30,18 @@ def op2_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def fold(doc_id: str = "doc_id", folds: int = 5):
+    """CRC-32 of the id as text, modulo the number of folds; null for a null id."""
+    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % folds
+
+
+def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.fit(docs.filter(fold() != 0), vocabulary("piece_bpe_32k.model"))
+    held_out = F.coalesce(fold() == 0, F.lit(False)).alias("held_out")
+    return langid.predict(docs, model).select("doc_id", held_out, "lang_pred", "score")
+
+
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(table(spark, sf_dir, "documents"))
     of_kind = lambda kind: lambda s: s.kind == kind
@@ -76,6 +88,7 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_pack": op2_pack,
+    "op3_langid": op3_langid,
     "op4_secrets": op4_secrets,
     "op7_quality": op7_quality,
     "op9_repeats": op9_repeats,
