@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veritally.llm import bpe, langid, minhash, packing, quality, repeats, secrets
+from veritally.llm import bpe, embeddings, langid, minhash, packing, quality, repeats, secrets
 from veritally.llm.common import table
 
 
@@ -70,6 +70,10 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.link_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = repeats.report(table(spark, sf_dir, "documents"))
     return found.select(
@@ -91,6 +95,7 @@ QUERIES = {
     "op3_langid": op3_langid,
     "op4_secrets": op4_secrets,
     "op7_quality": op7_quality,
+    "op8_embeddings": op8_embeddings,
     "op9_repeats": op9_repeats,
     "op10_minhash": op10_minhash,
 }
