@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veritally.llm import bpe, embeddings, langid, minhash, packing, quality, repeats, secrets
+from veritally.llm import bpe, embeddings, langid, minhash, packing, pitman_yor, quality, repeats, secrets
 from veritally.llm.common import table
 
 
@@ -58,6 +58,11 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = pitman_yor.score(table(spark, sf_dir, "documents"), learn=fold() != 1)
+    return scored.withColumn("held_out", F.coalesce(fold() == 1, F.lit(False)))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     q = F.col("quality")
@@ -94,6 +99,7 @@ QUERIES = {
     "op2_pack": op2_pack,
     "op3_langid": op3_langid,
     "op4_secrets": op4_secrets,
+    "op5_pitman_yor": op5_pitman_yor,
     "op7_quality": op7_quality,
     "op8_embeddings": op8_embeddings,
     "op9_repeats": op9_repeats,
