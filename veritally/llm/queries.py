@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veritally.llm import bpe, embeddings, langid, minhash, packing, pitman_yor, quality, repeats, secrets
+from veritally.llm import bpe, embeddings, langid, licenses, minhash, packing, pitman_yor, quality, repeats, secrets
 from veritally.llm.common import table
 
 
@@ -63,6 +63,18 @@ def op5_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("held_out", F.coalesce(fold() == 1, F.lit(False)))
 
 
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = licenses.scan(docs, licenses.fit(docs))
+    return found.select(
+        "doc_id",
+        "n_paragraphs",
+        F.size("notices").cast("long").alias("n_notices"),
+        F.array_join("families", ",").alias("families"),
+        F.round(F.array_max(F.transform("notices", lambda x: x.probability)), 6).alias("probability"),
+    )
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     q = F.col("quality")
@@ -100,6 +112,7 @@ QUERIES = {
     "op3_langid": op3_langid,
     "op4_secrets": op4_secrets,
     "op5_pitman_yor": op5_pitman_yor,
+    "op6_licenses": op6_licenses,
     "op7_quality": op7_quality,
     "op8_embeddings": op8_embeddings,
     "op9_repeats": op9_repeats,
