@@ -4,12 +4,13 @@
    samples are folded into an odd sketch: each flips one bit of a bitmap, so
    the XOR of two bitmaps counts the samples that differ.
 2. Texts with the same shingle set are one node, named by their smallest id.
-3. Nodes that share a band are candidates. Each member of a band is paired with
-   the band's smallest node, never all with all; bands whose members are still
-   in different groups afterwards are compared in tiles of bounded size, sketch
-   against sketch inside the task.
-4. Candidates whose sketches allow the wanted similarity are checked on their
-   full shingle sets.
+3. Nodes that share a band are candidates. A node's label is the smallest node
+   it reaches over two shared bands; nodes of a label meet in tiles of bounded
+   size, where sketches rule pairs out and full shingle sets decide. Pairs that
+   are connected already are passed over, so a tile gives fewer links than it
+   has members, however many of its pairs are alike.
+4. The few pairs that share a band but no label are compared sketch against
+   sketch in tiles of their band and then checked on their full sets.
 
 Defined results: a null or empty text has no shingles and links with nothing;
 fewer words than a shingle are one shingle; a row without id links with nothing
@@ -49,7 +50,7 @@ class Settings:
     rows: int = 5
     sketch_longs: int = 8
     slack: float = 0.16
-    tile: int = 512
+    tile: int = 1024
 
     @property
     def samples(self) -> int:
@@ -152,43 +153,81 @@ def confirmed(pairs: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
     return joined.mapInArrow(run, "a long, b long")
 
 
-def alike(s: Settings):
-    differ = F.aggregate(F.zip_with("ka", "kb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
-    return differ <= s.most_bits
+def in_tiles(members: DataFrame, by: str, size: int) -> DataFrame:
+    """Members of each group dealt to tiles of about ``size``, once for each pair of tiles that their own belongs to."""
+    sizes = members.groupBy(by).agg(F.ceil(F.count("*") / size).cast("int").alias("tiles"))
+    cut = members.join(sizes, by).withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other")
+    cut = cut.select("*", other).withColumns({"t": F.least("tile", "other"), "u": F.greatest("tile", "other")})
+    return cut.drop("tiles", "other")
 
 
-def sketched(pairs: DataFrame, nodes: DataFrame, s: Settings) -> DataFrame:
-    """The pairs whose odd sketches allow the wanted similarity."""
-    side = lambda c, name: nodes.select(F.col("node").alias(c), F.col("sketch").alias(name))
-    return pairs.join(side("a", "ka"), "a").join(side("b", "kb"), "b").filter(alike(s)).select("a", "b")
+def sketches_of(table: pa.Table, s: Settings) -> np.ndarray:
+    return np.asarray(table["sketch"].combine_chunks().flatten()).view(np.uint64).reshape(-1, s.sketch_longs)
 
 
-def tiled(members: DataFrame, s: Settings) -> DataFrame:
-    """Pairs (a, b) of one band but of different groups whose sketches are close.
+def linked_in_tiles(members: DataFrame, s: Settings) -> DataFrame:
+    """Links (a, b) among the members (label, node, sketch, shingles) of each label, enough to connect what is linked.
 
-    A band is cut into tiles of at most about ``s.tile`` members; two tiles meet in one group,
-    so no task holds more than two tiles at a time whatever the size of a band.
+    Sketches rule pairs out, then full sets are compared; pairs that links already connect are passed over. A tile
+    pair gives fewer links than it has members.
     """
-    sizes = members.groupBy("key").agg(F.ceil(F.count("*") / s.tile).cast("int").alias("tiles"))
-    cut = members.join(sizes, "key").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other")
-    cut = cut.select("*", other).select("key", F.least("tile", "other").alias("t"), F.greatest("tile", "other").alias("u"), "tile", "node", "component", "sketch")
 
     def run(table: pa.Table) -> pa.Table:
-        tile = np.asarray(table["tile"])
+        node, tile = np.asarray(table["node"]), np.asarray(table["tile"])
         low, high = table["t"][0].as_py(), table["u"][0].as_py()
-        node, group = np.asarray(table["node"]), np.asarray(table["component"])
-        sketch = np.asarray(table["sketch"].combine_chunks().flatten()).view(np.uint64).reshape(-1, s.sketch_longs)
+        sketch = sketches_of(table, s)
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table["shingles"].combine_chunks()]
+        sizes = np.array([len(x) for x in sets])
+        _, dense = np.unique(np.concatenate(sets), return_inverse=True)
+        ids = np.split(dense, np.cumsum(sizes)[:-1])
+        own = np.zeros(int(dense.max()) + 1, bool)
+        group = np.arange(len(node))
         left, right = np.flatnonzero(tile == low), np.flatnonzero(tile == high)
         found = []
         for i in left.tolist():
-            js = right[(group[right] != group[i]) & ((node[right] > node[i]) if low == high else True)]
+            js = right[right > i] if low == high else right
+            js = js[group[js] != group[i]]
+            # a union of two sets is at least as large as the larger one
+            fits = 100 * np.minimum(sizes[js], sizes[i]) >= s.similar * np.maximum(sizes[js], sizes[i])
+            js = js[fits]
+            js = js[np.bitwise_count(sketch[js] ^ sketch[i]).sum(axis=1) <= s.most_bits]
+            if not len(js):
+                continue
+            own[ids[i]] = True
+            both = np.add.reduceat(own[np.concatenate([ids[j] for j in js])].astype(np.int64), np.cumsum(sizes[js]) - sizes[js])
+            own[ids[i]] = False
+            for j in js[100 * both >= s.similar * (sizes[js] + sizes[i] - both)].tolist():
+                if group[j] != group[i]:
+                    found.append((node[i], node[j]))
+                    group[group == group[j]] = group[i]
+        ends = np.array(found, np.int64).reshape(-1, 2)
+        return pa.table({"a": pa.array(ends[:, 0]), "b": pa.array(ends[:, 1])})
+
+    cut = in_tiles(members, "label", s.tile).select("label", "t", "u", "tile", "node", "sketch", "shingles")
+    return cut.groupBy("label", "t", "u").applyInArrow(run, "a long, b long")
+
+
+def close_in_tiles(members: DataFrame, s: Settings) -> DataFrame:
+    """Pairs (a, b) that share a key, but neither label nor component, and whose sketches are close."""
+
+    def run(table: pa.Table) -> pa.Table:
+        tile = np.asarray(table["tile"])
+        low, high = table["t"][0].as_py(), table["u"][0].as_py()
+        node, group, label = (np.asarray(table[c]) for c in ("node", "component", "label"))
+        sketch = sketches_of(table, s)
+        left, right = np.flatnonzero(tile == low), np.flatnonzero(tile == high)
+        found = [np.zeros((0, 2), np.int64)]
+        for i in left.tolist():
+            js = right[(group[right] != group[i]) & (label[right] != label[i])]
+            js = js[node[js] > node[i]] if low == high else js
             near = js[np.bitwise_count(sketch[js] ^ sketch[i]).sum(axis=1) <= s.most_bits]
             found.append(np.column_stack([np.full(len(near), node[i]), node[near]]))
-        out = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
+        out = np.concatenate(found)
         out.sort(axis=1)
         return pa.table({"a": pa.array(out[:, 0], pa.int64()), "b": pa.array(out[:, 1], pa.int64())})
 
+    cut = in_tiles(members, "key", s.tile).select("key", "t", "u", "tile", "node", "component", "label", "sketch")
     return cut.groupBy("key", "t", "u").applyInArrow(run, "a long, b long").distinct()
 
 
@@ -201,26 +240,30 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     nodes = written(real.join(names, "digest").filter("doc_id = node").dropDuplicates(["node"]).select("node", "bands", "sketch"), "nodes")
 
     banded = nodes.select("node", F.explode("bands").alias("key"))
-    leaders = banded.groupBy("key").agg(F.min("node").alias("b"), F.max("node").alias("top")).filter("b < top").drop("top")
-    first = banded.join(leaders, "key").filter("node <> b").select(F.col("node").alias("a"), "b").distinct()
-    first = written(sketched(first, nodes, s), "candidates")
-
-    def sets_of(pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-        texts = docs.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
-        unique = texts.join(wanted, "id", "left_semi").dropDuplicates(["id"])
-        return written(shingles_of(unique, "id", "text", s), "shingles")
-
-    links = written(confirmed(first, sets_of(first), s), "links")
+    shared = banded.groupBy("key").agg(F.min("node").alias("lead"), F.max("node").alias("top")).filter("lead < top").drop("top")
+    banded = written(banded.join(shared, "key"), "banded")
+
+    # a node's label: the smallest node that it reaches over two shared bands
+    lead = banded.groupBy("node").agg(F.min("lead").alias("lead"))
+    lead = banded.select("key", "node").join(lead, "node").groupBy("key").agg(F.min("lead").alias("lead"))
+    label = written(banded.select("key", "node").join(lead, "key").groupBy("node").agg(F.min("lead").alias("label")), "labels")
+    sketch = nodes.select("node", "sketch")
+
+    texts = docs.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
+    texts = texts.join(label.select(F.col("node").alias("id")), "id", "left_semi")
+    sets = written(shingles_of(texts, "id", "text", s).dropDuplicates(["node"]), "shingles")
+    members = label.union(label.select("label", "label")).distinct()
+    links = written(linked_in_tiles(members.join(sketch, "node").join(sets, "node"), s), "links")
     groups = components(links)
 
-    in_group = nodes.join(groups, "node", "left").select("node", "bands", "sketch", F.coalesce("component", "node").alias("component"))
-    spread = in_group.select("node", "component", F.explode("bands").alias("key"))
-    mixed = spread.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("key")
-    members = spread.join(mixed, "key", "left_semi").join(nodes.select("node", "sketch"), "node")
-    later = written(tiled(members, s).join(first, ["a", "b"], "left_anti").join(first.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti"), "later")
+    # pairs that share a band but no label
+    spread = banded.select("key", "node").join(label, "node").join(groups, "node", "left")
+    spread = written(spread.select("key", "node", "label", F.coalesce("component", "node").alias("component")), "spread")
+    apart = [F.min(c).alias(f"{c}_a") for c in ("label", "component")] + [F.max(c).alias(f"{c}_b") for c in ("label", "component")]
+    mixed = spread.groupBy("key").agg(*apart).filter("label_a < label_b and component_a < component_b").select("key")
+    later = written(close_in_tiles(spread.join(mixed, "key", "left_semi").join(sketch, "node"), s), "later")
     if not later.isEmpty():
-        links = links.union(confirmed(later, sets_of(later), s))
+        links = links.union(confirmed(later, sets, s))
         groups = components(links)
 
     found = names.join(groups, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
