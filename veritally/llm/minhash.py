@@ -271,3 +271,17 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     alone = (F.col("n_shingles") == 0) | F.col("doc_id").isNull()
     out = out.withColumn("component_id", F.when(alone, F.col("doc_id")).otherwise(F.col("component")))
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", settings: Settings = Settings()) -> DataFrame:
+    """``docs`` with one row of each group of near duplicates, the one with the smallest id; rows without id stay."""
+    found = written(near_duplicates(docs, doc_id, text, settings).select("doc_id", "kept"), "kept")
+    name = f"`{doc_id}`"
+    gone = found.filter(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
+    rest = docs.join(gone, F.col(name).cast("long") == F.col("__gone"), "left_anti")
+    again = found.filter("kept and doc_id is not null").groupBy(F.col("doc_id").alias("__again")).count().filter("count > 1").select("__again")
+    again = written(again, "again")
+    if again.isEmpty():
+        return rest
+    on = F.col(name).cast("long") == F.col("__again")
+    return rest.join(again, on, "left_anti").unionByName(rest.join(again, on, "left_semi").dropDuplicates([doc_id, text]))
