@@ -24,6 +24,7 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,18 +35,19 @@ from veritally.llm.words import pieces, utf8
 
 SUFFIX = "</w>"
 END = 0x0400  # added to a symbol's code point when it ends a word; byte symbols lie below
-CACHED_WORDS = 500_000
+CACHED_WORDS = 800_000
 PRINTABLE = re.compile(rb"[!-~]+").fullmatch
 # Fixed value: the word pattern of the vocabulary file, for lower-case ASCII. The byte alphabet shows printable ASCII as itself.
 ASCII_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+").findall
 
 
 class Encoder:
-    """Encodes words; built once per Python worker from the vocabulary file's text."""
+    """Encodes words; built once per Python worker from the vocabulary file's text. Decoded words are kept on request."""
 
-    def __init__(self, spec: str):
+    def __init__(self, spec: str, decoding: bool = True):
         from tokenizers import Tokenizer, models, pre_tokenizers
 
+        self.decoding = decoding
         loaded = json.loads(spec)
         model = loaded["model"]
         full = Tokenizer.from_str(spec)
@@ -110,7 +112,9 @@ class Encoder:
             start = 0
             for p, end in zip(part, ends):
                 own = ids[start:end]
-                self.piece_ids[p], self.piece_text[p] = own.tobytes(), self.decode(own.tolist())
+                self.piece_ids[p] = own.tobytes()
+                if self.decoding:
+                    self.piece_text[p] = self.decode(own.tolist())
                 start = end + 1
 
     def learn(self, words: set[bytes]) -> None:
@@ -118,27 +122,34 @@ class Encoder:
         if len(self.ids) > CACHED_WORDS // 2:
             self.older = self.ids, self.decoded
             self.ids, self.decoded, self.piece_ids, self.piece_text = {}, {}, {}, {}
-        missing = words.difference(self.ids)
+        ids, decoded = self.ids, self.decoded
+        missing = words.difference(ids)
         known, shown = self.older
-        for w in missing.intersection(known):
-            self.ids[w], self.decoded[w] = known[w], shown[w]
-        missing = missing.difference(known)
+        back = missing.intersection(known)
+        for w in back:
+            ids[w] = known[w]
+        if self.decoding:
+            for w in back:
+                decoded[w] = shown[w]
+        missing -= back
         for t, i in self.special.items():
             self.piece_ids[t], self.piece_text[t] = np.array([i], "<u4").tobytes(), t.encode()
-        cut: list[tuple[bytes, list[str]]] = []
-        plain = []
-        for w in missing:
-            if PRINTABLE(w) and b"<|" not in w:
-                cut.append((w, ASCII_PIECES(w.lower().decode())))
-            elif b"<|" in w or b"\0" in w or not is_plain(w.decode()):
-                cut.append((w, self.cut_odd(w.decode())))
-            else:
-                plain.append(w)
-        cut += zip(plain, self.cut([w.decode() for w in plain]))
-        self.learn_pieces({p for _, ps in cut for p in ps})
-        for w, ps in cut:
-            self.ids[w] = b"".join(map(self.piece_ids.__getitem__, ps))
-            self.decoded[w] = b" ".join(map(self.piece_text.__getitem__, ps))
+        plain = [w for w in missing if PRINTABLE(w) and b"<|" not in w]
+        cut = [ASCII_PIECES(w.lower().decode()) for w in plain]
+        other = [w for w in missing.difference(plain)]
+        odd = [w for w in other if b"<|" in w or b"\0" in w or not is_plain(w.decode())]
+        even = list(set(other).difference(odd))
+        cut += [self.cut_odd(w.decode()) for w in odd]
+        cut += self.cut([w.decode() for w in even])
+        self.learn_pieces(set(chain.from_iterable(cut)))
+        found = plain + odd + even
+        get, join = self.piece_ids.__getitem__, b"".join
+        for w, ps in zip(found, cut):
+            ids[w] = get(ps[0]) if len(ps) == 1 else join(map(get, ps))
+        if self.decoding:
+            get, join = self.piece_text.__getitem__, b" ".join
+            for w, ps in zip(found, cut):
+                decoded[w] = get(ps[0]) if len(ps) == 1 else join(map(get, ps))
 
     def decode(self, ids) -> bytes:
         strings = self.strings
@@ -163,8 +174,8 @@ def is_plain(word: str) -> bool:
 
 
 @lru_cache(maxsize=2)
-def encoder(spec: str) -> Encoder:
-    return Encoder(spec)
+def encoder(spec: str, decoding: bool) -> Encoder:
+    return Encoder(spec, decoding)
 
 
 def shared_vocabulary(df: DataFrame, path: str):
@@ -189,7 +200,7 @@ def encode(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str =
     spec = shared_vocabulary(docs, vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(spec.value)
+        own = encoder(spec.value, decode)
         gc.disable()  # the tables hold no cycles; walking them again and again costs more than the encoding
         for batch in batches:
             for a, b, texts in texts_as_words(batch.column(1)):
@@ -209,7 +220,7 @@ def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
     spec = shared_vocabulary(encoded, vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(spec.value)
+        own = encoder(spec.value, True)
         for batch in batches:
             texts = [own.decode(np.frombuffer(x.as_py() or b"", "<u4")) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.binary()).cast(pa.string())], ["doc_id", "decoded"])

@@ -107,7 +107,7 @@ def cut(docs: DataFrame, vocabulary: str, doc_id: str, text: str, s: Settings) -
     end = np.array([s.end_token], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(spec.value)
+        own = encoder(spec.value, False)
         gc.disable()
         number = TaskContext.get().partitionId() << 36
         for batch in batches:
