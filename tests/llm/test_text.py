@@ -93,7 +93,8 @@ def test_trigram_queries_are_necessary():
             index.build(raw, np.array([0, 2, len(raw)]))
             assert index.find(query).tolist() == [1]
     assert secrets.trigram_query("[0-9a-f]+") is True
-    assert secrets.trigram_query("abc(de|fg)?x+") == "abc"
+    assert secrets.trigram_query("abc(de|fg)?x+") == ("or", "abc", ("and", "abc", "bcd", "cde"), ("and", "abc", "bcf", "cfg"))
+    assert secrets.trigram_query("abc[0-9]+") == "abc"
     assert secrets.trigram_query("(ab|xy)cd") == ("or", ("and", "abc", "bcd"), ("and", "xyc", "ycd"))
 
 
