@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalogue.shared import rounded, table
-from catalogue.sources import customer_encounters, encounter_cte
+from catalogue.visits import order_visits, visits_cte
 from veritally.functions import columns as fx
 from veritally.operators import features as fe
 from veritally.plans import hospital
@@ -54,19 +54,19 @@ ORACLES["feature_icd_groups"] = f"with c as (select p_partkey, {CODE_SQL} as cod
 
 
 def three_codes(spark, sf):
-    e = customer_encounters(spark, sf)
+    e = order_visits(spark, sf)
     groups = {f"diag_{i}_group": fx.icd_group(F.col(f"diag_{i}")) for i in (1, 2, 3)}
     return e.withColumns(groups).select("encounter_id", *groups, fx.distinct_across(list(groups)).alias("breadth"))
 
 
 QUERIES["feature_code_groups_and_breadth"] = three_codes
-ORACLES["feature_code_groups_and_breadth"] = f"""with {encounter_cte()}, g as (select encounter_id, {icd_case('diag_1')} as diag_1_group,
+ORACLES["feature_code_groups_and_breadth"] = f"""with {visits_cte()}, g as (select encounter_id, {icd_case('diag_1')} as diag_1_group,
     {icd_case('diag_2')} as diag_2_group, {icd_case('diag_3')} as diag_3_group from encounters)
   select *, len(list_distinct([diag_1_group, diag_2_group, diag_3_group]))::int as breadth from g"""
 
 
 def recodes(spark, sf):
-    e = customer_encounters(spark, sf)
+    e = order_visits(spark, sf)
     e = e.select(
         "encounter_id",
         "change",
@@ -82,13 +82,13 @@ def recodes(spark, sf):
 RECODE_SQL = """case "A1Cresult" when 'Norm' then 'Norm' when '>7' then '>7' when '>8' then '>8' else 'Not measured' end as a1c,
   case max_glu_serum when 'Norm' then 'Normal' when '>200' then 'Elevated' when '>300' then 'Elevated' else 'Not measured' end as glucose"""
 QUERIES["feature_recode_flag_interaction"] = recodes
-ORACLES["feature_recode_flag_interaction"] = f"""with {encounter_cte()}, r as (select encounter_id, change, {RECODE_SQL} from encounters)
+ORACLES["feature_recode_flag_interaction"] = f"""with {visits_cte()}, r as (select encounter_id, change, {RECODE_SQL} from encounters)
   select encounter_id, a1c, glucose, (a1c <> 'Not measured')::int as a1c_tested, (glucose <> 'Not measured')::int as glucose_tested,
     (a1c <> 'Not measured')::int || '_' || change as a1c_x_change from r"""
 
 
 def ages(spark, sf):
-    e = customer_encounters(spark, sf).withColumn(
+    e = order_visits(spark, sf).withColumn(
         "age", F.when(F.col("encounter_id") % 17 == 0, "?").when(F.col("encounter_id") % 23 == 0, F.lit(None)).otherwise(F.col("age"))
     )
     mid = fx.bracket_midpoint(F.col("age"))
@@ -96,7 +96,7 @@ def ages(spark, sf):
 
 
 QUERIES["feature_bracket_midpoint_and_band"] = ages
-ORACLES["feature_bracket_midpoint_and_band"] = f"""with {encounter_cte()},
+ORACLES["feature_bracket_midpoint_and_band"] = f"""with {visits_cte()},
   a as (select encounter_id, case when encounter_id % 17 = 0 then '?' when encounter_id % 23 = 0 then null else age end as age from encounters),
   m as (select *, try_cast(regexp_extract(age, '^[\\[)]*([0-9]+)-', 1) as int) + 5.0::double as midpoint from a)
   select *, case when midpoint is null then 'Unknown' when midpoint < 40 then '<40' when midpoint < 65 then '40-64'
@@ -114,12 +114,12 @@ ORACLES["feature_code_labels"] = """select c_custkey, coalesce(n_name, 'Unknown'
 
 
 def medication_share(spark, sf):
-    shares = fe.active_share(customer_encounters(spark, sf), hospital.MEDICATIONS)
+    shares = fe.active_share(order_visits(spark, sf), hospital.MEDICATIONS)
     return rounded(shares).withColumn("kept", F.col("active_share") >= 0.005)
 
 
 QUERIES["feature_near_zero_variance"] = medication_share
-ORACLES["feature_near_zero_variance"] = f"with {encounter_cte()} " + " union all ".join(
+ORACLES["feature_near_zero_variance"] = f"with {visits_cte()} " + " union all ".join(
     f"""select '{m}' as variable, round(avg(("{m}" <> 'No')::int), 6) as active_share, round(avg(("{m}" <> 'No')::int), 6) >= 0.005 as kept
     from encounters"""
     for m in hospital.MEDICATIONS
@@ -128,7 +128,7 @@ ORACLES["feature_near_zero_variance"] = f"with {encounter_cte()} " + " union all
 
 def medication_counts(spark, sf):
     names = [f"`{m}`" for m in hospital.MEDICATIONS]
-    e = hospital.typed(customer_encounters(spark, sf))
+    e = hospital.typed(order_visits(spark, sf))
     return e.select(
         "encounter_id",
         fx.count_matching(names, lambda c: ~c.eqNullSafe("No")).alias("n_active"),
@@ -138,7 +138,7 @@ def medication_counts(spark, sf):
 
 
 QUERIES["feature_row_counts_and_totals"] = medication_counts
-ORACLES["feature_row_counts_and_totals"] = f"""with {encounter_cte()} select encounter_id,
+ORACLES["feature_row_counts_and_totals"] = f"""with {visits_cte()} select encounter_id,
   {' + '.join(f'''("{m}" <> 'No')::int''' for m in hospital.MEDICATIONS)} as n_active,
   {' + '.join(f'''("{m}" in ('Up', 'Down'))::int''' for m in hospital.MEDICATIONS)} as n_changed,
   number_outpatient::bigint + number_emergency::bigint + number_inpatient::bigint as prior_total from encounters"""
@@ -241,11 +241,11 @@ COHORT_CTE = """kept as (select * from encounters where not coalesce(discharge_d
 
 
 def hospital_flow(spark, sf):
-    return hospital.flow(customer_encounters(spark, sf)).select("step_no", "n", "excluded")
+    return hospital.flow(order_visits(spark, sf)).select("step_no", "n", "excluded")
 
 
 QUERIES["hospital_participant_flow"] = hospital_flow
-ORACLES["hospital_participant_flow"] = f"""with {encounter_cte()}, {COHORT_CTE},
+ORACLES["hospital_participant_flow"] = f"""with {visits_cte()}, {COHORT_CTE},
   s0 as (select count(*) as n from encounters),
   s1 as (select count(*) as n from encounters where discharge_disposition_id not in ('11', '13', '14', '19', '20', '21')),
   s2 as (select count(*) as n from kept), s3 as (select count(*) as n from cohort)
@@ -262,7 +262,7 @@ MATRIX = [
 
 
 def hospital_matrix(spark, sf):
-    matrix, _ = hospital.analysis_matrix(hospital.cohort(customer_encounters(spark, sf)))
+    matrix, _ = hospital.analysis_matrix(hospital.cohort(order_visits(spark, sf)))
     return matrix.select(*MATRIX)
 
 
@@ -279,7 +279,7 @@ def _unknown(c: str) -> str:
 
 
 QUERIES["hospital_analysis_matrix"] = hospital_matrix
-ORACLES["hospital_analysis_matrix"] = f"""with {encounter_cte()}, {COHORT_CTE},
+ORACLES["hospital_analysis_matrix"] = f"""with {visits_cte()}, {COHORT_CTE},
   featured as (select encounter_id as row_id, target, race, payer_code, medical_specialty,
     {_label_case('admission_type_id', hospital.ADMISSION_TYPE)} as admission_type,
     {_label_case('admission_source_id', hospital.ADMISSION_SOURCE)} as admission_source,

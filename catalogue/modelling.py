@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from catalogue.sampling import split_orders
 from catalogue.shared import LINES_CTE, ladder_cte, metrics_sql, orders_scored_cte, rounded, scored_lines, scored_orders, table, u
-from catalogue.sources import customer_encounters
+from catalogue.visits import order_visits
 from veritally.operators import models as mo
 from veritally.operators import tuning as tu
 from veritally.operators.bounded import scratch_path, stored
@@ -50,7 +50,7 @@ for _key in SMALL:
 
 def hospital_study(spark, sf):
     """Encounters to hold-out metrics of two linear models."""
-    matrix, roles = study.prepare(customer_encounters(spark, sf))
+    matrix, roles = study.prepare(order_visits(spark, sf))
     done = study.fit_and_score(matrix, roles, {k: SMALL[k] for k in ("parsimonious_lr", "penalised_lr")})
     return rounded(ladder_metrics(score_ladder(done.holdout, ["model"]), ["model"]))
 
@@ -111,6 +111,31 @@ def search(spark, sf):
 QUERIES["tuning_search"] = search
 
 
+def replay(spark, sf):
+    """The same search over event values, once in one go and once in three with a restart between: what is pruned must agree."""
+    e = table(spark, sf, "events").groupBy(F.col("user_id").alias("trial"), F.pmod("event_id", F.lit(5)).cast("int").alias("step"))
+    folds = e.agg(F.avg("value").alias("value")).groupBy("trial").agg(F.map_from_entries(F.collect_list(F.struct("step", "value"))).alias("folds"))
+    known = {r["trial"]: r["folds"] for r in folds.collect()}
+    numbers = sorted(known)
+    points = [(int(t), {"user": float(t), "kind": "replayed"}) for t in numbers]
+
+    def evaluate(trial, params, step):
+        return known[trial].get(step, 0.0), 0.5
+
+    whole, parts = (TrialStore(spark, scratch_path(spark, "trials")) for _ in range(2))
+    tu.run_search("replay", points, 5, evaluate, whole, save_each=False)
+    third = len(points) // 3
+    for part in (points[:third], points[third : third + 5], points[third + 5 :]):
+        tu.run_search("replay", part, 5, evaluate, parts, parallel=4, save_each=False)
+    columns = ("trial", "state", "folds", "fold_values", "params")
+    a, b = (s.read().select(F.col("trial"), F.struct(*columns[1:4], F.map_entries("params")).alias(n)) for s, n in ((whole, "a"), (parts, "b")))
+    return a.join(b, "trial", "full").select("trial", F.col("a").eqNullSafe(F.col("b")).alias("same"))
+
+
+QUERIES["tuning_replay"] = replay
+ORACLES["tuning_replay"] = "select distinct user_id::int as trial, true as same from events"
+
+
 def fold_table(spark, sf):
     scored = scored_lines(spark, sf).withColumn("fold", F.when(F.col("status") == "F", 0).otherwise(1))
     return rounded(tu.cross_validated(tu.fold_scores(scored, ["model"]), ["model"]))
@@ -132,14 +157,14 @@ def _trials(spark, sf):
         F.col("event_id").cast("int").alias("trial"),
         state.alias("state"),
         (-F.col("value") / 1000).alias("value"),
-        F.create_map(F.lit("a"), F.col("value"), F.lit("b"), F.col("event_id").cast("double")).alias("params"),
+        F.create_map(F.lit("trial"), F.col("event_id").cast("string"), F.lit("kind"), F.col("event_type")).alias("params"),
         ts.alias("started"),
         (ts + F.make_dt_interval(secs=F.round(F.col("value"), 2).cast("decimal(18,6)"))).alias("completed"),
     )
 
 
 TRIALS_CTE = """trials as (select 'user-' || user_id as study, event_id::int as trial,
-    case event_type when 'error' then 'PRUNED' when 'signup' then 'RUNNING' else 'COMPLETE' end as state, -value / 1000 as value, value as v from events)"""
+    case event_type when 'error' then 'PRUNED' when 'signup' then 'RUNNING' else 'COMPLETE' end as state, -value / 1000 as value, value as v, event_type as kind from events)"""
 
 
 def history(spark, sf):
@@ -154,7 +179,7 @@ ORACLES["tuning_history"] = f"""with {TRIALS_CTE} select study, trial, state, ro
 
 
 def converged(spark, sf):
-    return tu.convergence(_trials(spark, sf)).drop("reason")
+    return tu.convergence(_trials(spark, sf))
 
 
 QUERIES["tuning_convergence"] = converged
@@ -170,13 +195,13 @@ ORACLES["tuning_convergence"] = f"""with {TRIALS_CTE}, c as (select *, row_numbe
 
 
 def tuning_summary(spark, sf):
-    return tu.tuning_table(_trials(spark, sf).withColumn("params", F.create_map(F.lit("trial"), F.col("params")["b"])))
+    return tu.tuning_table(_trials(spark, sf))
 
 
 QUERIES["tuning_table"] = tuning_summary
 ORACLES["tuning_table"] = f"""with {TRIALS_CTE}, c as (select *, row_number() over (partition by study order by value desc, trial) as rn from trials where state = 'COMPLETE'),
   n as (select study, sum((state = 'COMPLETE')::int)::bigint as n_trials from trials group by study)
-  select study, n_trials, coalesce('trial=' || trial::double, 'defaults (untuned baseline)') as selected_hyperparameters, round(value, 5) as best_cv_objective
+  select study, n_trials, 'kind=' || kind || '; trial=' || trial::double as selected_hyperparameters, round(value, 5) as best_cv_objective
   from n left join (select * from c where rn = 1) using (study)"""
 
 

@@ -1,16 +1,14 @@
-"""Reading, writing, stores and the synthetic source."""
+"""Reading, writing and stores."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalogue.shared import choice, h, rounded, table, u
+from catalogue.shared import h, rounded, table
 from veritally.operators.bounded import scratch_path
 from veritally.operators.explain import linear_shap
 from veritally.operators.models import fit_model
 from veritally.operators.split import ColumnRoles
-from veritally.plans.hospital import MEDICATIONS
-from veritally.sources import encounters as enc
 from veritally.sources import tables as io
 from veritally.sources.manifest import RunManifest, written_rows
 from veritally.sources.model_store import load_model, save_model
@@ -137,7 +135,8 @@ def trial_resume(spark, sf):
             F.col("p_retailprice").alias("value"),
             none.cast("double").alias("auroc"),
             F.lit(5).alias("folds"),
-            F.create_map(F.lit("size"), F.col("p_size").cast("double")).alias("params"),
+            F.array(F.col("p_retailprice")).alias("fold_values"),
+            F.create_map(F.lit("size"), F.col("p_size").cast("string"), F.lit("brand"), F.col("p_brand")).alias("params"),
             none.cast("timestamp").alias("started"),
             none.cast("timestamp").alias("completed"),
         )
@@ -167,45 +166,3 @@ LINEAR_SHAP_CTE = f"""bg as (select embedding as e from embeddings order by {h(4
   phis as (select vec_id, 'e' || (i - 1) as feature, c * (embedding[i]::double - m) as phi
     from embeddings cross join slots join means using (i) join coefs using (i))"""
 ORACLES["io_attribution_matrix"] = f"with {LINEAR_SHAP_CTE} select vec_id, feature, round(phi, 6) as phi from phis"
-
-# --- synthetic encounters ------------------------------------------------------
-
-
-def encounter_cte(seed: int = 7) -> str:
-    e = "encounter_id"
-
-    def draw(purpose):
-        return u(seed, purpose, e)
-
-    def poisson(column, mean):
-        arms = " ".join(f"when {draw(column)} < {cut!r}::double then '{k}'" for k, cut in enumerate(enc.poisson_cuts(mean)))
-        return f"case {arms} else '12' end as {column}"
-
-    columns = [f"{choice(draw(c), *spec)} as {c}" for c, spec in enc.CHOICES.items()]
-    columns += [f"{choice(draw(c), *enc.DIAGNOSES)} as {c}" for c in ("diag_1", "diag_2", "diag_3")]
-    columns += [
-        f"({low} + floor({draw(c)} * {high - low + 1}))::bigint::varchar as {c}" for c, (low, high) in enc.WHOLE_NUMBERS.items()
-    ]
-    columns += [poisson(c, mean) for c, mean in enc.POISSON_MEANS.items()]
-    for c in MEDICATIONS:
-        if c in enc.CONSTANT_MEDICATIONS:
-            columns.append(f"'No' as \"{c}\"")
-        else:
-            weights = [0.60, 0.30, 0.06, 0.04] if c in enc.COMMON_MEDICATIONS else [0.985, 0.011, 0.002, 0.002]
-            columns.append(f"{choice(draw(c), enc.MEDICATION_LEVELS, weights)} as \"{c}\"")
-    visits = choice(u(seed, "visits", "c_custkey"), *enc.VISITS, quote=False)
-    risk = """-2.6::double + 0.22::double * number_inpatient::double + 0.10::double * number_emergency::double
-      + 0.05::double * number_diagnoses::double + 0.25::double * (change = 'Ch')::int
-      + 0.20::double * ("A1Cresult" <> 'None')::int + 0.02::double * time_in_hospital::double"""
-    return f"""visits as (select c_custkey * 4 + unnest(range(1, ({visits}) + 1)) as encounter_id, c_custkey as patient_nbr from customer),
-  drawn as (select encounter_id, patient_nbr, {', '.join(columns)} from visits),
-  encounters as (select *, case when {draw('early')} < least(greatest(1 / (1 + exp(-({risk}))), 0.01), 0.6) then '<30'
-    when {draw('late')} < 0.35 then '>30' else 'NO' end as readmitted from drawn)"""
-
-
-def customer_encounters(spark, sf):
-    return enc.encounters(table(spark, sf, "customer"), "c_custkey")
-
-
-QUERIES["io_synthetic_encounters"] = customer_encounters
-ORACLES["io_synthetic_encounters"] = f"with {encounter_cte()} select * from encounters"
