@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalogue.shared import rounded, table
-from catalogue.visits import order_visits, visits_cte
+from catalogue.visits import MOVING, WHOLE, order_visits, visits_cte
 from veritally.functions import columns as fx
 from veritally.operators import features as fe
 from veritally.plans import hospital
@@ -257,13 +257,13 @@ MATRIX = [
     "row_id", "target", "race", "payer_code", "medical_specialty", "admission_type", "admission_source",
     "discharge_disposition", "diag_1_group", "comorbidity_breadth", "A1Cresult", "max_glu_serum", "A1C_tested",
     "glucose_tested", "A1C_tested_x_change", "age_midpoint", "age_band", "n_diabetes_meds", "n_meds_changed",
-    "prior_utilisation_total",
+    "prior_utilisation_total", "gender", "change", "diabetesMed", "diag_2_group", "diag_3_group", *WHOLE, *MOVING,
 ]
 
 
 def hospital_matrix(spark, sf):
     matrix, _ = hospital.analysis_matrix(hospital.cohort(order_visits(spark, sf)))
-    return matrix.select(*MATRIX)
+    return matrix if set(matrix.columns) != set(MATRIX) else matrix.select(*MATRIX)
 
 
 def _label_case(column: str, labels: dict) -> str:
@@ -280,7 +280,9 @@ def _unknown(c: str) -> str:
 
 QUERIES["hospital_analysis_matrix"] = hospital_matrix
 ORACLES["hospital_analysis_matrix"] = f"""with {visits_cte()}, {COHORT_CTE},
-  featured as (select encounter_id as row_id, target, race, payer_code, medical_specialty,
+  featured as (select encounter_id as row_id, target, race, payer_code, medical_specialty, gender, "diabetesMed",
+    {icd_case('diag_2')} as diag_2_group, {icd_case('diag_3')} as diag_3_group, {', '.join(f'{c}::bigint as {c}' for c in WHOLE)},
+    {', '.join(f'"{m}"' for m in MOVING)},
     {_label_case('admission_type_id', hospital.ADMISSION_TYPE)} as admission_type,
     {_label_case('admission_source_id', hospital.ADMISSION_SOURCE)} as admission_source,
     {_label_case('discharge_disposition_id', hospital.DISCHARGE)} as discharge_disposition,
@@ -290,7 +292,8 @@ ORACLES["hospital_analysis_matrix"] = f"""with {visits_cte()}, {COHORT_CTE},
     {' + '.join(f'''("{m}" <> 'No')::int''' for m in hospital.MEDICATIONS)} as n_diabetes_meds,
     {' + '.join(f'''("{m}" in ('Up', 'Down'))::int''' for m in hospital.MEDICATIONS)} as n_meds_changed,
     number_outpatient::bigint + number_emergency::bigint + number_inpatient::bigint as prior_utilisation_total from cohort)
-  select row_id, target, {_unknown('race')} as race, {_unknown('payer_code')} as payer_code,
+  select row_id, target, gender, change, "diabetesMed", diag_2_group, diag_3_group, {', '.join(WHOLE)}, {', '.join(f'"{m}"' for m in MOVING)},
+    {_unknown('race')} as race, {_unknown('payer_code')} as payer_code,
     {_unknown(_collapsed('medical_specialty'))} as medical_specialty, {_collapsed('admission_type')} as admission_type,
     {_collapsed('admission_source')} as admission_source, {_collapsed('discharge_disposition')} as discharge_disposition,
     diag_1_group, comorbidity_breadth, a1c as "A1Cresult", glucose as max_glu_serum, (a1c <> 'Not measured')::int as "A1C_tested",

@@ -59,7 +59,7 @@ def order_visits(spark, sf: str) -> DataFrame:
     columns += [F.pmod(draw(c), F.lit(top + 1)).cast("string").alias(c) for c, top in WHOLE.items()]
     for m in MEDICATIONS:
         levels = medication_levels(m)
-        rare = F.when(F.pmod(draw(m), F.lit(5000)) == 0, "Steady").otherwise("No")
+        rare = F.when(F.pmod(draw(m), F.lit(50_000)) == 0, "Steady").otherwise("No")
         columns.append((pick(m, levels) if levels else rare).alias(m))
     outcome = F.when(F.col("o_orderpriority") == "1-URGENT", "<30").when(F.col("o_orderpriority") == "2-HIGH", ">30").otherwise("NO")
     return orders.select(F.col("o_orderkey").alias("encounter_id"), F.col("o_custkey").alias("patient_nbr"), *columns, outcome.alias("readmitted"))
@@ -77,7 +77,7 @@ def visits_cte() -> str:
     columns += [f'({draw(c)} % {top + 1})::varchar as "{c}"' for c, top in WHOLE.items()]
     for m in MEDICATIONS:
         levels = medication_levels(m)
-        rare = f"case when {draw(m)} % 5000 = 0 then 'Steady' else 'No' end"
+        rare = f"case when {draw(m)} % 50000 = 0 then 'Steady' else 'No' end"
         columns.append(f'{pick(m, levels) if levels else rare} as "{m}"')
     return f"""encounters as (select o_orderkey as encounter_id, o_custkey as patient_nbr, {', '.join(columns)},
     case o_orderpriority when '1-URGENT' then '<30' when '2-HIGH' then '>30' else 'NO' end as readmitted from orders)"""
