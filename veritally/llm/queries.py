@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veritally.llm import bpe, embeddings, langid, licenses, minhash, packing, pitman_yor, quality, repeats, secrets
+from veritally.llm import bpe, embeddings, langid, licenses, minhash, packing, pitman_yor, quality, repeats, secrets, sql
 from veritally.llm.common import table
 
 
@@ -119,4 +119,4 @@ QUERIES = {
     "op10_minhash": op10_minhash,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op7_quality": sql.OP7, "op8_embeddings": sql.OP8, "op10_minhash": sql.OP10}
