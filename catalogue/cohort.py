@@ -70,12 +70,12 @@ ORACLES["cohort_first_per_entity"] = f"with {FIRST} select o_custkey, o_orderkey
 
 def first_event(spark, sf):
     df = table(spark, sf, "events").where(F.col("event_type") != "error")
-    return co.first_per_entity(df, "user_id", "ts").select("user_id", "event_id", "event_type", "value")
+    return co.first_per_entity(df, "user_id", "ts", tie="event_id").select("user_id", "event_id", "event_type", "value")
 
 
 QUERIES["cohort_first_event_per_user"] = first_event
 ORACLES["cohort_first_event_per_user"] = """select user_id, event_id, event_type, value from
-  (select *, row_number() over (partition by user_id order by ts) as rn from events where event_type <> 'error') where rn = 1"""
+  (select *, row_number() over (partition by user_id order by ts, event_id) as rn from events where event_type <> 'error') where rn = 1"""
 
 
 def outcome(spark, sf):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalogue.shared import h, rounded, table
+from catalogue.shared import rounded, table
 from veritally.operators.bounded import scratch_path
 from veritally.operators.explain import linear_shap
 from veritally.operators.models import fit_model
@@ -153,13 +153,13 @@ COEFS = [round((-1) ** i * (0.1 + i / 100), 4) for i in range(64)]
 
 
 def attributions(spark, sf):
-    phis = linear_shap(table(spark, sf, "embeddings"), "vec_id", "embedding", COEFS, background_rows=200)
+    phis = linear_shap(table(spark, sf, "embeddings"), "vec_id", "embedding", COEFS)
     path = io.write_attributions(phis, "vec_id", SLOTS, scratch_path(spark, "phi"))
     return rounded(io.read_parquet(spark, path))
 
 
 QUERIES["io_attribution_matrix"] = attributions
-LINEAR_SHAP_CTE = f"""bg as (select embedding as e from embeddings order by {h(42, 'sample', 'vec_id')}, vec_id limit 200),
+LINEAR_SHAP_CTE = f"""bg as (select embedding as e from embeddings),
   slots as (select unnest(range(1, 65)) as i),
   means as (select i, avg(e[i]::double) as m from bg cross join slots group by i),
   coefs as (select i, ([{', '.join(map(str, COEFS))}])[i]::double as c from slots),

@@ -354,6 +354,8 @@ def bootstrap_ci(
     """
     metrics = metrics or ["auroc", "auprc", "brier"]
     if isinstance(metrics, dict):
+        if mode != "exact":
+            raise ValueError(f"metrics given as functions are drawn in exact mode only, not {mode!r}")
         point = _custom_metrics(score_ladder(scored, keys), keys, metrics)
         draws = bootstrap_draws(scored.select(row_id, "y").distinct(), "y", row_id, n_resamples, seed, stratified)
         ladder = score_ladder(scored.join(draws, row_id), [*keys, "rep"], weight=F.col("times"))

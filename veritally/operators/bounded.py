@@ -8,9 +8,10 @@ the cluster's shared checkpoint folder.
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 200_000
@@ -33,30 +34,33 @@ def bounded(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df.sparkSession.createDataFrame(table, schema=df.schema))
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the checkpoint folder and read it from there."""
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-            folder = tempfile.mkdtemp(prefix="run-")
-        context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
-
-
-def scratch_path(spark, name: str) -> str:
-    """A fresh folder name under the checkpoint folder, for tables and models."""
-    import uuid
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share, as ``spark.checkpoint.dir`` names it.
 
+    Only a session on one machine, as in tests, may leave it unset; such a session gets a folder of its own.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder is None:
-        if not spark.sparkContext.master.startswith("local"):
+        if spark.sparkContext.master.split("[")[0] != "local":
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         folder = tempfile.mkdtemp(prefix="run-")
-    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder.rstrip("/")
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh folder name under the shared folder, for tables and models."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Write ``df`` once as Parquet to the shared folder and read it from there.
+
+    Later jobs read the columns they need, and a lost executor costs no recomputation.
+    """
+    path = scratch_path(df.sparkSession, "stored")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def shuffle_partitions(df: DataFrame) -> int:

@@ -83,10 +83,13 @@ def logistic_fits(
         )
         table = small_table(moved)
         if table is None:
-            state = stored(moved).drop("moved")
-            continue
-        state = F.broadcast(cells.sparkSession.createDataFrame(table.drop_columns(["moved"]), schema=moved.drop("moved").schema))
-        if max((m for m in table["moved"].to_pylist() if m is not None and not math.isnan(m)), default=0.0) < tolerance:
+            kept = stored(moved)
+            state = kept.drop("moved")
+            longest = kept.agg(F.max(F.when(~F.isnan("moved"), F.col("moved")))).first()[0] or 0.0
+        else:
+            state = F.broadcast(cells.sparkSession.createDataFrame(table.drop_columns(["moved"]), schema=moved.drop("moved").schema))
+            longest = max((m for m in table["moved"].to_pylist() if m is not None and not math.isnan(m)), default=0.0)
+        if longest < tolerance:
             break
     everyone = data.select(*keys).distinct()
     return everyone.join(state, keys, "left").select(

@@ -36,13 +36,13 @@ def eligible(df: DataFrame, exclusions: list[Exclusion]) -> DataFrame:
     return reduce(lambda d, e: d.where(~F.coalesce(e.condition, F.lit(False))), exclusions, df)
 
 
-def first_per_entity(df: DataFrame, entity: str, order: str) -> DataFrame:
-    """The row with the smallest order key per entity.
+def first_per_entity(df: DataFrame, entity: str, order: str, tie: str | None = None) -> DataFrame:
+    """The row with the smallest order key per entity; ``tie`` (say, the row id) decides among equal keys.
 
     Planned as a group limit before and after the shuffle, so an entity with
     very many rows sends one row per input task.
     """
-    w = Window.partitionBy(entity).orderBy(order)
+    w = Window.partitionBy(entity).orderBy(order, *([tie] if tie else []))
     return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).drop("_rn")
 
 

@@ -26,11 +26,14 @@ def sample_rows(df: DataFrame, row_id: str, n: int, seed: int = 42) -> DataFrame
 
 
 def linear_shap(
-    rows: DataFrame, row_id: str, vector: str, coefficients: list[float], background_rows: int = 200, seed: int = 42
+    rows: DataFrame, row_id: str, vector: str, coefficients: list[float], background_rows: int | None = None, seed: int = 42
 ) -> DataFrame:
-    """row_id, phi: coefficient times distance from the background mean, per slot."""
+    """row_id, phi: coefficient times distance from the mean, per slot.
+
+    The mean is over all rows, or over a sample of ``background_rows``.
+    """
     values = rows.select(row_id, F.col(vector).cast("array<double>").alias("v"))
-    background = sample_rows(values, row_id, background_rows, seed)
+    background = values if background_rows is None else sample_rows(values, row_id, background_rows, seed)
     size = len(coefficients)
     means = background.agg(*[F.avg(F.element_at("v", i + 1)).alias(f"m{i}") for i in range(size)]).first()
     weights = F.array(*[F.struct(F.lit(float(c)).alias("c"), F.lit(float(means[i])).alias("m")) for i, c in enumerate(coefficients)])

@@ -65,6 +65,8 @@ def collapse_rare(
     Only the levels that stay are brought to the driver: there can be no more
     than 1/threshold of them per column, however many rare ones exist.
     """
+    if keep_top is None and threshold <= 0:
+        return df  # every level has that share
     shares = level_shares(fit_on if fit_on is not None else df, columns)
     if keep_top is not None:
         w = Window.partitionBy("variable").orderBy(F.desc("n"), "level")
@@ -72,7 +74,7 @@ def collapse_rare(
         most = keep_top * len(columns)
     else:
         kept = shares.where(F.col("share") >= threshold)
-        most = math.ceil(1 / threshold) * len(columns)
+        most = math.ceil(1 / threshold) * len(columns)  # so many levels can have that share
     levels: dict[str, list[str]] = {c: [] for c in columns}
     for r in kept.select("variable", "level").limit(most + 1).collect():
         levels[r["variable"]].append(r["level"])
@@ -95,14 +97,14 @@ def numeric_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]
 
 
-def impute_median(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """Fill numeric nulls with the exact column median."""
+def impute_median(df: DataFrame, columns: list[str] | None = None, fit_on: DataFrame | None = None) -> DataFrame:
+    """Fill numeric nulls with the exact column median, of ``fit_on`` if given."""
     columns = columns or numeric_columns(df)
     nulls = df.agg(*[F.count(F.when(F.col(f"`{c}`").isNull(), 1)).alias(c) for c in columns]).first()
     gaps = [c for c in columns if nulls[c]]
     if not gaps:
         return df
-    found = exact_quantiles(long_numbers(df, gaps), "value", [0.5], keys=["variable"]).collect()
+    found = exact_quantiles(long_numbers(df if fit_on is None else fit_on, gaps), "value", [0.5], keys=["variable"]).collect()
     fills = {r["variable"]: r["q"][0] for r in found}
     return df.withColumns({c: F.coalesce(F.col(f"`{c}`"), F.lit(v)) for c, v in fills.items()})
 

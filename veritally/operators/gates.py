@@ -36,7 +36,9 @@ def evaluate_gates(stats: DataFrame, gates: list[Gate]) -> DataFrame:
 
 def enforce(gates: DataFrame) -> DataFrame:
     """Raise on the first failed fatal gates, return the table otherwise."""
-    failed = gates.where(~F.col("passed") & F.col("fatal")).limit(20).collect()
+    wrong = gates.where(~F.col("passed") & F.col("fatal"))
+    failed = wrong.limit(20).collect()
     if failed:
-        raise GateError("; ".join(f"[{r['name']}] {r['detail']}" for r in failed))
+        more = wrong.count() - len(failed)
+        raise GateError("; ".join(f"[{r['name']}] {r['detail']}" for r in failed) + (f"; and {more} more" if more > 0 else ""))
     return gates

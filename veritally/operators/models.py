@@ -97,6 +97,14 @@ def candidate_points(trials: DataFrame, trial: str, space: list[tuple], seed: in
     )
 
 
+def forest_depth(params: dict) -> int:
+    """MLlib's forests have at most 30 levels; more can't be had and isn't cut without a word."""
+    depth = int(params.get("max_depth", 30))
+    if depth > 30:
+        raise ValueError(f"max_depth {depth} is beyond the 30 levels that MLlib's forests have")
+    return depth
+
+
 def make_estimator(key: str, params: dict | None, n_weight: float, seed: int = 42, weighted: bool = False):
     """An unfitted MLlib classifier on ``features`` / ``label``.
 
@@ -121,7 +129,7 @@ def make_estimator(key: str, params: dict | None, n_weight: float, seed: int = 4
     if key == "random_forest":
         return RandomForestClassifier(
             numTrees=int(p.get("n_estimators", 500)),
-            maxDepth=int(min(p.get("max_depth", 30), 30)),
+            maxDepth=forest_depth(p),
             minInstancesPerNode=int(p.get("min_samples_leaf", 1)),
             featureSubsetStrategy=str(p.get("max_features", "sqrt")),
             maxBins=64,

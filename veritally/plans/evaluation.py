@@ -55,6 +55,7 @@ def comparison_table(
     n_resamples: int = 2000,
     seed: int = 42,
     metric: str = "auprc",
+    mode: str = "exact",
 ) -> dict[str, DataFrame]:
     """DeLong with Holm for all pairs, and for the primary pair a paired difference and McNemar."""
     cut = {r["model"]: r["capacity"] for r in thresholds.select("model", "capacity").where(F.col("model").isin(*primary)).collect()}
@@ -62,7 +63,7 @@ def comparison_table(
     a, b = primary
     return {
         "pairs": compare_models(scored, models, primary, row_id),
-        "difference": bootstrap_difference(scored, a, b, metric, row_id, n_resamples, seed=seed),
+        "difference": bootstrap_difference(scored, a, b, metric, row_id, n_resamples, seed=seed, mode=mode),
         "mcnemar": mcnemar_test(wide, F.col(a), F.col(b), cut[a], cut[b]),
     }
 

@@ -86,14 +86,14 @@ ROW_ID, TARGET = "row_id", "target"
 def exclusions(drop_unknown_gender: bool = True) -> list[Exclusion]:
     out = [
         Exclusion(
-            "After excluding death/hospice discharges",
+            "without discharge_disposition_id " + "/".join(map(str, DEATH_OR_HOSPICE)),
             code_in("discharge_disposition_id", DEATH_OR_HOSPICE),
-            f"discharge_disposition_id in {DEATH_OR_HOSPICE}",
+            "died or left for terminal care",
         )
     ]
     if drop_unknown_gender:
         out.append(
-            Exclusion("After excluding unknown gender", F.col("gender") == "Unknown/Invalid", "gender = Unknown/Invalid")
+            Exclusion("without gender Unknown/Invalid", F.col("gender") == "Unknown/Invalid", "gender not recorded")
         )
     return out
 
@@ -172,4 +172,4 @@ def analysis_matrix(
     unused += ["admission_type_id", "discharge_disposition_id", "admission_source_id", *dropped]
     rows = rows.withColumnRenamed("encounter_id", ROW_ID).drop(*unused)
     rows = explicit_unknown(rows, MISSING_TOKENS)
-    return impute_median(rows), Screens(dropped)
+    return impute_median(rows, fit_on=None if fit_on is None else learn), Screens(dropped)
