@@ -503,10 +503,16 @@ ORACLES["inference_mcnemar"] = f"""with {orders_wide_cte()}, r as (select ((pa >
 
 def mcnemar_p(spark, sf):
     wide = scored_orders_wide(spark, sf)
-    return inf.mcnemar_test(wide, F.col("pa"), F.col("pb"), 0.45, 0.4)
+    return rounded(inf.mcnemar_test(wide, F.col("pa"), F.col("pb"), 0.45, 0.4))
 
 
 QUERIES["inference_mcnemar_exact_p"] = mcnemar_p
+ORACLES["inference_mcnemar_exact_p"] = f"""with {orders_wide_cte()}, r as (select ((pa >= 0.45::double)::int = y) as a, ((pb >= 0.4::double)::int = y) as b from wide),
+  n as (select sum((a and not b)::int)::bigint as n01, sum((not a and b)::int)::bigint as n10 from r),
+  t as (select n01, n10, n01 + n10 as n, unnest(range(0, least(n01, n10) + 1)) as k from n),
+  tail as (select sum(exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) - n * ln(2))) as half from t where n > 0)
+  select n01, n10, round(coalesce(pow(abs(n01 - n10) - 1, 2) / nullif(n01 + n10, 0), 0), 6) as statistic,
+    round(least(1, 2 * coalesce(half, 0.5)), 6) as p_value from n, tail"""
 
 
 def holm(spark, sf):

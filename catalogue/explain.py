@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from catalogue.modelling import ROLES, SMALL
@@ -69,14 +70,33 @@ def _forest(spark, sf, key):
 def shap_tree(key: str):
     def run(spark, sf):
         df, model = _forest(spark, sf, key)
-        rows = ex.sample_rows(df, "o_orderkey", 300)
-        encoded = drop_helpers(model.encoding.transform(rows)).select("o_orderkey", "features")
+        encoded = drop_helpers(model.encoding.transform(df)).select("o_orderkey", "features")
         phis = ex.tree_shap(encoded, "o_orderkey", model.classifier)
         return rounded(ex.mean_abs_shap(phis, model.encoding.names, ROLES.features))
 
     return run
 
 
+def shap_adds_up(key: str):
+    """Whether the attributions of each row and the base add up to the model's output for that row."""
+
+    def run(spark, sf):
+        df, model = _forest(spark, sf, key)
+        encoded = drop_helpers(model.encoding.transform(df)).select("o_orderkey", "features")
+        phis = ex.tree_shap(encoded, "o_orderkey", model.classifier)
+        raw = "rawPrediction" if key == "boosted_depthwise" else "probability"
+        out = vector_to_array(raw)[1].alias("raw")
+        told = model.classifier.transform(encoded).select("o_orderkey", out)
+        total = F.col("base") + F.aggregate("phi", F.lit(0.0), lambda t, x: t + x)
+        return phis.join(told, "o_orderkey").select("o_orderkey", (F.abs(total - F.col("raw")) < 1e-6).alias("adds_up"))
+
+    return run
+
+
+for _key, _name in (("boosted_depthwise", "boosted"), ("random_forest", "forest")):
+    QUERIES[f"explain_tree_shap_{_name}_adds_up"] = shap_adds_up(_key)
+    ORACLES[f"explain_tree_shap_{_name}_adds_up"] = "select o_orderkey, true as adds_up from orders"
+
 QUERIES["explain_tree_shap_boosted"] = shap_tree("boosted_depthwise")
 QUERIES["explain_tree_shap_forest"] = shap_tree("random_forest")
 
@@ -106,18 +126,18 @@ def _formula(df):
 
 
 def permutation(spark, sf):
-    return rounded(ex.permutation_importance(_formula_rows(spark, sf), "o_orderkey", "target", FORMULA, _formula, repeats=3))
+    return rounded(ex.permutation_importance(_formula_rows(spark, sf), "o_orderkey", "target", FORMULA, _formula))
 
 
 QUERIES["explain_permutation_importance"] = permutation
 ORACLES["explain_permutation_importance"] = f"""with d as (select o_orderkey, (o_orderpriority = '1-URGENT')::int as y, o_totalprice as price,
     year(o_orderdate) - 1990 + 3 * (o_orderpriority = '1-URGENT')::int as recent from orders),
   b as (select *, row_number() over (order by {h(42, 'permutation-base', 'o_orderkey')}, o_orderkey) as idx from d),
-  k as (select f as feature, r as rep from (select unnest(['price', 'recent']) as f), (select unnest([0, 1, 2]) as r)),
-  g as (select feature, rep, price as gp, recent as gr, row_number() over (partition by feature, rep
-    order by {h(42, 'permutation', 'feature', 'rep', 'o_orderkey')}, o_orderkey) as idx from d cross join k),
-  s as (select g.feature, g.rep, y, (case when g.feature = 'price' then gp else price end) / 1000000.0::double
-    + (case when g.feature = 'recent' then gr else recent end) / 20.0::double as p from b join g using (idx)),
+  k as (select f as feature, r as rep from (select unnest(['price', 'recent']) as f), (select unnest(range(10)) as r)),
+  g as (select rep, price as gp, recent as gr, row_number() over (partition by rep
+    order by {h(42, 'permutation', 'rep', 'o_orderkey')}, o_orderkey) as idx from d cross join (select distinct rep from k)),
+  s as (select k.feature, k.rep, y, (case when k.feature = 'price' then gp else price end) / 1000000.0::double
+    + (case when k.feature = 'recent' then gr else recent end) / 20.0::double as p from b join g using (idx) join k using (rep)),
   {ladder_cte(['feature', 'rep'], 's')},
   a as (select feature, rep, {metrics_sql(['auroc']).replace('round(', '(').replace(', 6)', ')')} from ladder group by feature, rep),
   w as (select y, price / 1000000.0::double + recent / 20.0::double as p from d), {ladder_cte([], 'w', None, 'wl')},

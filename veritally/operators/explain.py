@@ -82,7 +82,7 @@ def tree_nodes(spark: SparkSession, model) -> tuple[pd.DataFrame, np.ndarray]:
 
 
 def _leaf_paths(nodes: pd.DataFrame, weights: np.ndarray, classify: bool) -> list[dict]:
-    """Per leaf: weighted value, and per feature on its path the interval and the share of cover that follows it."""
+    """Per leaf: weighted value, and per feature on its path the interval or categories and the share of cover that follows it."""
     leaves = []
     for tree, part in nodes.groupby("tree"):
         table = {r["id"]: r for r in part.to_dict("records")}
@@ -99,12 +99,18 @@ def _leaf_paths(nodes: pd.DataFrame, weights: np.ndarray, classify: bool) -> lis
                     value = node["stats"][1] / max(sum(node["stats"]), 1e-300)
                 leaves.append({"value": scale * value, "path": path})
                 continue
-            f, cut = int(node["feature"]), float(node["threshold"][0])
+            f = int(node["feature"])
+            named = node["categories"] >= 0  # such a split sends listed categories to the left
+            cut = {float(c) for c in node["threshold"]} if named else float(node["threshold"][0])
             for child, is_left in ((node["left"], True), (node["right"], False)):
-                low, high, share = path.get(f, (-np.inf, np.inf, 1.0))
+                low, high, share, allowed = path.get(f, (-np.inf, np.inf, 1.0, None))
                 share *= table[child]["cover"] / node["cover"]
-                low, high = (low, min(high, cut)) if is_left else (max(low, cut), high)
-                stack.append((child, {**path, f: (low, high, share)}))
+                if named:
+                    allowed = set(map(float, range(int(node["categories"])))) if allowed is None else allowed
+                    allowed = allowed & cut if is_left else allowed - cut
+                else:
+                    low, high = (low, min(high, cut)) if is_left else (max(low, cut), high)
+                stack.append((child, {**path, f: (low, high, share, allowed)}))
     return leaves
 
 
@@ -118,6 +124,9 @@ def _shapley(x: np.ndarray, leaves: list[dict]) -> np.ndarray:
             continue
         lows, highs, shares = (np.array([leaf["path"][f][i] for f in features]) for i in range(3))
         followed = ((x[:, features] > lows) & (x[:, features] <= highs)).astype("float64")
+        for m, f in enumerate(features):
+            if leaf["path"][f][3] is not None:
+                followed[:, m] *= np.isin(x[:, f], list(leaf["path"][f][3]))
         for j in range(d):
             # poly[s] sums, over coalitions of s other features, follow x share products
             poly = np.zeros((len(x), d))
@@ -142,7 +151,7 @@ def tree_shap(encoded: DataFrame, row_id: str, model, features: str = "features"
     nodes, weights = tree_nodes(encoded.sparkSession, model)
     classify = "GBT" not in type(model).__name__
     leaves = _leaf_paths(nodes, weights, classify)
-    base = float(sum(leaf["value"] * np.prod([s for _, _, s in leaf["path"].values()]) for leaf in leaves))
+    base = float(sum(leaf["value"] * np.prod([step[2] for step in leaf["path"].values()]) for leaf in leaves))
     shared = encoded.sparkSession.sparkContext.broadcast(leaves)
 
     def explain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -164,28 +173,20 @@ def tree_shap(encoded: DataFrame, row_id: str, model, features: str = "features"
 def permuted_rows(df: DataFrame, row_id: str, features: list[str], repeats: int = 10, seed: int = 42) -> DataFrame:
     """All rows once per (feature, repeat) with that one feature shuffled.
 
-    Position i of the hash order hands its value to position i of the id order;
-    both orders are numbered in parallel and meet in one equi-join.
+    A repeat has one order for all features: position i of the hash order hands its values to
+    position i of the id order. Both orders are numbered in parallel and meet in one equi-join
+    per repeat; the copies of a row for each feature are made after it, where the row lies, so
+    what is shuffled doesn't grow with the number of features.
     """
-    pairs = F.array(
-        *[F.struct(F.lit(f).alias("feature"), F.lit(r).alias("rep")) for f in features for r in range(repeats)]
-    )
-    base = stored(stratified_index(df, [], row_id, seed, "permutation-base"))
-    receivers = base.drop("stratum_n").select("*", F.inline(pairs))
-    # Only the one value that moves is sent, as text: doubles survive the round trip.
-    value = reduce(
-        lambda rest, f: F.when(F.col("feature") == f, F.col(f).cast("string")).otherwise(rest), features, F.lit(None)
-    )
-    givers = base.select(F.col(row_id).alias("_giver"), *features, F.inline(pairs)).select(
-        "_giver", "feature", "rep", value.alias("_new")
-    )
-    shuffled = stratified_index(
-        givers, ["feature", "rep"], "_giver", seed, "permutation", hash_on=["feature", "rep", "_giver"]
-    ).drop("stratum_n", "_giver")
-    types = {f.name: f.dataType for f in df.schema.fields}
-    joined = receivers.join(shuffled, ["feature", "rep", "idx"]).drop("idx")
-    return joined.withColumns(
-        {f: F.when(F.col("feature") == f, F.col("_new").cast(types[f])).otherwise(F.col(f)) for f in features}
+    base = stored(stratified_index(df, [], row_id, seed, "permutation-base")).drop("stratum_n")
+    reps = F.explode(F.array(*[F.lit(r) for r in range(repeats)])).alias("rep")
+    new = F.struct(*[F.col(f"`{f}`") for f in features]).alias("_new")
+    givers = base.select(F.col(row_id).alias("_giver"), new, reps)
+    turned = stratified_index(givers, ["rep"], "_giver", seed, "permutation", hash_on=["rep", "_giver"]).drop("stratum_n", "_giver")
+    joined = base.select("*", reps).join(turned, ["rep", "idx"]).drop("idx")
+    moved = joined.withColumn("feature", F.explode(F.array(*[F.lit(f) for f in features])))
+    return moved.withColumns(
+        {f: F.when(F.col("feature") == f, F.col("_new").getField(f)).otherwise(F.col(f"`{f}`")) for f in features}
     ).drop("_new")
 
 
