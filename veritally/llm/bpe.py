@@ -35,7 +35,7 @@ from veritally.llm.words import pieces, utf8
 
 SUFFIX = "</w>"
 END = 0x0400  # added to a symbol's code point when it ends a word; byte symbols lie below
-CACHED_WORDS = 800_000
+CACHED_WORDS = 800_000  # twice as many without their decoded text
 PRINTABLE = re.compile(rb"[!-~]+").fullmatch
 # Fixed value: the word pattern of the vocabulary file, for lower-case ASCII. The byte alphabet shows printable ASCII as itself.
 ASCII_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+").findall
@@ -119,7 +119,7 @@ class Encoder:
 
     def learn(self, words: set[bytes]) -> None:
         """Adds words to the tables. A full table becomes the older one, from which words in use come back."""
-        if len(self.ids) > CACHED_WORDS // 2:
+        if len(self.ids) > (CACHED_WORDS // 2 if self.decoding else CACHED_WORDS):
             self.older = self.ids, self.decoded
             self.ids, self.decoded, self.piece_ids, self.piece_text = {}, {}, {}, {}
         ids, decoded = self.ids, self.decoded
