@@ -232,7 +232,7 @@ ORACLES["sensitivity_missing_data_arms"] = f"""with {SPLIT_CTE},
     union all select 'complete_case', split, target from split where o_orderkey % 3 <> 0),
   n as (select arm, sum((split = 'development')::int)::bigint as n_development, sum((split = 'holdout')::int)::bigint as n_holdout,
     count(distinct target) filter (where split = 'holdout') as classes from arms group by arm)
-  select arm, n_development, n_holdout, n_holdout as scored from n where n_holdout >= 200 and classes = 2"""
+  select arm, n_development, n_holdout, case when n_holdout >= 200 and classes = 2 then n_holdout else 0 end::bigint as scored from n"""
 
 
 def arm_metrics(spark, sf):
