@@ -236,7 +236,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     s = settings
     rows = written(describe(docs, doc_id, text, s), "described")
     real = rows.filter("n_shingles > 0 and doc_id is not null")
-    names = real.groupBy("digest").agg(F.min("doc_id").alias("node"))
+    names = written(real.groupBy("digest").agg(F.min("doc_id").alias("node")), "names")  # a table, so that Spark may split a hot digest in joins
     nodes = written(real.join(names, "digest").filter("doc_id = node").dropDuplicates(["node"]).select("node", "bands", "sketch"), "nodes")
 
     banded = nodes.select("node", F.explode("bands").alias("key"))

@@ -201,7 +201,8 @@ def repeated_starts(docs: DataFrame, doc_id: str, text: str, s: Settings) -> Dat
     """(own, low, high): runs of starts of repeated windows, by key of the text."""
     cells = emit(docs, doc_id, text, s)
     cells = written(cells, "cells")
-    seen = cells.groupBy("anchor").agg(F.count("*").alias("times")).filter("times > 1").select("anchor")
+    # tables of their own, so that Spark may split the join where one anchor has very many cells
+    seen = written(cells.groupBy("anchor").agg(F.count("*").alias("times")).filter("times > 1").select("anchor"), "seen")
     cells = written(cells.join(seen, "anchor", "left_semi"), "repeated")
 
     one = F.struct("doc", "own", "low", "high", "place")
@@ -209,7 +210,7 @@ def repeated_starts(docs: DataFrame, doc_id: str, text: str, s: Settings) -> Dat
     many = folded.filter("n > 1").select("cell")
     out = [cells.join(many, "cell", "left_semi").select("own", "low", "high")]
 
-    differ = folded.groupBy("anchor").agg(F.count("*").alias("kinds")).filter("kinds > 1").select("anchor")
+    differ = written(folded.groupBy("anchor").agg(F.count("*").alias("kinds")).filter("kinds > 1").select("anchor"), "differ")
     wanted = folded.join(differ, "anchor", "left_semi").select("anchor", "cell", "n", "one.*")
     open_cells = written(with_bytes(docs, doc_id, text, wanted, s), "open")
     for width in (*s.narrower, 0):
