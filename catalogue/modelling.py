@@ -251,7 +251,7 @@ def recalibrated(method: str):
     def run(spark, sf):
         s = stored(split_orders(spark, sf))
         dev, hold = s.where("split = 'development'"), s.where("split = 'holdout'")
-        scored = calibrated_scores("parsimonious_lr", dev, hold, ROLES, "target", "o_orderkey", method=method, k=3)
+        scored = calibrated_scores("parsimonious_lr", dev, hold, ROLES, "target", "o_orderkey", method=method)
         return rounded(ladder_metrics(score_ladder(scored, ["model"]), ["model"]))
 
     return run

@@ -12,8 +12,9 @@ from catalogue import registry
 from veritally.operators import bootstrap as bs
 from veritally.operators import explain as ex
 from veritally.operators import inference as inf
-from veritally.operators.bounded import bounded
-from veritally.operators.calibration import integrated_calibration_index
+from veritally.operators.bootstrap import bootstrap_ci
+from veritally.operators.bounded import bounded, scratch_path
+from veritally.operators.calibration import calibration_fits, integrated_calibration_index
 from veritally.operators.discrimination import ladder_metrics
 from veritally.operators.ladder import score_ladder
 from veritally.operators.models import fit_model, make_estimator
@@ -22,6 +23,7 @@ from veritally.operators.quantiles import exact_quantiles
 from veritally.operators.row_index import stratified_index
 from veritally.operators.running import running
 from veritally.operators.split import ColumnRoles
+from veritally.sources.tables import file_digests
 
 
 @pytest.fixture(scope="module")
@@ -272,3 +274,55 @@ def test_no_cross_join(spark, sf, name):
 def test_first_per_entity_limits_before_the_shuffle(spark, sf):
     plan = registry.all_queries()["cohort_first_per_entity"](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("WindowGroupLimit") == 2
+
+
+class _Cluster:
+    """As much of a session as the shared folder is asked of."""
+
+    def __init__(self, master, folder=None):
+        self.conf = {"spark.checkpoint.dir": folder}
+        self.sparkContext = self
+        self.master = master
+
+    def getCheckpointDir(self):
+        return None
+
+
+@pytest.mark.parametrize("master", ["yarn", "local-cluster[3,2,1024]", "k8s://host"])
+def test_a_cluster_without_a_shared_folder_raises(master):
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        scratch_path(_Cluster(master), "x")
+    assert scratch_path(_Cluster(master, "hdfs://shared/"), "x").startswith("hdfs://shared/x-")
+
+
+def test_fits_of_a_thousand_groups_and_of_one_agree(spark):
+    """One rule of convergence, whether the coefficients fit on the driver or not."""
+    rows = spark.range(40_000).selectExpr("id % 1000 as g", "(id div 1000) / 50.0 + 0.1 as p", "cast(xxhash64(id) % 3 = 0 as int) as y")
+    cells = rows.groupBy("g", "p").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
+    whole = {r["g"]: r for r in calibration_fits(cells, ["g"]).collect()}
+    assert len(whole) == 1000
+    one = calibration_fits(cells.where("g = 7"), ["g"]).first()
+    assert whole[7]["calibration_slope"] == pytest.approx(one["calibration_slope"], abs=1e-9)
+
+
+def test_file_digests(spark, tmp_path):
+    import hashlib
+
+    content = {"a.bin": b"x", "b.bin": bytes(range(256)) * 4000}
+    for name, data in content.items():
+        (tmp_path / name).write_bytes(data)
+    found = {r["path"].rsplit("/", 1)[1]: (r["bytes"], r["sha256"]) for r in file_digests(spark, str(tmp_path)).collect()}
+    assert found == {n: (len(d), hashlib.sha256(d).hexdigest()) for n, d in content.items()}
+
+
+def test_search_prunes_alike_in_any_order():
+    from veritally.operators.tuning import should_stop
+
+    earlier = [[float(k), float(k)] for k in range(9)]
+    assert should_stop(earlier, 1, 3.9, 8, 1) and not should_stop(earlier, 1, 4.1, 8, 1)
+    assert not should_stop(earlier, 0, 0.0, 8, 1) and not should_stop(earlier[:7], 1, 0.0, 8, 1)
+
+
+def test_functions_as_metrics_are_drawn_exactly_or_not_at_all(spark):
+    with pytest.raises(ValueError, match="exact"):
+        bootstrap_ci(spark.range(3).selectExpr("id as row_id", "1 as y", "0.5 as p"), [], metrics={"x": lambda: F.count("p")}, mode="poisson")

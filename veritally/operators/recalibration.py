@@ -6,11 +6,11 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veritally.functions.columns import sigmoid
+from veritally.functions.columns import logit, sigmoid
 from veritally.operators.bounded import bounded, stored
 from veritally.operators.calibration import logistic_fits
 from veritally.operators.ladder import score_cells
-from veritally.operators.models import fit_model
+from veritally.operators.models import MODELS, fit_model
 from veritally.operators.split import ColumnRoles, stratified_folds
 
 
@@ -50,7 +50,10 @@ def calibrated_scores(
     seed: int = 42,
     features: list[str] | None = None,
 ) -> DataFrame:
-    """row_id, y, model, p: hold-out scores averaged over k calibrated fold models."""
+    """row_id, y, model, p: hold-out scores averaged over k calibrated fold models.
+
+    The sigmoid is fitted on log odds for linear models, on p for tree ensembles.
+    """
     folded = stored(stratified_folds(dev, target, row_id, k, 1, seed))
     out_of_fold, ahead = None, None
     for f in range(k):
@@ -61,6 +64,8 @@ def calibrated_scores(
         ahead = outside if ahead is None else ahead.unionByName(outside)
     out_of_fold = stored(out_of_fold)
     if method == "sigmoid":
+        if MODELS[key].linear:  # a linear model's decision value is its log odds
+            ahead, out_of_fold = (t.withColumn("p", logit(F.col("p"))) for t in (ahead, out_of_fold))
         adjusted = apply_platt(ahead, platt_fits(out_of_fold, ["fold"]), ["fold"])
     elif method == "isotonic":
         adjusted = None

@@ -67,6 +67,6 @@ def write_attributions(phis: DataFrame, row_id: str, names: list[str], path: str
 
 
 def file_digests(spark: SparkSession, path: str) -> DataFrame:
-    """path, bytes, sha256 of every file under a path."""
+    """path, bytes, sha256 of every file under a path that isn't empty; a file of 2 GB or more can't be one row and raises."""
     files = spark.read.format("binaryFile").load(path)
     return files.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
