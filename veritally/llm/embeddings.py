@@ -116,50 +116,56 @@ def spanning(a: np.ndarray, b: np.ndarray, n: int) -> list[tuple[int, int]]:
     return out
 
 
-def counted_in_tiles(members: DataFrame, s: Settings) -> DataFrame:
-    """Rows (a, b, links): with b null, how many vectors a links to in this tile pair; else a link."""
+def counted(node: np.ndarray, copies: np.ndarray, linked: np.ndarray, left: np.ndarray, right: np.ndarray, own: bool) -> pa.Table:
+    """Rows (a, b, links) of a linked-or-not matrix: with b null, how many vectors a links to; else a link of a spanning set."""
+    links = np.zeros(len(node), np.int64)
+    links[left] = linked @ copies[right]
+    if not own:
+        links[right] += linked.T @ copies[left]
+    x, y = np.nonzero(linked)
+    pairs = spanning(left[x], right[y], len(node))
+    some = np.flatnonzero(links)
+    a = [*node[some].tolist(), *(int(node[p]) for p, _ in pairs)]
+    b = [None] * len(some) + [int(node[q]) for _, q in pairs]
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "links": pa.array([*links[some].tolist(), *[0] * len(pairs)], pa.int64())})
+
+
+def linked_by_label(members: DataFrame, s: Settings) -> DataFrame:
+    """``counted`` over all pairs of each label."""
 
     def run(table: pa.Table) -> pa.Table:
         tile = np.asarray(table["tile"])
         low, high = table["t"][0].as_py(), table["u"][0].as_py()
-        node, copies, vectors = np.asarray(table["node"]), np.asarray(table["copies"]), matrix(table["vector"])
+        vectors = matrix(table["vector"])
         left, right = np.flatnonzero(tile == low), np.flatnonzero(tile == high)
         linked = cosines(vectors[left], vectors[right]) >= s.cosine
         if low == high:
             np.fill_diagonal(linked, False)
-            links = np.zeros(len(node), np.int64)
-            links[left] = linked @ copies[right]
-        else:
-            links = np.zeros(len(node), np.int64)
-            links[left] = linked @ copies[right]
-            links[right] = linked.T @ copies[left]
-        x, y = np.nonzero(linked)
-        pairs = spanning(left[x], right[y], len(node))
-        some = np.flatnonzero(links)
-        a = np.concatenate([node[some], node[[p for p, _ in pairs]]]) if pairs else node[some]
-        b = [None] * len(some) + [int(node[q]) for _, q in pairs]
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "links": pa.array(links[some].tolist() + [0] * len(pairs), pa.int64())})
+        return counted(np.asarray(table["node"]), np.asarray(table["copies"]), linked, left, right, low == high)
 
     cut = in_tiles(members, "label", s.tile).select("label", "t", "u", "tile", "node", "copies", "vector")
     return cut.groupBy("label", "t", "u").applyInArrow(run, "a long, b long, links long")
 
 
-def pairs_in_tiles(members: DataFrame, s: Settings) -> DataFrame:
-    """Linked pairs (a, b) that share a bucket but no label."""
+def linked_by_key(members: DataFrame, s: Settings) -> DataFrame:
+    """``counted`` over the pairs that share a bucket but no label, each in the first bucket that it shares."""
 
     def run(table: pa.Table) -> pa.Table:
         tile = np.asarray(table["tile"])
-        low, high = table["t"][0].as_py(), table["u"][0].as_py()
+        low, high, here = table["t"][0].as_py(), table["u"][0].as_py(), table["key"][0].as_py()
         node, label, vectors = np.asarray(table["node"]), np.asarray(table["label"]), matrix(table["vector"])
+        keys = np.asarray(table["keys"].combine_chunks().flatten()).reshape(len(node), -1)
         left, right = np.flatnonzero(tile == low), np.flatnonzero(tile == high)
         linked = (cosines(vectors[left], vectors[right]) >= s.cosine) & (label[left][:, None] != label[right])
-        x, y = np.nonzero(linked)
-        ends = np.sort(np.column_stack([node[left[x]], node[right[y]]]), axis=1)
-        ends = np.unique(ends, axis=0) if len(ends) else ends
-        return pa.table({"a": pa.array(ends[:, 0], pa.int64()), "b": pa.array(ends[:, 1], pa.int64())})
+        for i, row in zip(left.tolist(), linked):
+            js = np.flatnonzero(row)
+            if len(js):
+                same = keys[right[js]] == keys[i]
+                row[js[keys[i][same.argmax(axis=1)] != here]] = False
+        return counted(node, np.asarray(table["copies"]), linked, left, right, low == high)
 
-    cut = in_tiles(members, "key", s.tile).select("key", "t", "u", "tile", "node", "label", "vector")
-    return cut.groupBy("key", "t", "u").applyInArrow(run, "a long, b long").distinct()
+    cut = in_tiles(members, "key", s.tile).select("key", "t", "u", "tile", "node", "label", "copies", "keys", "vector")
+    return cut.groupBy("key", "t", "u").applyInArrow(run, "a long, b long, links long")
 
 
 def link_vectors(rows: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", settings: Settings = Settings()) -> DataFrame:
@@ -173,24 +179,20 @@ def link_vectors(rows: DataFrame, vec_id: str = "vec_id", vector: str = "embeddi
     nodes = written(nodes, "vectors")
     projections, tables = shape(nodes.count(), s)
 
-    keys = written(hashed(nodes, projections, tables, s), "keys").select("node", F.explode("keys").alias("key"))
+    hashes = written(hashed(nodes, projections, tables, s), "keys")
+    keys = hashes.select("node", F.explode("keys").alias("key"))
     shared = keys.groupBy("key").agg(F.min("node").alias("lead"), F.max("node").alias("top")).filter("lead < top").drop("top")
     keys = written(keys.join(shared, "key"), "buckets")
     lead = keys.groupBy("node").agg(F.min("lead").alias("lead"))
     lead = keys.select("key", "node").join(lead, "node").groupBy("key").agg(F.min("lead").alias("lead"))
     label = written(keys.select("key", "node").join(lead, "key").groupBy("node").agg(F.min("lead").alias("label")), "labels")
 
-    inner = written(counted_in_tiles(label.join(nodes, "node"), s), "inner")
     spread = keys.select("key", "node").join(label, "node")
     mixed = spread.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x < y").select("key")
-    outer = written(pairs_in_tiles(spread.join(mixed, "key", "left_semi").join(nodes.drop("copies"), "node"), s), "outer")
-
-    groups = components(inner.filter("b is not null").select("a", "b").union(outer))
-    of = lambda c: nodes.select(F.col("node").alias(c), "copies")
-    counts = inner.filter("b is null").select(F.col("a").alias("node"), "links")
-    for c, other in (("a", "b"), ("b", "a")):
-        counts = counts.union(outer.join(of(other), other).select(F.col(c).alias("node"), F.col("copies").alias("links")))
-    counts = counts.groupBy("node").agg(F.sum("links").alias("links"))
+    apart = spread.join(mixed, "key", "left_semi").join(hashes, "node").join(nodes, "node")
+    links = written(linked_by_label(label.join(nodes, "node"), s).union(linked_by_key(apart, s)), "links")
+    groups = components(links.filter("b is not null").select("a", "b"))
+    counts = links.filter("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
     found = nodes.join(counts, "node", "left").join(groups, "node", "left")
     found = found.select("vector", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "node").alias("component"))
     linked = good.join(found, "vector").select("vec_id", "n_links", F.col("component").alias("component_id"))

@@ -218,10 +218,19 @@ class Scorer:
 
 
 def sample(docs: DataFrame, text: str, lang: str, order: str, s: Settings) -> DataFrame:
-    """At most ``s.sample_texts`` texts of each language."""
+    """At most ``s.sample_texts`` texts of each language.
+
+    Texts are thinned by hash to about three times as many before they are ranked, so few texts travel however many there are.
+    """
+    key = F.xxhash64(F.col(f"`{order}`").cast("string"))
+    rows = docs.select(F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").alias("lang"), key.alias("key"))
+    rows = rows.filter(F.col("text").isNotNull() & F.col("lang").isNotNull())
+    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # as many rows as languages
+    if sizes:
+        most = [x for k, n in sizes.items() for x in (F.lit(k), F.lit(min((1 << 63) - 1, -(1 << 63) + (3 * s.sample_texts << 64) // n)))]
+        rows = rows.filter(F.col("key") <= F.element_at(F.create_map(*most), F.col("lang")))
     pick = Window.partitionBy("lang").orderBy("key", "text")
-    rows = docs.select(F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").alias("lang"), F.xxhash64(F.col(f"`{order}`").cast("string")).alias("key"))
-    rows = rows.filter(F.col("text").isNotNull() & F.col("lang").isNotNull() & (F.octet_length("text") <= s.sample_bytes))
+    rows = rows.filter(F.octet_length("text") <= s.sample_bytes)
     return rows.withColumn("rank", F.row_number().over(pick)).filter(F.col("rank") <= s.sample_texts).select("text", "lang")
 
 
