@@ -130,8 +130,8 @@ def counted(node: np.ndarray, copies: np.ndarray, linked: np.ndarray, left: np.n
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "links": pa.array([*links[some].tolist(), *[0] * len(pairs)], pa.int64())})
 
 
-def linked_by_label(members: DataFrame, s: Settings) -> DataFrame:
-    """``counted`` over all pairs of each label."""
+def linked_by_label(members: DataFrame, nodes: DataFrame, s: Settings) -> DataFrame:
+    """``counted`` over all pairs of each label of the members (label, node)."""
 
     def run(table: pa.Table) -> pa.Table:
         tile = np.asarray(table["tile"])
@@ -143,12 +143,12 @@ def linked_by_label(members: DataFrame, s: Settings) -> DataFrame:
             np.fill_diagonal(linked, False)
         return counted(np.asarray(table["node"]), np.asarray(table["copies"]), linked, left, right, low == high)
 
-    cut = in_tiles(members, "label", s.tile).select("label", "t", "u", "tile", "node", "copies", "vector")
+    cut = in_tiles(members, "label", s.tile).join(nodes, "node").select("label", "t", "u", "tile", "node", "copies", "vector")
     return cut.groupBy("label", "t", "u").applyInArrow(run, "a long, b long, links long")
 
 
-def linked_by_key(members: DataFrame, s: Settings) -> DataFrame:
-    """``counted`` over the pairs that share a bucket but no label, each in the first bucket that it shares."""
+def linked_by_key(members: DataFrame, nodes: DataFrame, hashes: DataFrame, s: Settings) -> DataFrame:
+    """``counted`` over the pairs of members (key, node, label) that share a bucket but no label, each in the first bucket that it shares."""
 
     def run(table: pa.Table) -> pa.Table:
         tile = np.asarray(table["tile"])
@@ -164,7 +164,8 @@ def linked_by_key(members: DataFrame, s: Settings) -> DataFrame:
                 row[js[keys[i][same.argmax(axis=1)] != here]] = False
         return counted(node, np.asarray(table["copies"]), linked, left, right, low == high)
 
-    cut = in_tiles(members, "key", s.tile).select("key", "t", "u", "tile", "node", "label", "copies", "keys", "vector")
+    cut = in_tiles(members, "key", s.tile).join(hashes, "node").join(nodes, "node")
+    cut = cut.select("key", "t", "u", "tile", "node", "label", "copies", "keys", "vector")
     return cut.groupBy("key", "t", "u").applyInArrow(run, "a long, b long, links long")
 
 
@@ -189,8 +190,8 @@ def link_vectors(rows: DataFrame, vec_id: str = "vec_id", vector: str = "embeddi
 
     spread = keys.select("key", "node").join(label, "node")
     mixed = spread.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x < y").select("key")
-    apart = spread.join(mixed, "key", "left_semi").join(hashes, "node").join(nodes, "node")
-    links = written(linked_by_label(label.join(nodes, "node"), s).union(linked_by_key(apart, s)), "links")
+    apart = spread.join(mixed, "key", "left_semi")
+    links = written(linked_by_label(label, nodes, s).union(linked_by_key(apart, nodes, hashes, s)), "links")
     groups = components(links.filter("b is not null").select("a", "b"))
     counts = links.filter("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
     found = nodes.join(counts, "node", "left").join(groups, "node", "left")

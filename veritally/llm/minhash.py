@@ -154,8 +154,11 @@ def confirmed(pairs: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
 
 
 def in_tiles(members: DataFrame, by: str, size: int) -> DataFrame:
-    """Members of each group dealt to tiles of about ``size``, once for each pair of tiles that their own belongs to."""
-    sizes = members.groupBy(by).agg(F.ceil(F.count("*") / size).cast("int").alias("tiles"))
+    """Members (``by``, node, ...) dealt to tiles of about ``size``, once for each pair of tiles that their own belongs to.
+
+    Pass slim rows and join what is wide afterwards, by node: then a hot group is spread before its bytes travel.
+    """
+    sizes = written(members.groupBy(by).agg(F.ceil(F.count("*") / size).cast("int").alias("tiles")), "tiles")
     cut = members.join(sizes, by).withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other")
     cut = cut.select("*", other).withColumns({"t": F.least("tile", "other"), "u": F.greatest("tile", "other")})
@@ -166,8 +169,8 @@ def sketches_of(table: pa.Table, s: Settings) -> np.ndarray:
     return np.asarray(table["sketch"].combine_chunks().flatten()).view(np.uint64).reshape(-1, s.sketch_longs)
 
 
-def linked_in_tiles(members: DataFrame, s: Settings) -> DataFrame:
-    """Links (a, b) among the members (label, node, sketch, shingles) of each label, enough to connect what is linked.
+def linked_in_tiles(members: DataFrame, sketch: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
+    """Links (a, b) among the members (label, node) of each label, enough to connect what is linked.
 
     Sketches rule pairs out, then full sets are compared; pairs that links already connect are passed over. A tile
     pair gives fewer links than it has members.
@@ -204,11 +207,12 @@ def linked_in_tiles(members: DataFrame, s: Settings) -> DataFrame:
         ends = np.array(found, np.int64).reshape(-1, 2)
         return pa.table({"a": pa.array(ends[:, 0]), "b": pa.array(ends[:, 1])})
 
-    cut = in_tiles(members, "label", s.tile).select("label", "t", "u", "tile", "node", "sketch", "shingles")
+    cut = in_tiles(members, "label", s.tile).join(sketch, "node").join(sets, "node")
+    cut = cut.select("label", "t", "u", "tile", "node", "sketch", "shingles")
     return cut.groupBy("label", "t", "u").applyInArrow(run, "a long, b long")
 
 
-def close_in_tiles(members: DataFrame, s: Settings) -> DataFrame:
+def close_in_tiles(members: DataFrame, sketch: DataFrame, s: Settings) -> DataFrame:
     """Pairs (a, b) that share a key, but neither label nor component, and whose sketches are close."""
 
     def run(table: pa.Table) -> pa.Table:
@@ -227,7 +231,8 @@ def close_in_tiles(members: DataFrame, s: Settings) -> DataFrame:
         out.sort(axis=1)
         return pa.table({"a": pa.array(out[:, 0], pa.int64()), "b": pa.array(out[:, 1], pa.int64())})
 
-    cut = in_tiles(members, "key", s.tile).select("key", "t", "u", "tile", "node", "component", "label", "sketch")
+    cut = in_tiles(members, "key", s.tile).join(sketch, "node")
+    cut = cut.select("key", "t", "u", "tile", "node", "component", "label", "sketch")
     return cut.groupBy("key", "t", "u").applyInArrow(run, "a long, b long").distinct()
 
 
@@ -253,7 +258,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     texts = texts.join(label.select(F.col("node").alias("id")), "id", "left_semi")
     sets = written(shingles_of(texts, "id", "text", s).dropDuplicates(["node"]), "shingles")
     members = label.union(label.select("label", "label")).distinct()
-    links = written(linked_in_tiles(members.join(sketch, "node").join(sets, "node"), s), "links")
+    links = written(linked_in_tiles(members, sketch, sets, s), "links")
     groups = components(links)
 
     # pairs that share a band but no label
@@ -261,7 +266,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     spread = written(spread.select("key", "node", "label", F.coalesce("component", "node").alias("component")), "spread")
     apart = [F.min(c).alias(f"{c}_a") for c in ("label", "component")] + [F.max(c).alias(f"{c}_b") for c in ("label", "component")]
     mixed = spread.groupBy("key").agg(*apart).filter("label_a < label_b and component_a < component_b").select("key")
-    later = written(close_in_tiles(spread.join(mixed, "key", "left_semi").join(sketch, "node"), s), "later")
+    later = written(close_in_tiles(spread.join(mixed, "key", "left_semi"), sketch, s), "later")
     if not later.isEmpty():
         links = links.union(confirmed(later, sets, s))
         groups = components(links)
