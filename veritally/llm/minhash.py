@@ -255,7 +255,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     sketch = nodes.select("node", "sketch")
 
     texts = docs.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
-    texts = texts.join(label.select(F.col("node").alias("id")), "id", "left_semi")
+    texts = texts.join(label.select(F.col("node").alias("id")).hint("merge"), "id", "left_semi")
     sets = written(shingles_of(texts, "id", "text", s).dropDuplicates(["node"]), "shingles")
     members = label.union(label.select("label", "label")).distinct()
     links = written(linked_in_tiles(members, sketch, sets, s), "links")
@@ -283,6 +283,7 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", settin
     found = written(near_duplicates(docs, doc_id, text, settings).select("doc_id", "kept"), "kept")
     name = f"`{doc_id}`"
     gone = found.filter(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
+    gone = written(gone, "gone").hint("merge")  # texts are dealt alike at every size
     rest = docs.join(gone, F.col(name).cast("long") == F.col("__gone"), "left_anti")
     again = found.filter("kept and doc_id is not null").groupBy(F.col("doc_id").alias("__again")).count().filter("count > 1").select("__again")
     again = written(again, "again")

@@ -137,7 +137,7 @@ def with_bytes(docs: DataFrame, doc_id: str, text: str, cells: DataFrame, s: Set
     """``cells`` (own, doc, low, high, ...) with the bytes from their first start to the end of their last window."""
     wanted = cells.groupBy("own", "doc").agg(F.collect_list(F.struct("anchor", "cell", "n", "low", "high", "place")).alias("wanted"))
     texts = docs.select(known(F.col(f"`{doc_id}`")).alias("doc"), text_key(F.col(f"`{text}`")).alias("own"), F.col(f"`{text}`").cast("binary").alias("text"))
-    found = texts.join(wanted, ["own", "doc"]).select("own", "text", F.explode("wanted").alias("w"))
+    found = texts.join(wanted.hint("merge"), ["own", "doc"]).select("own", "text", F.explode("wanted").alias("w"))
     found = found.select("own", "w.*", F.col("text").substr(F.col("w.low") + 1, F.col("w.high") - F.col("w.low") + s.length).alias("bytes"))
     return found.dropDuplicates(["cell"])
 
@@ -241,7 +241,7 @@ def covered(docs: DataFrame, doc_id: str, text: str, s: Settings) -> DataFrame:
     starts = repeated_starts(docs, doc_id, text, s)
     runs = written(starts.distinct().groupBy("own").agg(F.sort_array(F.collect_list(F.struct("low", "high"))).alias("__runs")), "runs")
     keyed = docs.withColumn("__own", text_key(F.col(f"`{text}`")))
-    return keyed.join(runs.withColumnRenamed("own", "__own"), "__own", "left").drop("__own")
+    return keyed.join(runs.withColumnRenamed("own", "__own").hint("merge"), "__own", "left").drop("__own")
 
 
 def removed_spans(runs: list[dict] | None, length: int) -> list[tuple[int, int]]:
