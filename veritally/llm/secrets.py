@@ -9,8 +9,9 @@ texts. No row leaves its task, so no key can be hot and nothing is shuffled.
 
 Defined results: a null or empty text has no spans. Spans are in code points,
 end exclusive, leftmost and non-overlapping within a kind, sorted by start and
-then by the order of the rules; kinds may overlap each other. Rows are scanned
-alone; other columns, whatever their names, pass through ``redact`` untouched.
+then by the order of the rules; kinds may overlap each other. A private key runs
+from its BEGIN line to its END line or, where that is missing, to its last line
+of base64. Rows are scanned alone; other columns, whatever their names, pass through ``redact`` untouched.
 """
 
 from __future__ import annotations
@@ -51,6 +52,13 @@ BASE = (
     Rule("access", r"AKIA[A-Z0-9]+", 16),
     Rule("hex", r"[0-9a-f]+", 32),
 )
+# A private key: what stands between the lines of its body (quotes, comment marks and written-out line breaks too), the
+# headers, and a line of the body. Repeats are possessive, so that a text is read once.
+GAP = r"""(?:["']\s*[+.]\s*["']|\\+[nrt]|<br\s*/?>|[\s"'`,;>#*|\\])"""
+HEADERS = rf"(?:{GAP}++(?:(?:Proc-Type|DEK-Info):\s*[A-Za-z0-9,-]++|(?:Version|Comment|Hash|Charset|MessageID):[^\r\n\\]*+))*+"
+LINES = rf"(?:{GAP}++[A-Za-z0-9+/]{{20,}}+={{0,2}})*+"
+LAST_LINE = rf"(?:(?:[\r\n]|\\+n){GAP}*+[A-Za-z0-9+/]++={{0,2}}(?=[\x20\t\"',;\\]*(?:[\r\n]|\Z)|\\))?"
+KEY = r"[A-Z ]*PRIVATE KEY(?: BLOCK)?-----"
 # Published formats of credentials.
 MORE = (
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
@@ -58,8 +66,8 @@ MORE = (
     Rule("google", r"AIza[A-Za-z0-9_-]{35}"),
     Rule("payment", r"sk_live_[A-Za-z0-9]{16,}"),
     Rule("web_token", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
-    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
-    Rule("url_login", r"://[^/\s:@]{1,64}:[^/\s:@]{1,64}@", 0, 0),
+    Rule("private_key", rf"-----BEGIN {KEY}{HEADERS}(?:(?:{GAP}|[A-Za-z0-9+/=])*+-----END {KEY}|{LINES}{LAST_LINE})"),
+    Rule("url_login", r"://[^/\s:@]+:[^/\s:@]+@"),
 )
 RULES = BASE + MORE
 
