@@ -201,6 +201,17 @@ def test_licences(spark, edge, nothing):
     assert licenses.scan(nothing, licenses.fit(nothing)).count() == 0
 
 
+def test_edge_is_calibrated_on_lines_that_can_pass(spark):
+    lines = [f"He lost the license number {k} of his car." for k in range(40)] + [f"Nothing of the kind number {k}." for k in range(40)] + ["Released under the MIT License."] * 9
+    docs = spark.createDataFrame([(k, x) for k, x in enumerate(lines)], "doc_id long, text string")
+    model = licenses.fit(docs)
+    assert model.n_sampled == 40 and 10 <= model.n_calibrated <= 30
+    families = {r.families[0] if r.families else None for r in licenses.scan(docs.filter("doc_id >= 80"), model).collect()}
+    assert families == {"MIT"} and not any(r.families for r in licenses.scan(docs.filter("doc_id < 80"), model).collect())
+    licenses.calibrated(model, [0.9] * 2 + [0.7] * 998, licenses.Settings(false_share=0.001))
+    assert 0.9 < model.least < 0.91  # one of a thousand may pass, but two are equal
+
+
 # --- quality ---
 
 
