@@ -201,6 +201,25 @@ def test_licences(spark, edge, nothing):
     assert licenses.scan(nothing, licenses.fit(nothing)).count() == 0
 
 
+WRAPPED = {
+    "MIT": ["SPDX-License-Identifier: MIT", "// License: MIT", "Licensed under MIT.", "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software", "# Permission is hereby granted, free of\n# charge, to any person\n# obtaining a copy"],
+    "BSD": ["SPDX-License-Identifier: BSD-2-Clause", "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided"],
+    "GPL-3.0": ["This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version.", "SPDX-License-Identifier: GPL-3.0-or-later"],
+    "GPL-2.0": ["it under the terms of the GNU General Public License as published by\nthe Free Software Foundation; either version 2 of the License, or"],
+    "Apache-2.0": ["Licensed under the Apache License,\nVersion 2.0.", "prose before it\nApache License, Version 2.0\nprose"],
+    None: ["the Apache License,\n\nVersion 2.0", "She studied at MIT.", "Permission was granted by the owner\nof this software", "Kind mit.\nErst mit und."],
+}
+
+
+def test_licence_paragraphs(spark):
+    small = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = licenses.fit(small)
+    cases = [(f, x) for f in WRAPPED for x in WRAPPED[f]]
+    docs = spark.createDataFrame([(k, x) for k, (_, x) in enumerate(cases)], "doc_id long, text string")
+    got = {r.doc_id: [n.family for n in r.notices] for r in licenses.scan(docs, model).collect()}
+    assert [(x, got[k]) for k, (f, x) in enumerate(cases) if got[k] != ([f] if f else [])] == []
+
+
 def test_edge_is_calibrated_on_lines_that_can_pass(spark):
     lines = [f"He lost the license number {k} of his car." for k in range(40)] + [f"Nothing of the kind number {k}." for k in range(40)] + ["Released under the MIT License."] * 9
     docs = spark.createDataFrame([(k, x) for k, x in enumerate(lines)], "doc_id long, text string")
