@@ -597,3 +597,20 @@ ORACLES["subgroup_intervals"] = f"""with {orders_scored_cte(['pa'])}, {GROUPED.r
     round(ci_high, 6) as ci_high, round(ci_high - ci_low, 6) as ci_width,
     case when estimate is null then 'not estimable' when ci_high - ci_low <= 0.035 then 'adequate' else 'imprecise' end as precision_tier
   from sizes left join est using (model, attribute, level) left join ci using (model, attribute, level)"""
+
+
+def subgroup_ci_all(spark, sf):
+    """Both models and all attributes with the operator's own number of resamples."""
+    return rounded(sg.subgroup_intervals(_attributed(spark, sf), ATTRIBUTES))
+
+
+QUERIES["subgroup_intervals_all"] = subgroup_ci_all
+ORACLES["subgroup_intervals_all"] = f"""with {orders_scored_cte(['pa', 'pb'])}, {GROUPED},
+  sizes as (select model, attribute, level, count(*) as n, sum(y)::bigint as events from grouped group by model, attribute, level),
+  judged as (select model, attribute, level, y, p, attribute || '|' || level || '|' || row_id as row_id, attribute || '|' || level || '|' || y as z
+    from grouped join (select * from sizes where n >= 200 and events >= 20 and events < n) using (model, attribute, level)),
+  cells as (select distinct row_id, z from judged), {draws_cte(2000, 'cells', 'z')}, {replicate_sql('judged', 'drawn', 'model, attribute, level', ['auroc'])}
+  select model, attribute, level, sizes.n, sizes.events, estimate is not null as estimable, round(estimate, 6) as auroc, round(ci_low, 6) as ci_low,
+    round(ci_high, 6) as ci_high, round(ci_high - ci_low, 6) as ci_width,
+    case when estimate is null then 'not estimable' when ci_high - ci_low <= 0.1 then 'adequate' else 'imprecise' end as precision_tier
+  from sizes left join est using (model, attribute, level) left join ci using (model, attribute, level)"""

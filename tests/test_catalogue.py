@@ -24,3 +24,7 @@ def test_entry(spark):
     import __spark_entry__ as e
 
     assert e.entry(spark).count() == 3
+
+
+def test_no_imbalance_arm_is_left_out(spark, sf):
+    assert {r.arm for r in QUERIES["sensitivity_imbalance_arms"](spark, sf).collect()} == {"none", "class_weight", "smote", "undersample"}
