@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veritally.llm import bpe, embeddings, langid, licenses, minhash, packing, pitman_yor, quality, repeats, secrets, sql
+from veritally.llm import bpe, embeddings, langid, licenses, minhash, negatives, packing, phrases, pitman_yor, quality, repeats, secrets, sharding, sql
 from veritally.llm.common import table
 
 
@@ -106,6 +106,21 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), settings=minhash.Settings(similar=85))
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(rows.withColumn("label", moved), F.col("id") % 100 == 0)
+
+
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sharding.shard(table(spark, sf_dir, "documents"))
+    return found.withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_pack": op2_pack,
@@ -117,6 +132,9 @@ QUERIES = {
     "op8_embeddings": op8_embeddings,
     "op9_repeats": op9_repeats,
     "op10_minhash": op10_minhash,
+    "op11_phrases": op11_phrases,
+    "op12_negatives": op12_negatives,
+    "op13_sharding": op13_sharding,
 }
 
-ORACLES: dict[str, str] = {"op7_quality": sql.OP7, "op8_embeddings": sql.OP8, "op10_minhash": sql.OP10}
+ORACLES: dict[str, str] = {"op7_quality": sql.OP7, "op8_embeddings": sql.OP8, "op10_minhash": sql.OP10, "op11_phrases": sql.OP11, "op12_negatives": sql.OP12}

@@ -44,3 +44,27 @@ OP10 = rf"""with recursive d as (select doc_id, {WORDS.format(f"translate(coales
   {REACH}
   select doc_id, coalesce(n, 0)::bigint as n_shingles, coalesce(low, doc_id)::bigint as component_id, coalesce(low, doc_id) = doc_id as kept
   from documents left join n using (doc_id) left join (select node, min(low) as low from reach group by node) as r on r.node = doc_id"""
+
+OP11 = rf"""with d as (select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[.,;:!?\x0A-\x0D]')) as p from documents),
+  w as (select lang, list_filter(regexp_split_to_array(p, '[\x20\x09]+'), lambda x: x <> '') as w from d),
+  sizes as (select lang, sum(len(w))::bigint as n from w group by lang),
+  g as (select lang, k, array_to_string(w[i : i + k - 1], ' ') as phrase, count(*) as f from w, unnest([1, 2, 3]) as q(k), unnest(range(1, len(w) - k + 2)) as r(i) group by 1, 2, 3),
+  c as (select *, string_split(phrase, ' ') as s from g where k > 1 and f >= 10),
+  cuts as (select c.lang, c.phrase, c.k, c.f as a, x.k as place, x.f as l, y.f as r, (1000000::hugeint * c.f * c.f) // (x.f::hugeint * y.f) as score
+    from c join g as x on x.lang = c.lang and x.k < c.k and x.phrase = array_to_string(c.s[1 : x.k], ' ')
+    join g as y on y.lang = c.lang and y.k = c.k - x.k and y.phrase = array_to_string(c.s[x.k + 1 :], ' ')),
+  lowest as (select * from cuts qualify row_number() over (partition by lang, phrase order by score, place) = 1),
+  inside as (select lang, array_to_string(s[1 : 2], ' ') as phrase, f from c where k = 3 union all select lang, array_to_string(s[2 : 3], ' '), f from c where k = 3),
+  longer as (select lang, phrase, max(f) as most from inside group by lang, phrase),
+  kept as (select lowest.* from lowest left join longer using (lang, phrase) where k = 3 or 100 * coalesce(most, 0) < 50 * a),
+  ranked as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from kept)
+  select lang, rank::bigint as rank, phrase, a::bigint as a, l::bigint as l, r::bigint as r, n, score::bigint as score from ranked join sizes using (lang) where rank <= 2000"""
+
+OP12 = """with v as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding::double[], lambda x: floor(256 * x)) as e
+    from embeddings where vec_id is not null and label is not null and embedding is not null and len(embedding) > 0
+      and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+  s as (select a.vec_id as a, a.label = b.label as same, b.vec_id as b, list_dot_product(a.e, b.e)::bigint as score from v as a join v as b on a.vec_id % 100 = 0 and a.vec_id <> b.vec_id),
+  p as (select a, b, score from s where same qualify row_number() over (partition by a order by score desc, b) <= 5),
+  n as (select p.a as anchor_id, p.b as positive_id, row_number() over (partition by p.a, p.b order by s.score desc, s.b) as rank, s.b as negative_id, p.score as positive_score, s.score as negative_score
+    from p join s on s.a = p.a and not s.same and 30 * p.score <= 100 * s.score and 100 * s.score <= 90 * p.score)
+  select anchor_id, positive_id, rank::int as rank, negative_id, positive_score, negative_score from n where rank <= 10"""
