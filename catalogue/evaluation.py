@@ -30,6 +30,7 @@ from veritally.operators import subgroups as sg
 from veritally.operators import thresholds as th
 from veritally.operators.ladder import ladder_quantiles, score_ladder
 from veritally.operators.quantiles import exact_quantiles
+from veritally.operators.smoothing import isotonic_pools, isotonic_values
 from veritally.plans import evaluation as plan
 
 QUERIES: dict = {}
@@ -141,36 +142,73 @@ ORACLES["calibration_slope_intercept"] = f"""with recursive {ORDERS}, {fits_cte(
   select model, round(calibration_slope, 5) as calibration_slope, round(calibration_intercept, 5) as calibration_intercept from fits"""
 
 
-def ici_lines(spark, sf):
-    return rounded(ca.integrated_calibration_index(line_ladder(spark, sf), ["model"]), 5)
-
-
-QUERIES["calibration_ici_tied"] = ici_lines
-ORACLES["calibration_ici_tied"] = f"""with {LINES}, c as (select model, p, (pos + neg)::double as w, pos::double as pos from ladder),
-  k as (select model, floor(0.6::double * sum(w) + 1e-10)::double as k from c group by model),
-  pairs as (select a.model, a.p as x0, b.p as x, b.w, b.pos, abs(b.p - a.p) as d,
-    sum(b.w) over (partition by a.model, a.p order by abs(b.p - a.p), b.p) as upto from c a join c b on a.model = b.model),
+def lowess_sql(points: int = 200) -> str:
+    """Local lines at the fit points, each with its own sorted distances, and the index, for the models of ``ladder``."""
+    return f"""c as (select model, p, (pos + neg)::double as w, pos::double as pos, pos_below + neg_below as below, pos + neg as rows from ladder),
+  k as (select model, floor(0.6::double * sum(w) + 1e-10)::double as k, count(*) as cells, min(2 * below + rows) as lo, max(2 * below + rows) as hi from c group by model),
+  points as (select model, min(p) as x0 from c join k using (model)
+    group by model, case when cells <= {points} then p else ((2 * below + rows - lo) * {points - 1} // greatest(hi - lo, 1))::double end),
+  pairs as (select a.model, a.x0, b.p as x, b.w, b.pos, abs(b.p - a.x0) as d,
+    sum(b.w) over (partition by a.model, a.x0 order by abs(b.p - a.x0), b.p) as upto from points a join c b on a.model = b.model),
   width as (select model, x0, min(d) filter (where upto >= k - 1e-9) as hw from pairs join k using (model) group by model, x0),
   weighted as (select model, x0, x - x0 as u, pos, w, case when hw > 0 and d < hw then pow(1 - pow(d / hw, 3), 3) else 0 end as t
     from pairs join width using (model, x0)),
   s as (select model, x0, sum(w * t) as s0, sum(w * t * u) as s1, sum(w * t * u * u) as s2, sum(pos * t) as y0, sum(pos * t * u) as y1
     from weighted group by model, x0),
-  fit as (select model, x0, y0 / s0 - ((y1 - s1 * y0 / s0) / (s2 - s1 * s1 / s0)) * s1 / s0 as f from s)
-  select c.model, round(sum(w * abs(f - p)) / sum(w), 5) as ici from c join fit on c.model = fit.model and c.p = fit.x0 group by c.model"""
+  fit as (select model, x0, y0 / s0 - ((y1 - s1 * y0 / s0) / (s2 - s1 * s1 / s0)) * s1 / s0 as f from s),
+  below_it as (select c.*, fit.x0 as xa, fit.f as fa from c asof left join fit on c.model = fit.model and c.p >= fit.x0),
+  around as (select b.*, fit.x0 as xb, fit.f as fb from below_it b asof left join fit on b.model = fit.model and b.p <= fit.x0),
+  smooth as (select model, p, w, case when xa is null then fb when xb is null or xb = xa then fa else fa + (fb - fa) * (p - xa) / (xb - xa) end as f from around)
+  select model, round(sum(w * abs(f - p)) / sum(w), 5) as ici from smooth group by model"""
+
+
+def ici_lines(spark, sf):
+    return rounded(ca.integrated_calibration_index(line_ladder(spark, sf), ["model"]), 5)
+
+
+QUERIES["calibration_ici_tied"] = ici_lines
+ORACLES["calibration_ici_tied"] = f"with {LINES}, {lowess_sql()}"
 
 
 def ici_orders(spark, sf):
-    return ca.integrated_calibration_index(order_ladder(spark, sf), ["model"])
+    return rounded(ca.integrated_calibration_index(order_ladder(spark, sf), ["model"]), 5)
 
 
 QUERIES["calibration_ici"] = ici_orders
+ORACLES["calibration_ici"] = f"with {ORDERS}, {lowess_sql()}"
 
 
 def ici_isotonic(spark, sf):
-    return ca.integrated_calibration_index(line_ladder(spark, sf), ["model"], method="isotonic")
+    return rounded(ca.integrated_calibration_index(line_ladder(spark, sf), ["model"], method="isotonic"))
+
+
+def isotonic_sql(ladder: str = "ladder") -> str:
+    """``iso`` (model, p, w, f): the min-max formula, f(i) = max over a <= i of the min over b >= i of the mean of cells a to b."""
+    return f"""ic as (select model, p, pos + neg as w, pos_below + neg_below as w0, pos_below as s0, pos_below + neg_below + pos + neg as w1, pos_below + pos as s1,
+      row_number() over (partition by model order by p) as i from {ladder}),
+    low as (select a.model, a.i as a, b.i as i, min((b.s1 - a.s0)::double / (b.w1 - a.w0)) over (partition by a.model, a.i order by b.i desc) as m
+      from ic a join ic b on a.model = b.model and a.i <= b.i),
+    iso as (select ic.model, ic.p, ic.w, max(m) as f from low join ic on ic.model = low.model and ic.i = low.i group by ic.model, ic.p, ic.w)"""
 
 
 QUERIES["calibration_ici_isotonic"] = ici_isotonic
+ORACLES["calibration_ici_isotonic"] = f"with {LINES}, {isotonic_sql()} select model, round(sum(w * abs(f - p)) / sum(w), 6) as ici from iso group by model"
+
+
+def isotonic_scores(spark, sf):
+    scored = scored_orders(spark, sf).withColumn("p", F.round("p", 3))
+    pools = isotonic_pools(score_ladder(scored.where("row_id % 2 = 1"), ["model"]), ["model"])
+    ahead = scored_orders(spark, sf).where("row_id % 2 = 0").select("row_id", "model", "p")
+    return rounded(isotonic_values(ahead, pools, ["model"]))
+
+
+QUERIES["recalibration_isotonic_new_scores"] = isotonic_scores
+ORACLES["recalibration_isotonic_new_scores"] = f"""with {orders_scored_cte()}, half as (select model, y, round(p, 3) as p from scored where row_id % 2 = 1),
+  {ladder_cte(['model'], 'half')}, {isotonic_sql()},
+  ahead as (select row_id, model, p from scored where row_id % 2 = 0),
+  below_it as (select ahead.*, iso.p as xa, iso.f as fa from ahead asof left join iso on ahead.model = iso.model and ahead.p >= iso.p),
+  around as (select b.*, iso.p as xb, iso.f as fb from below_it b asof left join iso on b.model = iso.model and b.p <= iso.p)
+  select row_id, model, round(case when xa is null then fb when xb is null or xb = xa then fa else fa + (fb - fa) * (p - xa) / (xb - xa) end, 6) as p from around"""
 
 
 def quantile_bins(spark, sf):

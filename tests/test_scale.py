@@ -16,6 +16,7 @@ from veritally.operators.bootstrap import bootstrap_ci
 from veritally.operators.bounded import bounded, scratch_path
 from veritally.operators.calibration import calibration_fits, integrated_calibration_index
 from veritally.operators.discrimination import ladder_metrics
+from veritally.operators import smoothing as sm
 from veritally.operators.ladder import score_ladder
 from veritally.operators.models import fit_model, make_estimator
 from veritally.operators.neighbours import nearest_neighbours
@@ -144,16 +145,69 @@ def lowess_index(y, p, frac=0.6):
     return np.abs(fit - p).mean()
 
 
-@pytest.mark.parametrize("grid", [5000, 500])
-def test_calibration_index_equals_full_lowess(spark, grid):
+@pytest.mark.parametrize("block_rows", [500_000, 90])
+def test_calibration_index_equals_full_lowess(spark, block_rows):
     rng = np.random.default_rng(3)
     lp = rng.normal(-2, 1, 2500)
     p, y = 1 / (1 + np.exp(-lp - 0.4)), rng.binomial(1, 1 / (1 + np.exp(-lp)))
     df = spark.createDataFrame(pd.DataFrame({"y": y, "p": p}))
-    found = integrated_calibration_index(score_ladder(df, []), [], grid_points=grid).first()["ici"]
+    found = integrated_calibration_index(score_ladder(df, []), [], block_rows=block_rows).first()["ici"]
     assert found == pytest.approx(lowess_index(y, p), abs=2e-5)
 
 
+@pytest.mark.parametrize("block_rows", [500_000, 64])
+def test_window_widths_are_exact(spark, block_rows):
+    rng = np.random.default_rng(8)
+    p = np.round(rng.beta(2, 5, 900), 2)  # ties
+    q = rng.random(700)
+    df = spark.createDataFrame(pd.DataFrame({"m": ["p"] * 900 + ["q"] * 700, "y": rng.integers(0, 2, 1600), "p": np.r_[p, q]}))
+    cells = sm._blocked(score_ladder(df, ["m"]), ["m"], block_rows)
+    at = sm.fit_points(cells, ["m"], 50)
+    found = sm.window_widths(cells, ["m"], at, 0.6, block_rows).collect()
+    assert len(found) > 60
+    for r in found:
+        x = {"p": p, "q": q}[r["m"]]
+        assert r["width"] == pytest.approx(np.sort(np.abs(x - r["at"]))[int(0.6 * len(x)) - 1], abs=1e-12)
+
+
+def min_max(w, s):
+    """Isotonic fit by its min-max formula."""
+    W, S = np.r_[0, np.cumsum(w)], np.r_[0, np.cumsum(s)]
+    n = len(w)
+    a, b = np.arange(n)[:, None], np.arange(n)[None, :]
+    means = np.where(b >= a, (S[b + 1] - S[a]) / np.maximum(W[b + 1] - W[a], 1e-9), np.inf)
+    low = np.minimum.accumulate(means[:, ::-1], axis=1)[:, ::-1]  # over b >= i
+    return np.where(a <= b, low, -np.inf).max(axis=0)
+
+
+@pytest.mark.parametrize("block_rows", [500_000, 7])
+def test_isotonic_fits_of_many_groups(spark, block_rows):
+    rng = np.random.default_rng(4)
+    groups = 1000
+    df = pd.DataFrame({"g": np.repeat(np.arange(groups), 20), "p": np.round(rng.random(20 * groups), 1), "y": rng.integers(0, 2, 20 * groups)})
+    ladder = score_ladder(spark.createDataFrame(df), ["g"])
+    found = {r["g"]: r["ici"] for r in sm.isotonic_index(ladder, ["g"], block_rows).collect()}
+    assert len(found) == groups
+    for g, part in list(df.groupby("g"))[::25]:
+        cells = part.groupby("p")["y"].agg(["count", "sum"])
+        fit = min_max(cells["count"].to_numpy(), cells["sum"].to_numpy())
+        assert found[g] == pytest.approx((cells["count"] * np.abs(fit - cells.index.to_numpy())).sum() / len(part), abs=1e-12)
+
+
+@pytest.mark.parametrize("block_rows", [500_000, 50])
+def test_isotonic_values_on_new_scores(spark, block_rows):
+    rng = np.random.default_rng(6)
+    p = rng.random(800)
+    y = rng.binomial(1, p**2)
+    pools = sm.isotonic_pools(score_ladder(spark.createDataFrame(pd.DataFrame({"y": y, "p": p})), []), [], block_rows)
+    new = spark.createDataFrame(pd.DataFrame({"k": 1, "i": np.arange(200), "p": np.r_[rng.random(198), -1.0, 2.0]}))
+    found = {r["i"]: r["p"] for r in sm.isotonic_values(new, pools.withColumn("k", F.lit(1).cast("long")), ["k"], 30).collect()}
+    order = np.argsort(p)
+    fit = min_max(np.ones(800), y[order])
+    for r in new.collect():
+        assert found[r["i"]] == pytest.approx(np.interp(r["p"], p[order], fit), abs=1e-12)
+
+
 def test_calibration_index_with_zero_width_windows(spark):
     p = np.r_[np.full(700, 0.2), np.linspace(0.3, 0.9, 300)]
     y = np.r_[np.tile([1, 0, 0, 0], 175), np.tile([1, 0], 150)]

@@ -4,15 +4,13 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
-import pandas as pd
-from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veritally.functions.columns import logit, sigmoid
 from veritally.operators.bounded import bounded, small_table, stored
-from veritally.operators.ladder import add_bucket, ladder_grid, ladder_quantiles
+from veritally.operators.ladder import ladder_quantiles
+from veritally.operators.smoothing import BLOCK_ROWS, isotonic_index, lowess_index
 
 MAX_STEP = 5.0
 
@@ -27,7 +25,7 @@ def logistic_fits(
     x: Column,
     pos: Column | None = None,
     neg: Column | None = None,
-    steps: int = 25,
+    steps: int = 40,
     tolerance: float = 1e-6,
     start: tuple[float, float] = (0.0, 0.0),
 ) -> DataFrame:
@@ -35,8 +33,9 @@ def logistic_fits(
 
     ``intercept`` and ``slope`` belong to logit(y) ~ a + b x, ``offset_intercept``
     to logit(y) ~ c + x with c kept in [-10, 10]. Every step is one grouped sum;
-    only a few coefficients per group travel. Convergence is quadratic, so once a
-    step is shorter than the tolerance the error is far below it. Groups with one
+    only a few coefficients per group travel. A step that lowers the likelihood is
+    halved. Convergence is quadratic, so once a step is shorter than the tolerance
+    the error is far below it. Groups with one
     class give nulls.
     """
     if not keys:
@@ -50,22 +49,34 @@ def logistic_fits(
             (F.col("neg") if neg is None else neg).cast("double").alias("_neg"),
         )
     )
+    zero = lambda *names: [F.lit(0.0).alias(c) for c in names]
+    none = [F.lit(None).cast("double").alias(c) for c in ("l", "lc")]
     state = bounded(
         data.groupBy(*keys)
         .agg(F.sum("_pos").alias("_p"), F.sum("_neg").alias("_q"))
         .where((F.col("_p") > 0) & (F.col("_q") > 0))
-        .select(*keys, F.lit(start[0]).alias("a"), F.lit(start[1]).alias("b"), F.lit(0.0).alias("c"))
+        .select(*keys, F.lit(start[0]).alias("a"), F.lit(start[1]).alias("b"), *zero("c", "sa", "sb", "sc"), *none)
     )
     n = F.col("_pos") + F.col("_neg")
-    q = sigmoid(F.col("a") + F.col("b") * F.col("_x"))
+
+    def likelihood(z: Column) -> Column:
+        return F.sum(F.col("_pos") * z - n * (F.greatest(z, F.lit(0.0)) + F.log1p(F.exp(-F.abs(z)))))
+
+    z, zc = F.col("a") + F.col("b") * F.col("_x"), F.col("c") + F.col("_x")
+    q, qc = sigmoid(z), sigmoid(zc)
     r, w = F.col("_pos") - n * q, n * q * (1 - q)
-    qc = sigmoid(F.col("c") + F.col("_x"))
     det = F.col("h00") * F.col("h11") - F.col("h01") * F.col("h01")
     da = F.try_divide(F.col("h11") * F.col("g0") - F.col("h01") * F.col("g1"), det)
     db = F.try_divide(F.col("h00") * F.col("g1") - F.col("h01") * F.col("g0"), det)
     dc = F.coalesce(F.try_divide(F.col("gc"), F.col("hc")), F.lit(0.0))
+    # sa, sb, sc: how far the trial lies from the last accepted point; a trial of lower likelihood goes back by half of it
+    worse, worse_c = (F.coalesce(F.col(f"n{x}") < F.col(x) - 1e-12 * F.abs(F.col(x)), F.lit(False)) for x in ("l", "lc"))
+    far = {c: F.when(worse, F.col(c) / 2).otherwise(_bounded_step(d)) for c, d in (("sa", da), ("sb", db))}
+    to_c = F.least(F.greatest(F.col("c") + _bounded_step(dc), F.lit(-10.0)), F.lit(10.0)) - F.col("c")
+    far["sc"] = F.when(worse_c, F.col("sc") / 2).otherwise(to_c)
+    trial = {x: F.col(x) + F.when(bad, -far[f"s{x}"]).otherwise(far[f"s{x}"]) for x, bad in (("a", worse), ("b", worse), ("c", worse_c))}
     for _ in range(steps):
-        sums = data.join(state, keys).groupBy(*keys, "a", "b", "c").agg(
+        sums = data.join(state, keys).groupBy(*keys, "a", "b", "c", "sa", "sb", "sc", "l", "lc").agg(
             F.sum(r).alias("g0"),
             F.sum(r * F.col("_x")).alias("g1"),
             F.sum(w).alias("h00"),
@@ -73,13 +84,15 @@ def logistic_fits(
             F.sum(w * F.col("_x") * F.col("_x")).alias("h11"),
             F.sum(F.col("_pos") - n * qc).alias("gc"),
             F.sum(n * qc * (1 - qc)).alias("hc"),
+            likelihood(z).alias("nl"),
+            likelihood(zc).alias("nlc"),
         )
         moved = sums.select(
             *keys,
-            (F.col("a") + _bounded_step(da)).alias("a"),
-            (F.col("b") + _bounded_step(db)).alias("b"),
-            F.least(F.greatest(F.col("c") + _bounded_step(dc), F.lit(-10.0)), F.lit(10.0)).alias("c"),
-            F.greatest(F.abs(da), F.abs(db), F.abs(dc)).alias("moved"),
+            *[v.alias(c) for c, v in {**trial, **far}.items()],
+            F.when(worse, F.col("l")).otherwise(F.col("nl")).alias("l"),
+            F.when(worse_c, F.col("lc")).otherwise(F.col("nlc")).alias("lc"),
+            F.greatest(*[F.abs(v) for v in far.values()]).alias("moved"),
         )
         table = small_table(moved)
         if table is None:
@@ -146,201 +159,24 @@ def calibration_curve(ladder: DataFrame, keys: list[str], n_bins: int = 10, stra
 
 
 # --- integrated calibration index ------------------------------------------
-# The smoother is a local line with tricube weights. Inside one side of the
-# window the weight is a polynomial of the distance, so the sums a local line
-# needs follow from power moments of short score segments: one pass over the
-# ladder, whatever the number of fit points.
-
-MOMENTS = 12
 
 
 def integrated_calibration_index(
-    ladder: DataFrame,
-    keys: list[str],
-    frac: float = 0.6,
-    fit_points: int = 200,
-    grid_points: int = 2000,
-    method: str = "lowess",
+    ladder: DataFrame, keys: list[str], frac: float = 0.6, fit_points: int = 200, method: str = "lowess", block_rows: int = BLOCK_ROWS
 ) -> DataFrame:
     """keys, ici: mean |smoothed observed risk - predicted risk|.
 
-    The window of a fit point holds the ``frac`` share of nearest rows. Between
-    fit points the curve is linear. With at most ``grid_points`` distinct scores
-    windows are exact; above that, window widths come from that many evenly
-    spaced order statistics.
+    ``lowess``: the window of a fit point holds the ``frac`` share of nearest rows, exactly, at every size; between
+    fit points the curve is linear. ``isotonic``: the non-decreasing fit.
     """
-    if method == "isotonic":
-        return _isotonic_index(ladder, keys)
+    if method not in ("lowess", "isotonic"):
+        raise ValueError(f"unknown method {method!r}")
     if not keys:
-        return integrated_calibration_index(
-            ladder.withColumn("_all", F.lit(0)), ["_all"], frac, fit_points, grid_points
-        ).drop("_all")
-    ladder = stored(ladder)
-    sizes = bounded(
-        ladder.groupBy(*keys).agg(
-            F.count(F.lit(1)).alias("_cells"), F.max(F.col("pos_total") + F.col("neg_total")).alias("_n")
-        )
-    )
-    marked = ladder.join(sizes, keys)
-    few = marked.where(F.col("_cells") <= grid_points).select(
-        *keys, "p", (F.col("pos") + F.col("neg")).cast("double").alias("w"), "_n"
-    )
-    many = marked.where(F.col("_cells") > grid_points)
-    grid = (
-        ladder_grid(many, keys, grid_points)
-        .join(sizes, keys)
-        .groupBy(*keys, "p", "_n")
-        .agg((F.count(F.lit(1)) * F.first("_n") / grid_points).alias("w"))
-        .select(*keys, "p", "w", "_n")
-    )
-    sample = few.unionByName(grid)
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in ladder.select(*keys).schema.fields)
-
-    def windows(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("p")
-        a, h = _window_widths(pdf["p"].to_numpy(), pdf["w"].to_numpy(), int(frac * pdf["_n"].iloc[0] + 1e-10), fit_points)
-        # A window of zero width still needs a segment that holds its score alone.
-        high = np.where(h > 0, a + h, np.nextafter(a, np.inf))
-        found = pd.DataFrame({"at": a, "width": h, "low": a - h, "high": high})
-        return pdf[keys].iloc[:1].merge(found, how="cross")
-
-    anchors = stored(
-        sample.groupBy(*keys).applyInPandas(windows, f"{schema}, at double, width double, low double, high double")
-    )
-    breaks = anchors.select(F.explode(F.array("at", "low", "high")).alias("b")).distinct()
-    cuts = sorted(r["b"] for r in breaks.collect())
-    placed = add_bucket(ladder, "p", cuts, "seg")
-    where = pd.DataFrame({"seg": np.arange(len(cuts) + 1, dtype="float64")})
-    where["low"] = [cuts[0] - 1.0, *cuts]
-    where["high"] = [*cuts, cuts[-1] + 1.0]
-    segments = F.broadcast(ladder.sparkSession.createDataFrame(where))
-    n = (F.col("pos") + F.col("neg")).cast("double")
-    t = (F.col("p") - (F.col("low") + F.col("high")) / 2) / (F.col("high") - F.col("low"))
-    powered = placed.join(segments, "seg").withColumn("_t1", t)
-    for k in range(2, MOMENTS):
-        powered = powered.withColumn(f"_t{k}", F.col(f"_t{k - 1}") * F.col("_t1"))
-    tk = [F.lit(1.0), *[F.col(f"_t{k}") for k in range(1, MOMENTS)]]
-    moments = (
-        powered.groupBy(*keys, "seg", "low", "high")
-        .agg(
-            F.array(*[F.sum(n * x) for x in tk]).alias("m"),
-            F.array(*[F.sum(F.col("pos") * x) for x in tk]).alias("my"),
-        )
-    )
-
-    def lines(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return pd.DataFrame({c: [] for c in [*keys, "seg", "level", "tilt"]})
-        left, right = left.sort_values("at"), right.sort_values("seg")
-        fit = _local_lines(left["at"].to_numpy(), left["width"].to_numpy(), right)
-        level, tilt = _segment_lines(left["at"].to_numpy(), fit, right["low"].to_numpy(), right["high"].to_numpy())
-        out = right[[*keys, "seg"]].copy()
-        out["level"], out["tilt"] = level, tilt
-        return out
-
-    curve = (
-        anchors.select(*keys, "at", "width")
-        .groupBy(*keys)
-        .cogroup(moments.groupBy(*keys))
-        .applyInPandas(lines, f"{schema}, seg double, level double, tilt double")
-    )
-    gap = F.abs(F.col("level") + (F.col("tilt") - 1) * F.col("p"))
-    return (
-        placed.join(bounded(curve), [*keys, "seg"])
-        .groupBy(*keys)
-        .agg((F.sum(n * gap) / F.sum(n)).alias("ici"))
-    )
-
-
-def _window_widths(p: np.ndarray, w: np.ndarray, nearest: int, fit_points: int) -> tuple[np.ndarray, np.ndarray]:
-    """Fit points and the distance from each to its ``nearest``-th row (w = rows per score)."""
-    if len(p) <= fit_points:
-        at = p
-    else:
-        rank = (np.cumsum(w) - w / 2) / w.sum()
-        at = np.unique(p[np.searchsorted(rank, np.linspace(rank[0], rank[-1], fit_points)).clip(0, len(p) - 1)])
-    width = np.empty(len(at))
-    for i, a in enumerate(at):
-        d = np.abs(p - a)
-        order = np.argsort(d, kind="stable")
-        reached = np.searchsorted(np.cumsum(w[order]), nearest - 1e-9)
-        width[i] = d[order[min(reached, len(p) - 1)]]
-    return at, width
-
-
-def _local_lines(at: np.ndarray, width: np.ndarray, seg: pd.DataFrame) -> np.ndarray:
-    """Fitted value of the tricube-weighted local line at every fit point."""
-    low, high = seg["low"].to_numpy(), seg["high"].to_numpy()
-    mid, span = (low + high) / 2, high - low
-    m = np.array(seg["m"].tolist(), dtype="float64")
-    my = np.array(seg["my"].tolist(), dtype="float64")
-    binom = [[math.comb(k, i) for i in range(k + 1)] for k in range(MOMENTS)]
-    fit = np.empty(len(at))
-    for j, (a, h) in enumerate(zip(at, width)):
-        if h <= 0:
-            here = low == a
-            fit[j] = my[here, 0].sum() / max(m[here, 0].sum(), 1e-300)
-            continue
-        inside = (low >= a - h) & (high <= a + h)
-        alpha, delta = (span / h)[inside], ((mid - a) / h)[inside]
-        side = np.where(mid[inside] < a, -1.0, 1.0)
-        ones = np.ones_like(alpha)
-        scale = np.cumprod([ones, *[alpha] * (MOMENTS - 1)], axis=0)
-        shift = np.cumprod([ones, *[delta] * (MOMENTS - 1)], axis=0)
-
-        def powers(mom):
-            part = scale * mom[inside].T
-            return [sum(binom[k][i] * part[i] * shift[k - i] for i in range(k + 1)) for k in range(MOMENTS)]
-
-        u, uy = powers(m), powers(my)
-
-        def weighted(mom, k):
-            return float((mom[k] - 3 * side * mom[k + 3] + 3 * mom[k + 6] - side * mom[k + 9]).sum())
-
-        s0, s1, s2 = (weighted(u, k) for k in (0, 1, 2))
-        y0, y1 = (weighted(uy, k) for k in (0, 1))
-        spread = s2 - s1 * s1 / s0 if s0 > 0 else 0.0
-        if s0 <= 0:
-            fit[j] = np.nan
-        elif spread <= 1e-12 * s0:
-            fit[j] = y0 / s0
-        else:
-            slope = (y1 - s1 * y0 / s0) / spread
-            fit[j] = (y0 - slope * s1) / s0
-    return fit
-
-
-def _segment_lines(at, fit, low, high) -> tuple[np.ndarray, np.ndarray]:
-    """Level and tilt of the piecewise linear curve on each segment (flat outside)."""
-    if len(at) == 1:
-        return np.full(len(low), fit[0]), np.zeros(len(low))
-    right = np.searchsorted(at, low, side="right").clip(1, len(at) - 1)
-    left = right - 1
-    tilt = (fit[right] - fit[left]) / (at[right] - at[left])
-    level = fit[left] - tilt * at[left]
-    beyond = (low >= at[-1]) | (high <= at[0])
-    edge = np.where(low >= at[-1], fit[-1], fit[0])
-    return np.where(beyond, edge, level), np.where(beyond, 0.0, tilt)
-
-
-def _isotonic_index(ladder: DataFrame, keys: list[str]) -> DataFrame:
-    """The index with an isotonic fit as the smoother, one fit per key group."""
-    groups = [tuple(r) for r in ladder.select(*keys).distinct().collect()] if keys else [()]
-    out = None
-    n = (F.col("pos") + F.col("neg")).cast("double")
-    for values in groups:
-        part = ladder
-        for k, v in zip(keys, values):
-            part = part.where(F.col(k).eqNullSafe(v))
-        rows = part.select(
-            *keys, "p", n.alias("w"), (F.col("pos") / (F.col("pos") + F.col("neg"))).alias("observed")
-        )
-        model = IsotonicRegression(featuresCol="p", labelCol="observed", weightCol="w", predictionCol="smooth").fit(rows)
-        one = model.transform(rows).groupBy(*keys).agg(
-            (F.sum(F.col("w") * F.abs(F.col("smooth") - F.col("p"))) / F.sum("w")).alias("ici")
-        )
-        out = one if out is None else out.unionByName(one)
-    return out
+        whole = ladder.withColumn("_all", F.lit(0))
+        return integrated_calibration_index(whole, ["_all"], frac, fit_points, method, block_rows).drop("_all")
+    if method == "isotonic":
+        return isotonic_index(ladder, keys, block_rows)
+    return lowess_index(ladder, keys, frac, fit_points, block_rows)
 
 
 def calibration_metrics(ladder: DataFrame, keys: list[str], with_ici: bool = True) -> DataFrame:

@@ -135,15 +135,3 @@ def ladder_quantiles(ladder: DataFrame, keys: list[str], probs: list[float], out
         F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * F.col(f"_w{i}") for i in range(len(probs))
     ]
     return wide.select(*keys, F.array(*values).alias(out))
-
-
-def ladder_grid(ladder: DataFrame, keys: list[str], points: int) -> DataFrame:
-    """The scores at ``points`` evenly spaced sorted positions: keys, i, p.
-
-    Every ladder row emits the grid positions inside its own rank interval.
-    """
-    n, below = F.col("pos_total") + F.col("neg_total"), F.col("pos_below") + F.col("neg_below")
-    scale = F.lit(float(points - 1)) / F.greatest(n - 1, F.lit(1))
-    first = F.ceil(below * scale)
-    last = F.least(F.ceil((below + F.col("pos") + F.col("neg")) * scale) - 1, F.lit(points - 1))
-    return ladder.where(first <= last).select(*keys, F.explode(F.sequence(first, last)).alias("i"), "p")

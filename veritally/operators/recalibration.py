@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veritally.functions.columns import logit, sigmoid
 from veritally.operators.bounded import bounded, stored
 from veritally.operators.calibration import logistic_fits
-from veritally.operators.ladder import score_cells
+from veritally.operators.ladder import score_cells, score_ladder
 from veritally.operators.models import MODELS, fit_model
+from veritally.operators.smoothing import isotonic_pools, isotonic_values
 from veritally.operators.split import ColumnRoles, stratified_folds
 
 
@@ -68,14 +68,8 @@ def calibrated_scores(
             ahead, out_of_fold = (t.withColumn("p", logit(F.col("p"))) for t in (ahead, out_of_fold))
         adjusted = apply_platt(ahead, platt_fits(out_of_fold, ["fold"]), ["fold"])
     elif method == "isotonic":
-        adjusted = None
-        for f in range(k):
-            cells = score_cells(out_of_fold.where(F.col("fold") == f), []).select(
-                "p", (F.col("pos") / (F.col("pos") + F.col("neg"))).alias("o"), (F.col("pos") + F.col("neg")).cast("double").alias("w")
-            )
-            fit = IsotonicRegression(featuresCol="p", labelCol="o", weightCol="w", predictionCol="smooth").fit(cells)
-            part = fit.transform(ahead.where(F.col("fold") == f)).withColumn("p", F.col("smooth")).drop("smooth")
-            adjusted = part if adjusted is None else adjusted.unionByName(part)
+        pools = isotonic_pools(score_ladder(out_of_fold, ["fold"]), ["fold"])
+        adjusted = isotonic_values(ahead, pools, ["fold"])
     else:
         raise ValueError(f"unknown method {method!r}")
     return (
