@@ -18,6 +18,7 @@ from veritally.llm.common import table, written
 from veritally.llm.queries import vocabulary
 
 ORACLE_SQL = None
+REPEATED = 200  # bytes; a passage of over 50 words has more, a sentence that documents share by chance has fewer
 
 
 def recounted(docs: DataFrame, columns: list[str]) -> DataFrame:
@@ -38,8 +39,8 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def without_long_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the bytes of strings of 400 bytes that start anywhere else."""
-    return recounted(repeats.remove(docs), docs.columns)
+    """Texts without the bytes of strings of ``REPEATED`` bytes that start anywhere else."""
+    return recounted(repeats.remove(docs, settings=repeats.Settings(length=REPEATED)), docs.columns)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
