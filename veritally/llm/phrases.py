@@ -61,6 +61,7 @@ class Settings:
     salts: int = 4096
     shard_words: int = 1_000_000
     batch_edges: int = 2_000_000
+    parts: int = 16
 
 
 def kinds() -> tuple[np.ndarray, np.ndarray]:
@@ -343,6 +344,9 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", settin
     three = three.select("lang", F.concat_ws(" ", "w_c1", "w_c2", "w_c3").alias("phrase"), "a", F.when(first.score <= second.score, first).otherwise(second).alias("cut"))
     two = two.select("lang", F.concat_ws(" ", "w_c1", "w_c2").alias("phrase"), "a", cut("f_c1", "f_c2").alias("cut"))
     every = reduce(DataFrame.unionByName, [three, two]).select("lang", "phrase", "a", "cut.l", "cut.r", "cut.score")
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    best = every.withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= s.top)
+    order = (F.desc("score"), F.desc("a"), "phrase")
+    # the first of each part of a language, then of the parts: at most parts * top rows come together, whatever the size
+    part = every.withColumn("part", F.pmod(F.xxhash64("phrase"), F.lit(s.parts)))
+    part = part.withColumn("place", F.row_number().over(Window.partitionBy("lang", "part").orderBy(*order))).filter(F.col("place") <= s.top)
+    best = part.drop("part", "place").withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long")).filter(F.col("rank") <= s.top)
     return best.join(g.sizes, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
