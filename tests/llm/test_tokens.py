@@ -44,7 +44,7 @@ def test_cuts_are_forced():
 
 
 def test_known_words_come_back(monkeypatch):
-    monkeypatch.setattr(bpe, "CACHED_WORDS", 4)
+    monkeypatch.setattr(bpe, "CACHED_BYTES", 1000)
     own = bpe.Encoder(open(vocabulary(), encoding="utf-8").read())
     first = None
     for words in ([b"alpha", b"beta"], [b"gamma", b"delta", b"beta"], [b"alpha", b"beta"], [b"alpha"]):

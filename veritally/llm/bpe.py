@@ -18,34 +18,52 @@ table an empty result. Only the id and text columns of the input are read.
 
 from __future__ import annotations
 
-import gc
 import json
 import re
+import sys
 import unicodedata
+from array import array
 from collections.abc import Iterator
-from functools import lru_cache
-from itertools import chain
+from functools import lru_cache, partial
+from itertools import chain, compress
+from operator import is_
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veritally.llm.words import pieces, utf8
+from veritally.llm.words import pieces, utf8, without_cycles
 
 SUFFIX = "</w>"
 END = 0x0400  # added to a symbol's code point when it ends a word; byte symbols lie below
-CACHED_WORDS = 800_000  # twice as many without their decoded text
+CACHED_BYTES = 150_000_000  # of one generation of known words; there are two at most
+WORD_COST = 400  # bytes that a known word, its pieces and fragments take in tables besides their own
 PRINTABLE = re.compile(rb"[!-~]+").fullmatch
 # Fixed value: the word pattern of the vocabulary file, for lower-case ASCII. The byte alphabet shows printable ASCII as itself.
 ASCII_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+").findall
+# The same pattern for Latin letters with marks, whose classes no Unicode version changes.
+LATIN = 0x250
+LATIN_PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{L}\p{N}]+").findall
+
+
+def byte_alphabet() -> dict[int, str]:
+    """How the byte alphabet of the vocabulary shows each byte: printable ones as themselves, the rest from U+0100 on."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in shown]
+    return {b: chr(0x100 + k) for k, b in enumerate(rest)}
+
+
+HIDDEN = byte_alphabet()
+NONE = partial(is_, None)
 
 
 class Encoder:
     """Encodes words; built once per Python worker from the vocabulary file's text. Decoded words are kept on request."""
 
     def __init__(self, spec: str, decoding: bool = True):
-        from tokenizers import Tokenizer, models, pre_tokenizers
+        from tokenizers import Tokenizer, models
 
         self.decoding = decoding
         loaded = json.loads(spec)
@@ -56,9 +74,7 @@ class Encoder:
         self.specials = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         vocab = {marked(token): i for token, i in model["vocab"].items()}
         merges = [tuple(marked(x) for x in (m if isinstance(m, list) else m.split(" "))) for m in model["merges"]]
-        self.word_end = max(*vocab.values(), *self.special.values(), 0) + 1
-        self.fragments = Tokenizer(models.BPE({**vocab, "\n": self.word_end}, merges))
-        self.fragments.pre_tokenizer = pre_tokenizers.Split(" ", "removed")
+        self.fragments = models.BPE(vocab, merges, cache_capacity=0)
         self.together = np.zeros((2 * END, 2 * END), bool)
         for token in vocab:
             for a, b in zip(token, token[1:]):
@@ -67,6 +83,8 @@ class Encoder:
         self.strings = [b""] * top
         for token, i in (model["vocab"] | self.special).items():
             self.strings[i] = token.encode()
+        self.fragment_ids: dict[str, bytes] = {"\n": b""}
+        self.size = 0
         self.piece_ids: dict[str, bytes] = {}
         self.piece_text: dict[str, bytes] = {}
         self.ids: dict[bytes, bytes] = {}
@@ -82,15 +100,16 @@ class Encoder:
         return np.insert(codes, at, 32).tobytes().decode("utf-16-le") if len(at) else marked_words
 
     def cut(self, words: list[str]) -> list[list[str]]:
-        """Library normaliser and splitter, for words without white space, NUL or special strings."""
-        between = "Ā"  # how the byte alphabet shows NUL
-        out: list[list[str]] = [[]]
-        for piece, _ in self.splitter.pre_tokenize_str(self.normalizer.normalize_str(" \0 ".join(words))):
-            if piece == between:
-                out.append([])
+        """Pieces of words without white space, NUL or special strings, by the library's normaliser and its splitter's pattern."""
+        if not words:
+            return []
+        out = []
+        for word in self.normalizer.normalize_str(" \0 ".join(words)).split(" \0 "):
+            if max(word, default="") < chr(LATIN):
+                out.append([p if p.isascii() and p.isprintable() else p.encode().decode("latin-1").translate(HIDDEN) for p in LATIN_PIECES(word)])
             else:
-                out[-1].append(piece)
-        return out if words else []
+                out.append([p for p, _ in self.splitter.pre_tokenize_str(word)])
+        return out
 
     def cut_odd(self, word: str) -> list[str]:
         """Pieces of a word that may hold special strings, NUL or non-ASCII white space; special strings stay whole."""
@@ -104,26 +123,29 @@ class Encoder:
 
     def learn_pieces(self, found: set[str]) -> None:
         new = list(found.difference(self.piece_ids))
+        tokens, known = self.fragments.tokenize, self.fragment_ids
         for k in range(0, len(new), 20_000):
             part = new[k : k + 20_000]
-            text = " \n ".join([p[:-1] + chr(ord(p[-1]) + END) for p in part])
-            ids = np.array(self.fragments.encode_batch_fast([self.fragment(text)])[0].ids, "<u4")
-            ends = [*np.flatnonzero(ids == self.word_end).tolist(), len(ids)]
-            start = 0
-            for p, end in zip(part, ends):
-                own = ids[start:end]
-                self.piece_ids[p] = own.tobytes()
-                if self.decoding:
-                    self.piece_text[p] = self.decode(own.tolist())
-                start = end + 1
+            cut = self.fragment(" \n ".join([p[:-1] + chr(ord(p[-1]) + END) for p in part]))
+            for f in set(cut.split(" ")).difference(known):
+                ids = array("I", [t.id for t in tokens(f)])
+                if sys.byteorder == "big":
+                    ids.byteswap()
+                known[f] = ids.tobytes()
+            get, join = known.__getitem__, b"".join
+            self.piece_ids.update(zip(part, [join(map(get, f.split(" "))) if " " in f else get(f) for f in cut.split(" \n ")]))
+            if self.decoding:
+                self.piece_text.update((p, self.decode(np.frombuffer(self.piece_ids[p], "<u4").tolist())) for p in part)
 
     def learn(self, words: set[bytes]) -> None:
         """Adds words to the tables. A full table becomes the older one, from which words in use come back."""
-        if len(self.ids) > (CACHED_WORDS // 2 if self.decoding else CACHED_WORDS):
+        if self.size > CACHED_BYTES:
             self.older = self.ids, self.decoded
             self.ids, self.decoded, self.piece_ids, self.piece_text = {}, {}, {}, {}
+            self.fragment_ids, self.size = {"\n": b""}, 0
         ids, decoded = self.ids, self.decoded
         missing = words.difference(ids)
+        self.size += (WORD_COST * len(missing) + 3 * sum(map(len, missing))) << self.decoding
         known, shown = self.older
         back = missing.intersection(known)
         for w in back:
@@ -134,7 +156,9 @@ class Encoder:
         missing -= back
         for t, i in self.special.items():
             self.piece_ids[t], self.piece_text[t] = np.array([i], "<u4").tobytes(), t.encode()
-        plain = [w for w in missing if PRINTABLE(w) and b"<|" not in w]
+        plain = [w for w in missing if PRINTABLE(w)]
+        if b"<|" in b" ".join(plain):
+            plain = [w for w in plain if b"<|" not in w]
         cut = [ASCII_PIECES(w.lower().decode()) for w in plain]
         other = [w for w in missing.difference(plain)]
         odd = [w for w in other if b"<|" in w or b"\0" in w or not is_plain(w.decode())]
@@ -159,6 +183,23 @@ class Encoder:
         """Ids of a text cut at white space, as little-endian 32-bit integers; its words were learned."""
         return b"".join(map(self.ids.__getitem__, words))
 
+    def encoded(self, texts: list[list[bytes]]) -> list[bytes]:
+        """Ids of texts; words that aren't known are learned."""
+        get = self.ids.get
+        found = [list(map(get, words)) for words in texts]
+        missing: set[bytes] = set()
+        for words, own in zip(texts, found):
+            if None in own:
+                missing.update(compress(words, map(NONE, own)))
+        if missing:
+            self.learn(missing)  # may start new tables; what was found before stays right
+            get = self.ids.__getitem__
+            for words, own in zip(texts, found):
+                if None in own:
+                    for k in [k for k, x in enumerate(own) if x is None]:
+                        own[k] = get(words[k])
+        return [b"".join(own) for own in found]
+
     def text(self, words: list[bytes]) -> bytes:
         return b" ".join(filter(None, map(self.decoded.__getitem__, words)))
 
@@ -201,13 +242,14 @@ def encode(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(spec.value, decode)
-        gc.disable()  # the tables hold no cycles; walking them again and again costs more than the encoding
         for batch in batches:
             for a, b, texts in texts_as_words(batch.column(1)):
-                own.learn(set().union(*texts))
-                columns = [batch.column(0).slice(a, b - a), pa.array([own.encode(t) for t in texts], pa.binary())]
-                if decode:
-                    columns.append(pa.array([own.text(t) for t in texts], pa.binary()).cast(pa.string()))
+                with without_cycles():
+                    if decode:
+                        own.learn(set().union(*texts))
+                    columns = [batch.column(0).slice(a, b - a), pa.array(own.encoded(texts), pa.binary())]
+                    if decode:
+                        columns.append(pa.array([own.text(t) for t in texts], pa.binary()).cast(pa.string()))
                 yield pa.RecordBatch.from_arrays(columns, names)
 
     names = ["doc_id", "ids"] + ["decoded"] * decode

@@ -18,7 +18,6 @@ language first in the alphabet. Rows are judged alone, by their text only.
 
 from __future__ import annotations
 
-import gc
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -32,7 +31,7 @@ from pyspark.sql import functions as F
 
 from veritally.llm.bpe import texts_as_words
 from veritally.llm.common import written
-from veritally.llm.words import mix, seeds
+from veritally.llm.words import mix, seeds, without_cycles
 
 MARK = "▁"
 LETTERS = regex.compile(r"\p{L}+").findall
@@ -317,11 +316,11 @@ def predict(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = scorer(shared)
-        gc.disable()
         k = len(names) - 1
         for batch in batches:
             for a, b, texts in texts_as_words(batch.column(1)):
-                sums = own.score(texts)
+                with without_cycles():
+                    sums = own.score(texts)
                 some = (sums[:, k] > 0) & (k > 0)
                 best, share = np.full(b - a, k), np.zeros(b - a)
                 if k:

@@ -15,7 +15,6 @@ are packed each; an empty table gives no pieces. Only id and text are read.
 
 from __future__ import annotations
 
-import gc
 import heapq
 import zlib
 from collections.abc import Iterator
@@ -29,6 +28,7 @@ from pyspark.sql import functions as F
 
 from veritally.llm.bpe import encoder, shared_vocabulary, texts_as_words
 from veritally.llm.common import written
+from veritally.llm.words import without_cycles
 
 
 @dataclass(frozen=True)
@@ -108,14 +108,14 @@ def cut(docs: DataFrame, vocabulary: str, doc_id: str, text: str, s: Settings) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(spec.value, False)
-        gc.disable()
         number = TaskContext.get().partitionId() << 36
         for batch in batches:
             for a, b, texts in texts_as_words(batch.column(1)):
-                own.learn(set().union(*texts))
+                with without_cycles():
+                    encoded = own.encoded(texts)
                 rows: list[tuple] = []
-                for doc, words in zip(batch.column(0).slice(a, b - a).to_pylist(), texts):
-                    ids = memoryview(own.encode(words) + end)
+                for doc, found in zip(batch.column(0).slice(a, b - a).to_pylist(), encoded):
+                    ids = memoryview(found + end)
                     total = len(ids) // 4
                     full = total - total % s.capacity
                     at = 0
@@ -140,11 +140,11 @@ def pack(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str = "
     blocks = max(1, round(tokens / (s.capacity * s.block_windows)))
 
     def run(table: pa.Table) -> pa.Table:
-        gc.disable()
         order = [("doc_id", "ascending"), ("start", "ascending"), ("number", "ascending")]
         table = table.sort_by(order)
         sizes = np.asarray(table["length"])
-        window, _ = windows(sizes, s.capacity)
+        with without_cycles():
+            window, _ = windows(sizes, s.capacity)
         by = np.argsort(window, kind="stable")
         ends = np.cumsum(sizes[by])
         first = np.searchsorted(window[by], window[by])

@@ -8,7 +8,9 @@ whole texts of about ``PIECE`` bytes; a longer text is a piece of its own.
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 
 import numpy as np
@@ -20,6 +22,18 @@ ODD = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
+@contextmanager
+def without_cycles() -> Iterator[None]:
+    """No search for cycles meanwhile: large tables of plain values hold none, and walking them costs more than the work."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit integers that spreads every bit."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -73,7 +87,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
             x = np.full(n, base, np.uint64)
             x[0] = 1
             made.append(np.cumprod(x))
-        if n > 8 * PIECE:
+        if n > 2 * PIECE:
             return made[0], made[1]
         _powers = (made[0], made[1])
     return _powers
