@@ -103,18 +103,34 @@ def test_keep_one_passes_columns_through(edge, texts_of):
     assert ids.count(None) == 2
 
 
-def removed_brute(texts, length):
+def covered_brute(texts, length):
+    """Per row: id, bytes, and which of them (with one more, kept) a repeated string covers."""
     seen = Counter()
     for _, t in texts:
         x = (t or "").encode()
         seen.update(x[i : i + length] for i in range(len(x) - length + 1))
-    out = []
     for d, t in texts:
         x = (t or "").encode()
         gone = np.zeros(len(x) + 1, bool)
         for i in range(len(x) - length + 1):
             if seen[x[i : i + length]] > 1:
                 gone[i : i + length] = True
+        yield d, x, gone
+
+
+def texts_left(texts, length):
+    """Rows (id, text) without the characters of which all bytes are covered."""
+    out = []
+    for (_, t), (d, x, gone) in zip(texts, covered_brute(texts, length)):
+        ends = np.cumsum([len(c.encode()) for c in t or ""])
+        left = "".join(c for c, e in zip(t or "", ends.tolist()) if not gone[e - len(c.encode()) : e].all())
+        out.append((d, None if t is None else left))
+    return out
+
+
+def removed_brute(texts, length):
+    out = []
+    for d, x, gone in covered_brute(texts, length):
         kept = bytes(b for b, g in zip(x, gone) if not g)
         runs = int((gone[1:] & ~gone[:-1]).sum() + gone[0]) if len(x) else 0
         out.append((d, len(x), int(gone.sum()), runs, hashlib.sha256(kept).hexdigest()))

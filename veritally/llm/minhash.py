@@ -51,6 +51,7 @@ class Settings:
     sketch_longs: int = 8
     slack: float = 0.16
     tile: int = 1024
+    tile_shingles: int = 1 << 20
 
     @property
     def samples(self) -> int:
@@ -153,12 +154,17 @@ def confirmed(pairs: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
     return joined.mapInArrow(run, "a long, b long")
 
 
-def in_tiles(members: DataFrame, by: str, size: int) -> DataFrame:
+def in_tiles(members: DataFrame, by: str, size: int, weight: str | None = None, most: int = 1) -> DataFrame:
     """Members (``by``, node, ...) dealt to tiles of about ``size``, once for each pair of tiles that their own belongs to.
 
+    A tile's sum of ``weight`` is about ``most`` at most, but for a member that weighs more alone.
+
     Pass slim rows and join what is wide afterwards, by node: then a hot group is spread before its bytes travel.
     """
-    sizes = written(members.groupBy(by).agg(F.ceil(F.count("*") / size).cast("int").alias("tiles")), "tiles")
+    tiles = F.ceil(F.count("*") / size)
+    if weight:
+        tiles = F.greatest(tiles, F.ceil(F.sum(weight) / most))
+    sizes = written(members.groupBy(by).agg(tiles.cast("int").alias("tiles")), "tiles")
     cut = members.join(sizes, by).withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other")
     cut = cut.select("*", other).withColumns({"t": F.least("tile", "other"), "u": F.greatest("tile", "other")})
@@ -207,7 +213,8 @@ def linked_in_tiles(members: DataFrame, sketch: DataFrame, sets: DataFrame, s: S
         ends = np.array(found, np.int64).reshape(-1, 2)
         return pa.table({"a": pa.array(ends[:, 0]), "b": pa.array(ends[:, 1])})
 
-    cut = in_tiles(members, "label", s.tile).join(sketch, "node").join(sets, "node")
+    weighed = members.join(sets.select("node", (F.octet_length("shingles") / 8).alias("weight")), "node")
+    cut = in_tiles(weighed, "label", s.tile, "weight", s.tile_shingles).drop("weight").join(sketch, "node").join(sets, "node")
     cut = cut.select("label", "t", "u", "tile", "node", "sketch", "shingles")
     return cut.groupBy("label", "t", "u").applyInArrow(run, "a long, b long")
 
