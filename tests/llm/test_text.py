@@ -231,6 +231,36 @@ def test_edge_is_calibrated_on_lines_that_can_pass(spark):
     assert 0.9 < model.least < 0.91  # one of a thousand may pass, but two are equal
 
 
+def test_common_lines_do_not_take_the_sample(spark):
+    prose = [f"He lost the license number {k} of his car." for k in range(3000)]
+    lines = prose + ["Released under the MIT License."] * 9000 + ["The license to kill is a film."] * 5000
+    docs = spark.createDataFrame([(k, x) for k, x in enumerate(lines)], "doc_id long, text string")
+    model = licenses.fit(docs)
+    assert model.n_sampled == 2000 and 900 < model.n_calibrated < 1100
+
+
+def judged_by_hand(line, m):
+    ws = [w for w in re.split("[^a-z0-9]+", "".join(c.lower() if c.isascii() else c for c in line)) if w]
+    marks = {*licenses.ANCHORS, *licenses.MARKS}
+    grams = {" ".join(ws[i : i + n]) for n in (2, 3) for i in range(len(ws) - n + 1) if marks & set(ws[i : i + n])}
+    logits = np.array(m.intercepts) + sum((np.array(m.weights[g]) for g in grams if g in m.weights), np.zeros(len(m.families)))
+    best = int(logits[:-1].argmax())
+    own = {" ".join(p) for p in zip(ws, ws[1:])}
+    share = max(len(own & set(n)) / len(set(n)) if n else 0 for n in m.names[m.families[best]])
+    return m.families[best], 1 / np.exp(logits - logits[best]).sum(), share
+
+
+def test_every_line_is_judged_as_by_hand(spark, small):
+    model = licenses.fit(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    lines = licenses.lines_of(small, "text").filter("octet_length(line) = length(line)").distinct()
+    rows = lines.select("line", licenses.judged(F.col("line"), model).alias("j")).collect()
+    assert len(rows) > 300
+    for r in rows:
+        family, probability, likeness = judged_by_hand(r.line, model)
+        assert r.j.family == family and r.j.probability == pytest.approx(probability, rel=1e-9)
+        assert r.j.likeness is None or r.j.likeness == pytest.approx(likeness)
+
+
 # --- quality ---
 
 
