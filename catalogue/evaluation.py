@@ -142,24 +142,24 @@ ORACLES["calibration_slope_intercept"] = f"""with recursive {ORDERS}, {fits_cte(
   select model, round(calibration_slope, 5) as calibration_slope, round(calibration_intercept, 5) as calibration_intercept from fits"""
 
 
-def lowess_sql(points: int = 200) -> str:
-    """Local lines at the fit points, each with its own sorted distances, and the index, for the models of ``ladder``."""
-    return f"""c as (select model, p, (pos + neg)::double as w, pos::double as pos, pos_below + neg_below as below, pos + neg as rows from ladder),
-  k as (select model, floor(0.6::double * sum(w) + 1e-10)::double as k, count(*) as cells, min(2 * below + rows) as lo, max(2 * below + rows) as hi from c group by model),
-  points as (select model, min(p) as x0 from c join k using (model)
+def lowess_cte(points: int = 200) -> str:
+    """``ici`` (model, ici) of ``ladder``: local lines at the fit points, each with its own sorted distances."""
+    return f"""lc as (select model, p, (pos + neg)::double as w, pos::double as pos, pos_below + neg_below as below, pos + neg as rows from ladder),
+  lk as (select model, floor(0.6::double * sum(w) + 1e-10)::double as k, count(*) as cells, min(2 * below + rows) as lo, max(2 * below + rows) as hi from lc group by model),
+  fit_at as (select model, min(p) as x0 from lc join lk using (model)
     group by model, case when cells <= {points} then p else ((2 * below + rows - lo) * {points - 1} // greatest(hi - lo, 1))::double end),
-  pairs as (select a.model, a.x0, b.p as x, b.w, b.pos, abs(b.p - a.x0) as d,
-    sum(b.w) over (partition by a.model, a.x0 order by abs(b.p - a.x0), b.p) as upto from points a join c b on a.model = b.model),
-  width as (select model, x0, min(d) filter (where upto >= k - 1e-9) as hw from pairs join k using (model) group by model, x0),
-  weighted as (select model, x0, x - x0 as u, pos, w, case when hw > 0 and d < hw then pow(1 - pow(d / hw, 3), 3) else 0 end as t
-    from pairs join width using (model, x0)),
-  s as (select model, x0, sum(w * t) as s0, sum(w * t * u) as s1, sum(w * t * u * u) as s2, sum(pos * t) as y0, sum(pos * t * u) as y1
-    from weighted group by model, x0),
-  fit as (select model, x0, y0 / s0 - ((y1 - s1 * y0 / s0) / (s2 - s1 * s1 / s0)) * s1 / s0 as f from s),
-  below_it as (select c.*, fit.x0 as xa, fit.f as fa from c asof left join fit on c.model = fit.model and c.p >= fit.x0),
+  distances as (select a.model, a.x0, b.p as x, b.w, b.pos, abs(b.p - a.x0) as d,
+    sum(b.w) over (partition by a.model, a.x0 order by abs(b.p - a.x0), b.p) as upto from fit_at a join lc b on a.model = b.model),
+  width as (select model, x0, min(d) filter (where upto >= k - 1e-9) as hw from distances join lk using (model) group by model, x0),
+  tricube as (select model, x0, x - x0 as u, pos, w, case when hw > 0 and d < hw then pow(1 - pow(d / hw, 3), 3) else 0 end as t
+    from distances join width using (model, x0)),
+  lsum as (select model, x0, sum(w * t) as s0, sum(w * t * u) as s1, sum(w * t * u * u) as s2, sum(pos * t) as y0, sum(pos * t * u) as y1
+    from tricube group by model, x0),
+  fit as (select model, x0, y0 / s0 - ((y1 - s1 * y0 / s0) / (s2 - s1 * s1 / s0)) * s1 / s0 as f from lsum),
+  below_it as (select lc.*, fit.x0 as xa, fit.f as fa from lc asof left join fit on lc.model = fit.model and lc.p >= fit.x0),
   around as (select b.*, fit.x0 as xb, fit.f as fb from below_it b asof left join fit on b.model = fit.model and b.p <= fit.x0),
-  smooth as (select model, p, w, case when xa is null then fb when xb is null or xb = xa then fa else fa + (fb - fa) * (p - xa) / (xb - xa) end as f from around)
-  select model, round(sum(w * abs(f - p)) / sum(w), 5) as ici from smooth group by model"""
+  smooth as (select model, p, w, case when xa is null then fb when xb is null or xb = xa then fa else fa + (fb - fa) * (p - xa) / (xb - xa) end as f from around),
+  ici as (select model, sum(w * abs(f - p)) / sum(w) as ici from smooth group by model)"""
 
 
 def ici_lines(spark, sf):
@@ -167,7 +167,7 @@ def ici_lines(spark, sf):
 
 
 QUERIES["calibration_ici_tied"] = ici_lines
-ORACLES["calibration_ici_tied"] = f"with {LINES}, {lowess_sql()}"
+ORACLES["calibration_ici_tied"] = f"with {LINES}, {lowess_cte()} select model, round(ici, 5) as ici from ici"
 
 
 def ici_orders(spark, sf):
@@ -175,7 +175,7 @@ def ici_orders(spark, sf):
 
 
 QUERIES["calibration_ici"] = ici_orders
-ORACLES["calibration_ici"] = f"with {ORDERS}, {lowess_sql()}"
+ORACLES["calibration_ici"] = f"with {ORDERS}, {lowess_cte()} select model, round(ici, 5) as ici from ici"
 
 
 def ici_isotonic(spark, sf):
@@ -345,7 +345,7 @@ ORACLES["decision_curve"] = f"""with {orders_scored_cte()}, grid as (select unne
 
 # --- bootstrap -----------------------------------------------------------------------------
 
-REPS = 40
+REPS = 2000
 
 
 def draws(spark, sf):
@@ -374,14 +374,28 @@ def polynomial(prefix: str) -> str:
     return f"((({c[2]} * h1 + {c[1]}) % {PRIME} * h1 + {c[0]}) % {PRIME} + ({c[3]} * h2) % {PRIME}) % {PRIME}"
 
 
+POISSON = " ".join(f"when v < {c!r}::double then {k}" for k, c in enumerate(bs.poisson_cuts()))
+TIMES = f"case {POISSON} else {len(bs.poisson_cuts())} end"
+
+
 def draws_cte(reps: int, rows: str = "wide", stratum: str = "y", row_id: str = "row_id") -> str:
+    """``drawn``: Poisson counts, put right to the size of each stratum by draws added or taken back."""
     return f"""pos_ix as (select {row_id}, {stratum} as s, row_number() over (partition by {stratum} order by {h(42, 'boot-index', row_id)}, {row_id}) as idx,
       count(*) over (partition by {stratum}) as n from {rows}),
     reps as (select unnest(range(1, {reps + 1})) as rep),
-    coefs as (select rep, {coefficients(42, 'boot-high', 'a')}, {coefficients(42, 'boot-low', 'b')} from reps),
-    hashed as (select s, n, {residues(42, 'boot', 's', 'idx')} from pos_ix),
-    draws as (select s, ({polynomial('a')} * 2147483648 + {polynomial('b')}) % n + 1 as idx, rep from hashed cross join coefs),
-    drawn as (select p.{row_id}, d.rep, count(*) as times from draws d join pos_ix p on p.s = d.s and p.idx = d.idx group by p.{row_id}, d.rep)"""
+    coefs as (select rep, {coefficients(42, 'poisson', 'a')}, {coefficients(42, 'boot-ball', 'b')} from reps),
+    hashed as (select {row_id}, s, n, {residues(42, 'poisson', row_id)} from pos_ix),
+    valued as (select {row_id}, s, n, h1, h2, rep, ({polynomial('a')}) / {PRIME}::double as v from hashed cross join coefs),
+    first_times as (select {row_id}, s, n, h1, h2, rep, {TIMES} as times from valued),
+    lacks as (select s, rep, (max(n) - sum(times))::bigint as lack, max(n) as n from first_times group by s, rep),
+    added as (select s, {h(42, 'boot-add', 's', 'rep', 'd')} % n + 1 as idx, rep from lacks, unnest(range(1, lack + 1)) as x(d) where lack > 0),
+    balls as (select {row_id}, s, rep, copy, lack, (h1 + copy * {bs.COPY}) % {PRIME} as h1, h2
+      from first_times join lacks using (s, rep), unnest(range(1, times + 1)) as x(copy) where lack < 0),
+    keyed as (select {row_id}, s, rep, copy, lack, {polynomial('b')} as k from balls join coefs using (rep)),
+    taken as (select {row_id}, rep from keyed qualify row_number() over (partition by s, rep order by k, {row_id}, copy) <= -lack),
+    drawn as (select {row_id}, rep, sum(times)::bigint as times from (select {row_id}, rep, times from first_times where times > 0
+        union all select p.{row_id}, a.rep, 1 from added a join pos_ix p on p.s = a.s and p.idx = a.idx union all select {row_id}, rep, -1 from taken)
+      group by {row_id}, rep having sum(times) > 0)"""
 
 
 QUERIES["bootstrap_draws"] = draws
@@ -421,11 +435,11 @@ ORACLES["bootstrap_intervals_exact"] = f"""with {orders_scored_cte(['pa', 'pb'])
 
 def custom_intervals(spark, sf):
     gap = {"mean_score_gap": lambda: F.sum(F.col("pos") * F.col("p")) / F.sum("pos") - F.sum(F.col("neg") * F.col("p")) / F.sum("neg")}
-    return rounded(bs.bootstrap_ci(scored_orders(spark, sf, ["pa"]), ["model"], metrics=gap, n_resamples=10))
+    return rounded(bs.bootstrap_ci(scored_orders(spark, sf, ["pa"]), ["model"], metrics=gap, n_resamples=200))
 
 
 QUERIES["bootstrap_custom_metric"] = custom_intervals
-ORACLES["bootstrap_custom_metric"] = f"""with {orders_scored_cte(['pa'])}, {draws_cte(10)},
+ORACLES["bootstrap_custom_metric"] = f"""with {orders_scored_cte(['pa'])}, {draws_cte(200)},
   r as (select rep, sum(times * y * p) / sum(times * y) - sum(times * (1 - y) * p) / sum(times * (1 - y)) as value
     from scored join drawn using (row_id) group by rep),
   e as (select sum(y * p) / sum(y) - sum((1 - y) * p) / sum(1 - y) as estimate from scored),
@@ -435,11 +449,11 @@ ORACLES["bootstrap_custom_metric"] = f"""with {orders_scored_cte(['pa'])}, {draw
 
 
 def plain_intervals(spark, sf):
-    return rounded(bs.bootstrap_ci(scored_orders(spark, sf, ["pa"]), ["model"], metrics=["auroc"], n_resamples=20, stratified=False))
+    return rounded(bs.bootstrap_ci(scored_orders(spark, sf, ["pa"]), ["model"], metrics=["auroc"], n_resamples=REPS, stratified=False))
 
 
 QUERIES["bootstrap_intervals_unstratified"] = plain_intervals
-ORACLES["bootstrap_intervals_unstratified"] = f"""with {orders_scored_cte(['pa'])}, one as (select row_id, 0 as z from wide), {draws_cte(20, 'one', 'z')},
+ORACLES["bootstrap_intervals_unstratified"] = f"""with {orders_scored_cte(['pa'])}, one as (select row_id, 0 as z from wide), {draws_cte(REPS, 'one', 'z')},
   {replicate_sql('scored', 'drawn', 'model', ['auroc'])} select model, metric, {CI_OUT} from est join ci using (model, metric)"""
 
 
@@ -447,16 +461,63 @@ def poisson_intervals(spark, sf):
     return rounded(bs.bootstrap_ci(scored_orders(spark, sf, ["pa", "pb"]), ["model"], n_resamples=REPS, mode="poisson"))
 
 
-POISSON = " ".join(f"when v < {c!r}::double then {k}" for k, c in enumerate(bs.poisson_cuts()))
 QUERIES["bootstrap_intervals_poisson"] = poisson_intervals
 ORACLES["bootstrap_intervals_poisson"] = f"""with {orders_scored_cte(['pa', 'pb'])}, reps as (select unnest(range(1, {REPS + 1})) as rep),
   coefs as (select rep, {coefficients(42, 'poisson', 'a')} from reps), hashed as (select row_id, {residues(42, 'poisson', 'row_id')} from wide),
   pw as (select row_id, rep, ({polynomial('a')}) / {PRIME}::double as v from hashed cross join coefs),
-  drawn as (select row_id, rep, case {POISSON} else {len(bs.poisson_cuts())} end as times from pw),
+  drawn as (select row_id, rep, {TIMES} as times from pw),
   hit as (select * from drawn where times > 0), {replicate_sql('scored', 'hit', 'model', ['auroc', 'auprc', 'brier'])}
   select model, metric, {CI_OUT} from est join ci using (model, metric)"""
 
 
+OWN = {
+    "mean_score_gap": bs.BlockMetric(
+        lambda t: t["event_score"] / t["events"] - t["other_score"] / t["others"],
+        terms={
+            "event_score": lambda p, pos, neg: p @ pos, "events": lambda p, pos, neg: pos.sum(0),
+            "other_score": lambda p, pos, neg: p @ neg, "others": lambda p, pos, neg: neg.sum(0),
+        },
+    ),
+    "mean_events_above_others": bs.BlockMetric(  # a metric of ranks
+        lambda t: t["above"] / t["others"],
+        terms={"others": lambda p, pos, neg: neg.sum(0)},
+        ranked={"above": lambda p, pos, neg, pos_above, neg_above: (neg * pos_above).sum(0)},
+    ),
+}
+
+
+def own_intervals(mode):
+    def run(spark, sf):
+        return rounded(bs.bootstrap_ci(scored_orders(spark, sf, ["pa"]), ["model"], metrics=OWN, n_resamples=REPS, mode=mode), 5)
+
+    return run
+
+
+def _own_sql(drawn: str, name: str) -> str:
+    return f"""with {orders_scored_cte(['pa'])}, {drawn},
+  w as (select rep, times, y, p from scored join {name} using (row_id) union all select 0, 1, y, p from scored),
+  g as (select rep, p, sum(times * y) as pos, sum(times * (1 - y)) as neg from w group by rep, p),
+  r as (select *, sum(pos) over (partition by rep order by p desc rows unbounded preceding) - pos as above from g),
+  m as (select rep, sum(pos * p) / sum(pos) - sum(neg * p) / sum(neg) as mean_score_gap, sum(neg * above)::double / sum(neg) as mean_events_above_others from r group by rep),
+  v as (unpivot m on mean_score_gap, mean_events_above_others into name metric value value),
+  ci as (select metric, quantile_cont(value, 0.025) as ci_low, quantile_cont(value, 0.975) as ci_high, stddev_samp(value) as se, count(*) as n_resamples
+    from v where rep > 0 group by metric)
+  select 'pa' as model, metric, round(value, 5) as estimate, round(ci_low, 5) as ci_low, round(ci_high, 5) as ci_high, round(se, 5) as se, n_resamples
+  from ci join v using (metric) where rep = 0"""
+
+
+def _poisson_cte(reps: int) -> str:
+    return f"""reps as (select unnest(range(1, {reps + 1})) as rep),
+  coefs as (select rep, {coefficients(42, 'poisson', 'a')} from reps), hashed as (select row_id, {residues(42, 'poisson', 'row_id')} from wide),
+  pw as (select row_id, rep, ({polynomial('a')}) / {PRIME}::double as v from hashed cross join coefs),
+  hit as (select * from (select row_id, rep, {TIMES} as times from pw) where times > 0)"""
+
+
+for _mode, _drawn, _name in (("exact", draws_cte(REPS), "drawn"), ("poisson", _poisson_cte(REPS), "hit")):
+    QUERIES[f"bootstrap_own_metrics_{_mode}"] = own_intervals(_mode)
+    ORACLES[f"bootstrap_own_metrics_{_mode}"] = _own_sql(_drawn, _name)
+
+
 def difference(metric):
     def run(spark, sf):
         return rounded(bs.bootstrap_difference(scored_orders(spark, sf, ["pa", "pb"]), "pa", "pb", metric, n_resamples=REPS))
@@ -526,7 +587,20 @@ def comparisons(spark, sf):
     return rounded(inf.compare_models(scored_orders(spark, sf), ORDER_MODELS, ("pb", "pa")))
 
 
+# erfc(|z| / sqrt(2)) by Simpson's rule over 400 steps of the normal density
+NORMAL_P = """greatest(0, 1 - 2 * abs(z) / 1200 / sqrt(2 * pi()) * list_sum(list_transform(range(0, 401),
+    lambda i: case when i = 0 or i = 400 then 1 when i % 2 = 1 then 4 else 2 end * exp(-pow(z * i / 400, 2) / 2))))"""
 QUERIES["inference_model_comparisons"] = comparisons
+ORACLES["inference_model_comparisons"] = f"""with {orders_scored_cte()}, {DELONG},
+  turned as (select model_a = 'pa' and model_b = 'pb' as flip, * from dl),
+  t as (select case when flip then 'pb' else model_a end as model_a, case when flip then 'pa' else model_b end as model_b, case when flip then auc_b else auc_a end as auc_a,
+    case when flip then auc_a else auc_b end as auc_b, se, case when flip then 'primary' else 'secondary' end as type from turned),
+  d as (select *, auc_a - auc_b as difference, (auc_a - auc_b) / se as z, model_a || ' vs ' || model_b as comparison from t),
+  p as (select *, {NORMAL_P} as p_value from d),
+  r as (select *, row_number() over (partition by type order by p_value, comparison) as rn, count(*) over (partition by type) as m from p)
+  select model_a, model_b, round(auc_a, 6) as auc_a, round(auc_b, 6) as auc_b, round(difference, 6) as difference, round(se, 6) as se, round(z, 6) as z,
+    round(difference - 1.96 * se, 6) as ci_low, round(difference + 1.96 * se, 6) as ci_high, round(p_value, 6) as p_value, comparison, type,
+    round(least(1, max((m - rn + 1) * p_value) over (partition by type order by p_value, comparison rows unbounded preceding)), 6) as p_adjusted from r"""
 
 
 def mcnemar(spark, sf):
@@ -569,10 +643,21 @@ ORACLES["inference_holm"] = f"""with {orders_wide_cte()}, t as (select row_id, s
 
 
 def performance(spark, sf):
-    return rounded(plan.performance_table(scored_orders(spark, sf, ["pa", "pb"]), n_resamples=20), 5)
+    return rounded(plan.performance_table(scored_orders(spark, sf, ["pa", "pb"]), n_resamples=REPS), 5)
 
 
+_PARTS = [
+    f"round(max(case when metric = '{m}' then {c} end), 5) as {m if c == 'estimate' else f'{m}_{c}'}"
+    for m in ("auroc", "auprc", "brier")
+    for c in ("estimate", "ci_low", "ci_high", "se")
+]
 QUERIES["performance_table"] = performance
+ORACLES["performance_table"] = f"""with recursive {orders_scored_cte(['pa', 'pb'])}, {draws_cte(REPS)},
+  {replicate_sql('scored', 'drawn', 'model', ['auroc', 'auprc', 'brier'])}, {ladder_cte(['model'])}, {fits_cte(['model'], 'ladder')}, {lowess_cte()},
+  wide_ci as (select model, {', '.join(_PARTS)} from est join ci using (model, metric) group by model),
+  disc as (select model, {metrics_sql(['auprc_baseline', 'log_loss', 'brier_scaled']).replace(', 6)', ', 5)')} from ladder group by model)
+  select wide_ci.*, auprc_baseline, log_loss, brier_scaled, round(calibration_slope, 5) as calibration_slope, round(calibration_intercept, 5) as calibration_intercept,
+    round(ici, 5) as ici from wide_ci join disc using (model) join fits using (model) join ici using (model)"""
 
 
 def best(spark, sf):

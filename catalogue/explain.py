@@ -5,15 +5,20 @@ from __future__ import annotations
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
+from catalogue.evaluation import CI_OUT, REPS, draws_cte, replicate_sql
 from catalogue.modelling import ROLES, SMALL
 from catalogue.sampling import SPLIT_CTE, split_orders, target_orders
-from catalogue.shared import h, ladder_cte, metrics_sql, rounded, scored_orders, orders_scored_cte, table
+from catalogue.shared import h, ladder_cte, metrics_sql, orders_scored_cte, rounded, scored_orders, table, u
 from catalogue.sources import COEFS, LINEAR_SHAP_CTE, SLOTS
+from veritally.functions.hashing import key_uniform
 from veritally.operators import explain as ex
 from veritally.operators import sensitivity as se
 from veritally.operators.bounded import stored
 from veritally.operators.encoding import drop_helpers, parent_features
+from veritally.operators.inference import auc_variances
+from veritally.operators.ladder import score_ladder
 from veritally.operators.models import fit_model
+from veritally.operators.pooling import pooled
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -247,3 +252,64 @@ def arm_metrics(spark, sf):
 QUERIES["sensitivity_arm_table"] = arm_metrics
 ORACLES["sensitivity_arm_table"] = f"""with {orders_scored_cte()}, {ladder_cte(['model'])} select 'model' as analysis, model as arm,
   {metrics_sql(['auroc', 'auprc', 'auprc_baseline', 'log_loss', 'mean_predicted_risk', 'brier', 'brier_scaled']).replace(', 6)', ', 4)')} from ladder group by model"""
+
+
+# --- arms over every record, and over imputed tables ---------------------------------------------
+
+
+def _with_customer(spark, sf):
+    owner = table(spark, sf, "orders").select(F.col("o_orderkey").alias("row_id"), "o_custkey")
+    return scored_orders(spark, sf, ["pa"]).join(owner, "row_id")
+
+
+def records_intervals(spark, sf):
+    return rounded(se.all_records_intervals(_with_customer(spark, sf), "row_id", "o_custkey", n_resamples=REPS))
+
+
+QUERIES["sensitivity_all_records_intervals"] = records_intervals
+ORACLES["sensitivity_all_records_intervals"] = f"""with {orders_scored_cte(['pa'])}, e as (select distinct o_custkey, 0 as z from orders), {draws_cte(REPS, 'e', 'z', 'o_custkey')},
+  owned as (select s.*, o.o_custkey from scored s join orders o on o.o_orderkey = s.row_id),
+  row_draws as (select row_id, rep, times from owned join drawn using (o_custkey)), {replicate_sql('scored', 'row_draws', 'model', ['auroc', 'auprc', 'brier'])}
+  select 'cohort' as analysis, 'all_records' as arm, model, metric, {CI_OUT}, (select count(*) from orders) as n_rows, (select count(distinct o_custkey) from orders) as n_entities
+  from est join ci using (model, metric)"""
+
+
+def records_arm(spark, sf):
+    orders = table(spark, sf, "orders").withColumn("target", (F.col("o_orderpriority") == "1-URGENT").cast("int"))
+    return rounded(se.all_records_arm("parsimonious_lr", orders, ROLES, "target", "o_orderkey", "o_custkey"))
+
+
+QUERIES["sensitivity_all_records_arm"] = records_arm
+
+
+def pooled_draws(spark, sf):
+    """Five tables in which the scores of every tenth row are drawn."""
+    drawn = scored_orders(spark, sf, ["pa", "pb"]).withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(5))))
+    more = F.when(F.col("row_id") % 10 == 0, 0.3 * key_uniform(42, "filled", "draw", "row_id")).otherwise(0.0)
+    ladder = score_ladder(drawn.withColumn("p", F.col("p") + more), ["model", "draw"])
+    return rounded(pooled(auc_variances(ladder, ["model", "draw"]).withColumnRenamed("auroc", "estimate"), ["model"]))
+
+
+QUERIES["imputation_pooled"] = pooled_draws
+ORACLES["imputation_pooled"] = f"""with {orders_scored_cte(['pa', 'pb'])},
+  filled as (select model, draw, y, p + case when row_id % 10 = 0 then 0.3::double * {u(42, 'filled', 'draw', 'row_id')} else 0 end as p
+    from scored, unnest(range(1, 6)) as x(draw)), {ladder_cte(['model', 'draw'], 'filled')},
+  placed as (select model, draw, pos, neg, (neg_below + neg::double / 2) / neg_total as won, 1 - (pos_below + pos::double / 2) / pos_total as lost from ladder),
+  m as (select *, sum(pos * won) over w / sum(pos) over w as mw, sum(neg * lost) over w / sum(neg) over w as ml from placed window w as (partition by model, draw)),
+  each as (select model, draw, max(mw) as q, sum(pos * (won - mw) * (won - mw)) / (sum(pos) - 1) / sum(pos) + sum(neg * (lost - ml) * (lost - ml)) / (sum(neg) - 1) / sum(neg) as v
+    from m group by model, draw),
+  pool as (select model, count(*) as draws, avg(q) as estimate, avg(v) as within, var_samp(q) as between from each group by model),
+  t as (select *, within + (1 + 1.0::double / draws) * between as total, (1 + 1.0::double / draws) * between as extra from pool),
+  f as (select *, (draws - 1) / pow(extra / total, 2) as df, 1.959963984540054::double as z from t),
+  h as (select *, sqrt(total) * (z + (pow(z, 3) + z) / 4 / df + (5 * pow(z, 5) + 16 * pow(z, 3) + 3 * z) / 96 / pow(df, 2)
+    + (3 * pow(z, 7) + 19 * pow(z, 5) + 17 * pow(z, 3) - 15 * z) / 384 / pow(df, 3)) as half from f)
+  select model, draws, round(estimate, 6) as estimate, round(within, 6) as within, round(between, 6) as between, round(sqrt(total), 6) as se, round(df, 6) as df,
+    round(extra / total, 6) as missing_share, round(estimate - half, 6) as ci_low, round(estimate + half, 6) as ci_high from h"""
+
+
+def imputation_arm(spark, sf):
+    dev, hold = _arm_split(spark, sf)
+    return rounded(se.imputed_arm("parsimonious_lr", dev, hold, ROLES, "target", "o_orderkey", "o_orderstatus", ["o_totalprice", "o_custkey"]))
+
+
+QUERIES["sensitivity_imputation_arm"] = imputation_arm

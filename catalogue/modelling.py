@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import math
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from catalogue.sampling import split_orders
+from catalogue.sampling import SPLIT_CTE, split_orders
 from catalogue.shared import LINES_CTE, ladder_cte, metrics_sql, orders_scored_cte, rounded, scored_lines, scored_orders, table, u
 from catalogue.visits import order_visits
 from veritally.operators import models as mo
@@ -48,6 +49,49 @@ for _key in SMALL:
     QUERIES[f"model_{_key}"] = split_model(_key)
 
 
+# --- fits against their own optimality conditions ------------------------------------------
+
+
+def optimality(key: str, params: dict):
+    """What is left of the conditions that only the minimum of the penalised loss fulfils, for each design column and the intercept.
+
+    With C the loss is the sum of log losses plus 1 / C times (l1_ratio * |w| + (1 - l1_ratio) / 2 * w ** 2); without it the sum alone.
+    """
+
+    def run(spark, sf):
+        dev = stored(split_orders(spark, sf)).where("split = 'development'")
+        model = mo.fit_model(key, dev, ROLES, "target", params)
+        scored = model.classifier.transform(model.encoding.transform(dev))
+        x = vector_to_array("features")
+        residual = F.col("target") - vector_to_array("probability")[1]
+        weights = [float(w) for w in model.classifier.coefficients]
+        n = F.count(F.lit(1))
+        sums = scored.agg(*[F.sum(x[j] * residual).alias(f"g{j}") for j in range(len(weights))], F.sum(residual).alias("g"), n.alias("n"))
+        strength, l1 = (1 / params["C"], params["l1_ratio"]) if "C" in params else (0.0, 0.0)
+        rows = [F.struct(F.lit("intercept").alias("part"), (F.col("g") / F.col("n")).alias("left_over"))]
+        for j, w in enumerate(weights):
+            g = F.col(f"g{j}")
+            pull = F.lit(strength * (l1 * math.copysign(1, w) + (1 - l1) * w))
+            left = F.greatest(F.abs(g) - strength * l1, F.lit(0.0)) if w == 0 else g - pull
+            rows.append(F.struct(F.lit(f"column {j}").alias("part"), (left / F.col("n")).alias("left_over")))
+        found = sums.select("n", F.inline(F.array(*rows)))
+        return found.select("part", F.abs(F.round("left_over", 4)).alias("left_over"), F.col("n").cast("bigint").alias("n"))
+
+    return run
+
+
+def _optimality_sql(columns: int) -> str:
+    parts = " union all ".join([f"select 'column {j}' as part from n" for j in range(columns)])
+    return f"""with {SPLIT_CTE}, n as (select count(*) as n from split where split = 'development'), parts as (select 'intercept' as part union all {parts})
+  select part, 0.0::double as left_over, n from parts, n"""
+
+
+# two standardised columns and two levels of three
+for _name, _key, _params in (("parsimonious", "parsimonious_lr", {}), ("penalised", "penalised_lr", {"C": 1.0, "l1_ratio": 0.5}), ("sparse", "penalised_lr", {"C": 0.02, "l1_ratio": 0.9})):
+    QUERIES[f"model_optimality_{_name}"] = optimality(_key, _params)
+    ORACLES[f"model_optimality_{_name}"] = _optimality_sql(4)
+
+
 def hospital_study(spark, sf):
     """Encounters to hold-out metrics of two linear models."""
     matrix, roles = study.prepare(order_visits(spark, sf))
@@ -112,28 +156,24 @@ QUERIES["tuning_search"] = search
 
 
 def replay(spark, sf):
-    """The same search over event values, once in one go and once in three with a restart between: what is pruned must agree."""
-    e = table(spark, sf, "events").groupBy(F.col("user_id").alias("trial"), F.pmod("event_id", F.lit(5)).cast("int").alias("step"))
-    folds = e.agg(F.avg("value").alias("value")).groupBy("trial").agg(F.map_from_entries(F.collect_list(F.struct("step", "value"))).alias("folds"))
-    known = {r["trial"]: r["folds"] for r in folds.collect()}
-    numbers = sorted(known)
-    points = [(int(t), {"user": float(t), "kind": "replayed"}) for t in numbers]
-
-    def evaluate(trial, params, step):
-        return known[trial].get(step, 0.0), 0.5
-
-    whole, parts = (TrialStore(spark, scratch_path(spark, "trials")) for _ in range(2))
-    tu.run_search("replay", points, 5, evaluate, whole, save_each=False)
-    third = len(points) // 3
-    for part in (points[:third], points[third : third + 5], points[third + 5 :]):
-        tu.run_search("replay", part, 5, evaluate, parts, parallel=4, save_each=False)
-    columns = ("trial", "state", "folds", "fold_values", "params")
-    a, b = (s.read().select(F.col("trial"), F.struct(*columns[1:4], F.map_entries("params")).alias(n)) for s, n in ((whole, "a"), (parts, "b")))
-    return a.join(b, "trial", "full").select("trial", F.col("a").eqNullSafe(F.col("b")).alias("same"))
+    """Sixteen searches over event values, in one go and in three with restarts between: what is pruned must agree."""
+    user = F.col("user_id")
+    keys = ((user % 16).alias("study"), F.floor(user / 16).alias("trial"), F.pmod("event_id", F.lit(5)).cast("int").alias("step"))
+    reports = stored(table(spark, sf, "events").groupBy(*keys).agg(F.round(F.avg("value"), 6).alias("value")))
+    whole = tu.replayed(reports)
+    parts, known = None, None
+    for low, high in ((0, 3), (3, 5), (5, 1 << 31)):  # cut inside blocks
+        done = stored(tu.replayed(reports.where(F.col("trial").between(low, high - 1)), known))
+        parts = done if parts is None else parts.unionByName(done)
+        known = parts.where("state = 'COMPLETE'").select("study", "trial", "fold_values")
+    b = parts.select("study", "trial", F.struct("state", "folds", "fold_values").alias("b"))
+    both = whole.join(b, ["study", "trial"], "full")
+    same = F.struct("state", "folds", "fold_values").eqNullSafe(F.col("b"))
+    return both.select("study", "trial", F.when(F.col("trial") < 8, F.col("folds")).otherwise(0).alias("folds"), same.alias("same"))
 
 
 QUERIES["tuning_replay"] = replay
-ORACLES["tuning_replay"] = "select distinct user_id::int as trial, true as same from events"
+ORACLES["tuning_replay"] = """select distinct user_id % 16 as study, user_id // 16 as trial, case when user_id // 16 < 8 then 5 else 0 end as folds, true as same from events"""
 
 
 def fold_table(spark, sf):

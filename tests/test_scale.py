@@ -98,18 +98,47 @@ def test_replicates_equal_weighted_ladders(skewed, mode, monkeypatch):
     monkeypatch.setattr(bs, "MATRIX_CELLS", 700)
     names = ["auroc", "auprc", "brier", "log_loss", "brier_scaled", "mean_predicted_risk", "auprc_baseline"]
     fast = bs.replicate_metrics(df, ["model"], "row_id", names, 7, mode=mode, block_rows=150)
-    if mode == "exact":
-        w = bs.bootstrap_draws(df.select("row_id", "y").distinct(), "y", "row_id", 7)
-    else:
-        draws = bs._Weights("poisson", 7, 42)
-        pdf = bs._with_draws(df.select("row_id", "y"), "row_id", 7, 42, "poisson", True, "y").toPandas()
-        m = np.concatenate([x for _, x in draws.chunks(pdf)], axis=1)
-        at = [(int(pdf["row_id"][i]), r + 1, int(m[i, r])) for i in range(len(pdf)) for r in range(7) if m[i, r]]
-        w = df.sparkSession.createDataFrame(at, "row_id bigint, rep int, times bigint")
+    w = bs.bootstrap_draws(df.select("row_id", "y").distinct(), "y", "row_id", 7, mode=mode)
     slow = ladder_metrics(score_ladder(df.join(w, "row_id"), ["model", "rep"], weight=F.col("times")), ["model", "rep"], names)
     assert rows_of(fast) == rows_of(slow.select(fast.columns))
 
 
+@pytest.mark.parametrize("mode", ["exact", "poisson"])
+def test_own_metrics_equal_built_in_ones(skewed, mode, monkeypatch):
+    _, df = skewed
+    monkeypatch.setattr(bs, "MATRIX_CELLS", 700)
+    own = {
+        "area": bs.BlockMetric(
+            lambda t: t["won"] / (t["p"] * t["n"]),
+            terms={"p": lambda p, pos, neg: pos.sum(0), "n": lambda p, pos, neg: neg.sum(0)},
+            ranked={"won": lambda p, pos, neg, pos_above, neg_above: (neg * (pos_above + pos / 2)).sum(0)},
+        ),
+        "risk": bs.BlockMetric(lambda t: t["p"] / t["n"], terms={"p": lambda p, pos, neg: p @ (pos + neg), "n": lambda p, pos, neg: (pos + neg).sum(0)}),
+    }
+    found = bs.replicate_metrics(df, ["model"], "row_id", ["auroc", "mean_predicted_risk"], 7, mode=mode, block_rows=150, own=own)
+    rows = found.collect()
+    assert len(rows) == 14
+    assert all(r["area"] == pytest.approx(r["auroc"], abs=1e-12) and r["risk"] == pytest.approx(r["mean_predicted_risk"], abs=1e-12) for r in rows)
+    point = {(r["model"], r["metric"]): r["value"] for r in bs.own_points(df, ["model"], "row_id", own).collect()}
+    for r in ladder_metrics(score_ladder(df, ["model"]), ["model"], ["auroc", "mean_predicted_risk"]).collect():
+        assert (point[r["model"], "area"], point[r["model"], "risk"]) == pytest.approx((r["auroc"], r["mean_predicted_risk"]), abs=1e-12)
+
+
+def test_exact_draws_are_multinomial(spark):
+    """Class sizes hold in every replicate, and counts have the mean, variance and covariance of draws with replacement."""
+    rows = spark.range(300).select(F.col("id").alias("row_id"), (F.col("id") % 3 == 0).cast("int").alias("y"))
+    reps = 2000
+    pdf = bs.bootstrap_draws(rows, "y", "row_id", reps, seed=5).toPandas()
+    m = np.zeros((300, reps))
+    m[pdf["row_id"], pdf["rep"] - 1] = pdf["times"]
+    first = np.arange(300) % 3 == 0
+    assert (m[first].sum(0) == 100).all() and (m[~first].sum(0) == 200).all()
+    assert m[first].mean(1).std() < 3 * math.sqrt(0.99 / reps) and m[first].var(1).mean() == pytest.approx(1 - 1 / 100, abs=0.02)
+    c = np.cov(m[first])
+    assert c[~np.eye(100, dtype=bool)].mean() == pytest.approx(-1 / 100, abs=0.002)
+    assert (m[first] == 0).mean() == pytest.approx(0.99**100, abs=0.005)
+
+
 def test_half_crowded_scores_do_not_share_one_block(spark, monkeypatch):
     """Many scores just below the crowding limit must spread over many blocks."""
     rows = spark.range(4000).select(
@@ -125,7 +154,7 @@ def test_half_crowded_scores_do_not_share_one_block(spark, monkeypatch):
 def test_poisson_weights_have_mean_and_variance_one(spark):
     rows = spark.range(20000).select(F.col("id").alias("row_id"), F.lit(1).alias("y"))
     pdf = bs._with_draws(rows, "row_id", 50, 3, "poisson", True, "y").toPandas()
-    w = np.concatenate([m for _, m in bs._Weights("poisson", 50, 3).chunks(pdf)], axis=1)
+    w = np.concatenate([m for _, m in bs._Weights(50, 3).chunks(pdf)], axis=1)
     assert w.mean() == pytest.approx(1, abs=0.01) and w.var() == pytest.approx(1, abs=0.03)
     assert abs(np.corrcoef(w[:, 0], w[:, 1])[0, 1]) < 0.03
     assert w.sum(0).std() == pytest.approx(math.sqrt(20000), rel=0.35)

@@ -1,9 +1,12 @@
 """Bootstrap intervals.
 
-``exact`` draws n_y rows with replacement inside each outcome class and
-replicate. ``poisson`` gives every row an independent Poisson(1) weight per
-replicate; nothing is drawn across rows, so no replicate data is shuffled, which
-is the mode for very large tables. The two modes are never mixed.
+``poisson`` gives every row an independent Poisson(1) weight per replicate.
+``exact`` draws n_y rows with replacement inside each outcome class. Both start
+from the same Poisson weights, which any task can compute from a row's key:
+given their sum T they are T draws with replacement, so adding n_y - T draws, or
+taking T - n_y of the drawn ones back at random, gives exactly n_y draws. Only
+those changes, about sqrt(n_y) a class and replicate, are rows of their own;
+no table has a row for each row and replicate.
 
 Replicate metrics never build one sorted table per replicate. Rows are cut into
 score blocks once; a block holds its rows times all replicates as one matrix and
@@ -12,8 +15,10 @@ returns a few sums per replicate.
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -21,13 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veritally.functions.columns import EPS
-from veritally.functions.hashing import (
-    PRIME,
-    explode_replicates,
-    key_residues,
-    polynomial,
-    replicate_coefficients,
-)
+from veritally.functions.hashing import PRIME, key_hash, key_residues, polynomial, replicate_coefficients
 from veritally.operators.bounded import bounded, shuffle_partitions, stored
 from veritally.operators.discrimination import METRICS, ladder_metrics
 from veritally.operators.ladder import add_bucket, balanced_edges, score_cells, score_ladder
@@ -58,33 +57,143 @@ def _positions(rows: DataFrame, stratum: str, row_id: str, seed: int, stratified
     return stored(stratified_index(rows.select(row_id, group.alias("_s")), ["_s"], row_id, seed, "boot-index"))
 
 
-def _draws(positions: DataFrame, n_resamples: int, seed: int) -> DataFrame:
-    """_s, idx, rep: one row per draw. Position j of a stratum of n rows also makes draw number j of every replicate."""
-    h1, h2 = key_residues(seed, "boot", "_s", "idx")
-    high = replicate_coefficients(seed, "boot-high", n_resamples)
-    low = replicate_coefficients(seed, "boot-low", n_resamples)
-    both = [{**a, **{f"b{k[1]}": b[k] for k in b if k != "rep"}} for a, b in zip(high, low)]
-    x = polynomial(F.col("h1"), F.col("h2"), {a: F.col(f"c.{a}") for a in ("a0", "a1", "a2", "a3")})
-    y = polynomial(F.col("h1"), F.col("h2"), {f"a{i}": F.col(f"c.b{i}") for i in range(4)})
-    return (
-        positions.select("_s", "stratum_n", h1.alias("h1"), h2.alias("h2"))
-        .select("*", explode_replicates(both, "c"))
-        .select("_s", ((x * 2**31 + y) % F.col("stratum_n") + 1).alias("idx"), F.col("c.rep").cast("int").alias("rep"))
-    )
+class _Poisson:
+    """Poisson(1) counts of rows, from their residues."""
+
+    def __init__(self, n_resamples: int, seed: int):
+        self.n = n_resamples
+        self.c = self.table(n_resamples, seed, "poisson")
+        self.cuts = np.array(poisson_cuts())
+
+    @staticmethod
+    def table(n: int, seed: int, purpose: str) -> dict[str, np.ndarray]:
+        rows = replicate_coefficients(seed, purpose, n)
+        return {k: np.array([r[k] for r in rows], dtype="int64") for k in rows[0] if k != "rep"} if rows else {}
+
+    def counts(self, h1: np.ndarray, h2: np.ndarray, low: int, high: int) -> np.ndarray:
+        """Rows x replicates low + 1 to high."""
+        c = {k: v[None, low:high] for k, v in self.c.items()}
+        x = polynomial(h1[:, None], h2[:, None], c) / float(PRIME)
+        return np.searchsorted(self.cuts, x, side="right")
+
+
+COPY = 1_000_003  # residues of a row's second, third ... draw lie so far from those of the one before
+
+
+def _removed_key(h1: np.ndarray, h2: np.ndarray, copy: int, c: dict) -> np.ndarray:
+    """What orders the draws of a class and replicate when some are taken back."""
+    return polynomial((h1 + copy * COPY) % PRIME, h2, c)
+
+
+def _pandas(rows: DataFrame, schema: str, run: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]) -> DataFrame:
+    return rows.mapInPandas(run, schema)
+
+
+def _changes(positions: DataFrame, row_id: str, n_resamples: int, seed: int) -> DataFrame:
+    """row_id, rep: the signed replicates in which a row is drawn once more (+) or once less (-) than its Poisson count.
+
+    ``positions`` are row_id, _s, idx, stratum_n, h1, h2. There are few strata: outcome classes, or one.
+    """
+    draws = _Poisson(n_resamples, seed)
+    kind = dict(positions.dtypes)
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total: dict = {}
+        for rows in batches:
+            for stratum, part in rows.groupby("_s", dropna=False):
+                own = total.setdefault(stratum, np.zeros(n_resamples, "int64"))
+                step = max(1, MATRIX_CELLS // len(part))
+                for low in range(0, n_resamples, step):
+                    high = min(n_resamples, low + step)
+                    own[low:high] += draws.counts(part["h1"].to_numpy(), part["h2"].to_numpy(), low, high).sum(0)
+        for stratum, own in total.items():
+            yield pd.DataFrame({"_s": stratum, "rep": np.arange(1, n_resamples + 1, dtype="int32"), "drawn": own})
+
+    drawn = _pandas(positions.select("_s", "h1", "h2"), f"_s {kind['_s']}, rep int, drawn bigint", sums)
+    drawn = drawn.groupBy("_s", "rep").agg(F.sum("drawn").alias("drawn"))
+    sizes = positions.groupBy("_s").agg(F.max("stratum_n").alias("n"))
+    lacking = stored(drawn.join(sizes, "_s").select("_s", "rep", "drawn", "n", (F.col("n") - F.col("drawn")).alias("lack")))
+
+    number = F.explode(F.sequence(F.lit(1), F.col("lack").cast("int"))).alias("d")
+    more = lacking.where("lack > 0").select("_s", "rep", "n", number)
+    more = more.select("_s", (key_hash(seed, "boot-add", "_s", "rep", "d") % F.col("n") + 1).alias("idx"), "rep")
+    added = more.join(positions.select("_s", "idx", row_id), ["_s", "idx"]).select(row_id, "rep")
+
+    less = lacking.where("lack < 0").collect()  # at most one row a class and replicate
+    ball = _Poisson.table(n_resamples, seed, "boot-ball")
+    widen = 1.0
+    while less:
+        limits: dict = {}
+        for r in less:
+            k = -r["lack"]
+            reach = min(1.0, widen * (k + 8 * math.sqrt(k) + 20) / r["drawn"])
+            limits.setdefault(r["_s"], np.zeros(n_resamples, "int64"))[r["rep"] - 1] = math.ceil(reach * PRIME)
+
+        def near(batches: Iterator[pd.DataFrame], limits=limits) -> Iterator[pd.DataFrame]:
+            for rows in batches:
+                for stratum, part in rows.groupby("_s", dropna=False):
+                    if stratum not in limits:
+                        continue
+                    limit = limits[stratum]
+                    reps = np.flatnonzero(limit)
+                    h1, h2 = part["h1"].to_numpy(), part["h2"].to_numpy()
+                    step = max(1, MATRIX_CELLS // len(part))
+                    for low in range(0, n_resamples, step):
+                        own = reps[(reps >= low) & (reps < low + step)]
+                        if not len(own):
+                            continue
+                        counts = draws.counts(h1, h2, low, min(n_resamples, low + step))[:, own - low]
+                        for copy in range(1, int(counts.max(initial=0)) + 1):
+                            at, j = np.nonzero(counts >= copy)
+                            rep = own[j]
+                            key = _removed_key(h1[at], h2[at], copy, {k: v[rep] for k, v in ball.items()})
+                            hit = key < limit[rep]
+                            if hit.any():
+                                yield pd.DataFrame({"_s": stratum, row_id: part[row_id].to_numpy()[at[hit]], "rep": (rep[hit] + 1).astype("int32"), "key": key[hit], "copy": np.int32(copy)})
+
+        schema = f"_s {kind['_s']}, `{row_id}` {kind[row_id]}, rep int, key bigint, copy int"
+        found = stored(_pandas(positions.select("_s", row_id, "h1", "h2"), schema, near))
+        counts = found.groupBy("_s", "rep").agg(F.count(F.lit(1)).alias("found"))
+        short = lacking.where("lack < 0").join(counts, ["_s", "rep"], "left").where(F.coalesce("found", F.lit(0)) < -F.col("lack"))
+        if short.isEmpty():
+            # a class and replicate has about sqrt(n) of these
+            order = Window.partitionBy("_s", "rep").orderBy("key", row_id, "copy")
+            first = found.withColumn("_r", F.row_number().over(order)).join(lacking.where("lack < 0"), ["_s", "rep"]).where(F.col("_r") <= -F.col("lack"))
+            return added.unionByName(first.select(row_id, (-F.col("rep")).alias("rep")))
+        widen *= 4
+    return added
+
+
+def _positioned(rows: DataFrame, stratum: str, row_id: str, seed: int, stratified: bool) -> DataFrame:
+    h1, h2 = key_residues(seed, "poisson", row_id)
+    return stored(_positions(rows, stratum, row_id, seed, stratified).withColumns({"h1": h1, "h2": h2}))
+
+
+def _listed(positions: DataFrame, row_id: str, n_resamples: int, seed: int) -> DataFrame:
+    """row_id, fix: the changes of each row that has any, as a comma list."""
+    changes = _changes(positions, row_id, n_resamples, seed)
+    return stored(changes.groupBy(row_id).agg(F.array_join(F.collect_list("rep").cast("array<string>"), ",").alias("fix")))
 
 
 def bootstrap_draws(
-    rows: DataFrame, stratum: str, row_id: str, n_resamples: int, seed: int = 42, stratified: bool = True
+    rows: DataFrame, stratum: str, row_id: str, n_resamples: int, seed: int = 42, stratified: bool = True, mode: str = "exact"
 ) -> DataFrame:
-    """row_id, rep, times: how often each row is drawn in each replicate (drawn rows only)."""
-    positions = _positions(rows, stratum, row_id, seed, stratified)
-    counts = (
-        _draws(positions, n_resamples, seed)
-        .repartition("_s", "idx")
-        .groupBy("_s", "idx", "rep")
-        .agg(F.count(F.lit(1)).alias("times"))
-    )
-    return counts.join(positions.select("_s", "idx", row_id), ["_s", "idx"]).select(row_id, "rep", "times")
+    """row_id, rep, times: how often each row is drawn in each replicate (drawn rows only), made where the row lies."""
+    if mode == "poisson":
+        h1, h2 = key_residues(seed, "poisson", row_id)
+        drawn = rows.select(row_id, h1.alias("h1"), h2.alias("h2"), F.lit(None).cast("string").alias("fix"))
+    else:
+        positions = _positioned(rows, stratum, row_id, seed, stratified)
+        drawn = positions.select(row_id, "h1", "h2").join(_listed(positions, row_id, n_resamples, seed), row_id, "left")
+    weights = _Weights(n_resamples, seed)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in batches:
+            for reps, matrix in weights.chunks(part):
+                at, j = np.nonzero(matrix)
+                yield pd.DataFrame({row_id: part[row_id].to_numpy()[at], "rep": (reps[j] + 1).astype("int32"), "times": matrix[at, j].astype("int64")})
+
+    return _pandas(drawn, f"`{row_id}` {dict(rows.dtypes)[row_id]}, rep int, times bigint", run)
 
 
 def cluster_draws(rows: DataFrame, entity: str, n_resamples: int, seed: int = 42) -> DataFrame:
@@ -96,24 +205,20 @@ def cluster_draws(rows: DataFrame, entity: str, n_resamples: int, seed: int = 42
 def _with_draws(
     scored: DataFrame, row_id: str, n_resamples: int, seed: int, mode: str, stratified: bool, stratum: str
 ) -> DataFrame:
-    """Scored rows with what their weights follow from: ``h1, h2`` or the comma list ``reps`` of drawn replicates.
+    """Scored rows with what their weights follow from: ``h1, h2`` and ``fix``, the changes that make draws exact.
 
-    Text and bytes reach Python workers as they are; arrays would be rebuilt row by row.
     All models of a row share its draws, so differences between models are paired.
     """
-    if mode == "poisson":
+    if mode in ("poisson", "whole"):
         h1, h2 = key_residues(seed, "poisson", row_id)
-        return scored.withColumns({"h1": h1, "h2": h2})
+        return scored.withColumns({"h1": h1, "h2": h2, "fix": F.lit(None).cast("string")})
     if mode != "exact":
         raise ValueError(f"unknown bootstrap mode {mode!r}")
-    rows = stored(scored.select(row_id, stratum).distinct())
-    positions = _positions(rows, stratum, row_id, seed, stratified)
-    # A position is drawn about n_resamples times in all, so the list is short.
-    draws = _draws(positions, n_resamples, seed).repartition("_s", "idx")
-    listed = F.array_join(F.collect_list("rep").cast("array<string>"), ",")
-    lists = draws.groupBy("_s", "idx").agg(listed.alias("reps"))
-    drawn = positions.join(lists, ["_s", "idx"]).select(row_id, "reps")
-    return scored.join(drawn, row_id)
+    drawn = [row_id, stratum] if stratified else [row_id]
+    rows = stored(scored.select(*drawn).distinct().withColumn("_s", F.col(stratum) if stratified else F.lit(0)))
+    positions = _positioned(rows, "_s", row_id, seed, True)
+    h1, h2 = key_residues(seed, "poisson", row_id)
+    return scored.withColumns({"h1": h1, "h2": h2}).join(_listed(positions, row_id, n_resamples, seed), row_id, "left")
 
 
 # --- replicate sums over score blocks ------------------------------------------------
@@ -122,39 +227,50 @@ def _with_draws(
 class _Weights:
     """Weight matrices (rows x some replicates) from the draw columns of rows."""
 
-    def __init__(self, mode: str, n_resamples: int, seed: int):
-        self.mode, self.n = mode, n_resamples
-        if mode == "poisson":
-            table = replicate_coefficients(seed, "poisson", n_resamples)
-            self.c = {k: np.array([r[k] for r in table], dtype="int64") for k in table[0] if k != "rep"}
-            self.cuts = np.array(poisson_cuts())
+    def __init__(self, n_resamples: int, seed: int):
+        self.n, self.draws = n_resamples, _Poisson(n_resamples, seed)
 
     def chunks(self, rows: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(replicate numbers, matrix) pairs that stay below the cell limit."""
         step = max(1, MATRIX_CELLS // max(1, len(rows)))
-        if self.mode == "poisson":
-            h1, h2 = (rows[c].fillna(0).to_numpy("int64")[:, None] for c in ("h1", "h2"))
-        else:
-            drawn = rows["reps"].notna().to_numpy()
-            lists = rows["reps"][drawn]
-            sizes = lists.str.count(",").to_numpy("int64") + 1
-            reps = np.fromstring(",".join(lists), dtype="int64", sep=",") - 1
-            at = np.repeat(np.flatnonzero(drawn), sizes)
-            order = np.argsort(reps, kind="stable")
-            reps, at = reps[order], at[order]
+        h1, h2 = (rows[c].fillna(0).to_numpy("int64") for c in ("h1", "h2"))
+        changed = np.flatnonzero(rows["fix"].notna().to_numpy())
+        lists = rows["fix"].iloc[changed]
+        at = np.repeat(changed, lists.str.count(",").to_numpy("int64") + 1) if len(changed) else changed
+        reps = np.array(",".join(lists).split(","), dtype="int64") if len(changed) else np.zeros(0, "int64")
+        place = np.abs(reps) - 1
         for low in range(0, self.n, step):
             high = min(self.n, low + step)
-            if self.mode == "poisson":
-                c = {k: v[None, low:high] for k, v in self.c.items()}
-                x = polynomial(h1, h2, c) / float(PRIME)
-                matrix = np.searchsorted(self.cuts, x, side="right").astype("float64")
-            else:
-                a, b = np.searchsorted(reps, [low, high])
-                flat = np.bincount(at[a:b] * (high - low) + reps[a:b] - low, minlength=len(rows) * (high - low))
-                matrix = flat.reshape(len(rows), high - low).astype("float64")
+            matrix = self.draws.counts(h1, h2, low, high).astype("float64")
+            own = np.flatnonzero((place >= low) & (place < high))
+            np.add.at(matrix, (at[own], place[own] - low), np.sign(reps[own]).astype("float64"))
             yield np.arange(low, high), matrix
 
 
+class _Whole:
+    """One replicate: the rows themselves."""
+
+    n = 1
+
+    def chunks(self, rows: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        yield np.zeros(1, dtype="int64"), np.ones((len(rows), 1))
+
+
+@dataclass(frozen=True)
+class BlockMetric:
+    """A metric of one's own, as sums over score cells for all replicates at once, in any mode.
+
+    A function of ``terms`` takes (p, pos, neg): the distinct scores of a block, and the weights of positives and
+    negatives at each (row) in each replicate (column). It returns one partial sum per replicate. Functions of
+    ``ranked`` take (p, pos, neg, pos_above, neg_above), the last two being the weights at higher scores, in all blocks.
+    ``value`` makes the metric of the summed terms, as columns by name.
+    """
+
+    value: Callable[[dict[str, Column]], Column]
+    terms: dict[str, Callable[..., np.ndarray]] = field(default_factory=dict)
+    ranked: dict[str, Callable[..., np.ndarray]] = field(default_factory=dict)
+
+
 def _block_cells(block: pd.DataFrame, weights: _Weights) -> Iterator[tuple]:
     """(replicates, distinct scores, positive and negative weights per score and replicate)."""
     block = block.sort_values("p", kind="stable")
@@ -185,18 +301,27 @@ def replicate_metrics(
     stratified: bool = True,
     stratum: str = "y",
     block_rows: int = BLOCK_ROWS,
+    own: dict[str, BlockMetric] | None = None,
+    unit: str | None = None,
 ) -> DataFrame:
-    """keys, rep and one column per metric.
+    """keys, rep and one column per metric, built-in ones by name and ``own`` ones.
+
+    With ``unit`` whole units are drawn: all rows of an entity share its weights, in whatever block they lie.
 
     Scores that many rows share are folded in salted parts first, so a block
     stays small whatever the distribution of scores.
     """
-    weights = _Weights(mode, n_resamples, seed)
+    own = own or {}
+    weights = _Whole() if mode == "whole" else _Weights(n_resamples, seed)
     kinds = _ddl(scored, keys)
-    draw = ["h1", "h2"] if mode == "poisson" else ["reps"]
+    draw = ["h1", "h2", "fix"]
+    terms = {f"_t{i}_{j}": f for i, m in enumerate(own.values()) for j, f in enumerate(m.terms.values())}
+    ranked = {f"_r{i}_{j}": f for i, m in enumerate(own.values()) for j, f in enumerate(m.ranked.values())}
+    if "auprc" in metrics:
+        ranked["_gain"] = lambda p, pos, neg, pa, na: _precision_gain(pos, neg, pa, na)
     rows = _with_draws(
         scored.withColumns({"p": F.col("p").cast("double"), "y": F.col("y").cast("int")}),
-        row_id, n_resamples, seed, mode, stratified, stratum,
+        unit or row_id, n_resamples, seed, mode, stratified and not unit, stratum,
     ).select(*keys, row_id, "p", "y", *draw)
 
     cells = stored(score_cells(scored, keys).select(*keys, "p", (F.col("pos") + F.col("neg")).alias("_rows")))
@@ -229,7 +354,7 @@ def replicate_metrics(
     blocks = add_bucket(cold, "p", edges, "block")
     # An explicit count keeps the parts apart: blocks are few bytes but much work.
     blocks = blocks.repartition(shuffle_partitions(scored), *keys, "block")
-    if "auprc" in metrics:
+    if ranked:
         blocks = stored(blocks)
 
     def sums(block: pd.DataFrame) -> pd.DataFrame:
@@ -247,19 +372,20 @@ def replicate_metrics(
                         "loss": -(np.log(q) @ pos + np.log(1 - q) @ neg),
                         "square": ((1 - p) ** 2) @ pos + (p**2) @ neg,
                         "total": p @ (pos + neg),
+                        **{c: f(p, pos, neg) for c, f in terms.items()},
                     }
                 )
             )
         return block[[*keys, "block"]].iloc[:1].merge(pd.concat(parts), how="cross")
 
-    names = ("pos", "neg", "won", "loss", "square", "total")
+    names = ("pos", "neg", "won", "loss", "square", "total", *terms)
     schema = f"{kinds}, block double, rep int, " + ", ".join(f"{c} double" for c in names)
     per_block = blocks.groupBy(*keys, "block").applyInPandas(sums, schema)
     group = [*keys, "rep"]
     after = Window.partitionBy(*group).orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)
     before = Window.partitionBy(*group).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     placed = per_block.withColumn("_neg_below", F.coalesce(F.sum("neg").over(before), F.lit(0.0)))
-    if "auprc" in metrics:
+    if ranked:
         placed = stored(
             placed.withColumns(
                 {
@@ -279,33 +405,48 @@ def replicate_metrics(
         "mean_predicted_risk": F.sum("total") / size,
     }
     table = placed.groupBy(*group).agg(
-        *[formulas[m].alias(m) for m in metrics if m != "auprc"], F.sum("pos").alias("_pos_total")
+        *[formulas[m].alias(m) for m in metrics if m != "auprc"],
+        F.sum("pos").alias("_pos_total"),
+        *[F.sum(c).alias(c) for c in terms],
     )
-    if "auprc" in metrics:
+    if ranked:
         ahead = placed.groupBy(*keys, "block").agg(
             F.array_sort(F.collect_list(F.struct("rep", "_tp", "_fp"))).alias("ahead")
         ).select(*keys, "block", F.col("ahead._tp").alias("tp"), F.col("ahead._fp").alias("fp"))
 
-        def precision(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        def second(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
             if left.empty or right.empty:
-                return pd.DataFrame({**{k: [] for k in keys}, "rep": [], "gain": []})
+                return pd.DataFrame({c: [] for c in [*keys, "rep", *ranked]})
             above_tp, above_fp = (np.asarray(right[c].iloc[0]) for c in ("tp", "fp"))
             parts = []
-            for reps, _, pos, neg in _block_cells(left, weights):
-                tp = np.cumsum(pos[::-1], axis=0)[::-1] + above_tp[reps]
-                fp = np.cumsum(neg[::-1], axis=0)[::-1] + above_fp[reps]
-                gain = np.divide(pos * tp, tp + fp, out=np.zeros_like(tp), where=tp + fp > 0).sum(0)
-                parts.append(pd.DataFrame({"rep": (reps + 1).astype("int32"), "gain": gain}))
+            for reps, p, pos, neg in _block_cells(left, weights):
+                higher = [np.cumsum(x[::-1], axis=0)[::-1] - x + above[reps] for x, above in ((pos, above_tp), (neg, above_fp))]
+                parts.append(pd.DataFrame({"rep": (reps + 1).astype("int32"), **{c: f(p, pos, neg, *higher) for c, f in ranked.items()}}))
             return left[keys].iloc[:1].merge(pd.concat(parts), how="cross")
 
-        gains = (
+        more = (
             blocks.groupBy(*keys, "block")
             .cogroup(ahead.groupBy(*keys, "block"))
-            .applyInPandas(precision, f"{kinds}, rep int, gain double")
+            .applyInPandas(second, f"{kinds}, rep int, " + ", ".join(f"{c} double" for c in ranked))
         )
-        gains = gains.groupBy(*group).agg(F.sum("gain").alias("_gain"))
-        table = table.join(gains, group).withColumn("auprc", F.try_divide(F.col("_gain"), F.col("_pos_total")))
-    return table.select(*group, *metrics)
+        table = table.join(more.groupBy(*group).agg(*[F.sum(c).alias(c) for c in ranked]), group)
+    if "auprc" in metrics:
+        table = table.withColumn("auprc", F.try_divide(F.col("_gain"), F.col("_pos_total")))
+    for i, (name, m) in enumerate(own.items()):
+        named = {t: F.col(f"_t{i}_{j}") for j, t in enumerate(m.terms)} | {t: F.col(f"_r{i}_{j}") for j, t in enumerate(m.ranked)}
+        table = table.withColumn(name, m.value(named))
+    return table.select(*group, *metrics, *own)
+
+
+def _precision_gain(pos: np.ndarray, neg: np.ndarray, pos_above: np.ndarray, neg_above: np.ndarray) -> np.ndarray:
+    tp, fp = pos_above + pos, neg_above + neg
+    return np.divide(pos * tp, tp + fp, out=np.zeros_like(tp), where=tp + fp > 0).sum(0)
+
+
+def own_points(scored: DataFrame, keys: list[str], row_id: str, metrics: dict[str, BlockMetric]) -> DataFrame:
+    """keys, metric, value of one's own metrics on the table itself: one replicate in which every row counts once."""
+    table = replicate_metrics(scored, keys, row_id, [], 1, mode="whole", own=metrics)
+    return long_metrics(table, keys, list(metrics))
 
 
 # --- intervals -------------------------------------------------------------------------
@@ -339,34 +480,44 @@ def bootstrap_ci(
     scored: DataFrame,
     keys: list[str],
     row_id: str = "row_id",
-    metrics: list[str] | dict[str, Callable[[], Column]] | None = None,
+    metrics: list[str] | dict[str, Callable[[], Column] | BlockMetric] | None = None,
     n_resamples: int = 2000,
     alpha: float = 0.05,
     seed: int = 42,
     mode: str = "exact",
     stratified: bool = True,
+    unit: str | None = None,
 ) -> DataFrame:
     """keys, metric, estimate, ci_low, ci_high, se, n_resamples.
 
-    ``metrics`` names built-in metrics, or maps names to functions that return an
-    aggregate over ladder rows (see ``discrimination``). The latter need one ladder
-    per replicate and support exact draws only.
+    ``unit`` names the column of the entity to draw where rows of an entity belong together; classes aren't kept then.
+
+    ``metrics`` names built-in metrics, or maps names to ``BlockMetric`` or to functions that return an aggregate over
+    ladder rows (see ``discrimination``). All work in both modes; functions build a ladder per replicate, which
+    shuffles every drawn row, so large tables want a ``BlockMetric``.
     """
     metrics = metrics or ["auroc", "auprc", "brier"]
     if isinstance(metrics, dict):
-        if mode != "exact":
-            raise ValueError(f"metrics given as functions are drawn in exact mode only, not {mode!r}")
-        point = _custom_metrics(score_ladder(scored, keys), keys, metrics)
-        draws = bootstrap_draws(scored.select(row_id, "y").distinct(), "y", row_id, n_resamples, seed, stratified)
-        ladder = score_ladder(scored.join(draws, row_id), [*keys, "rep"], weight=F.col("times"))
-        reps = _custom_metrics(ladder, [*keys, "rep"], metrics)
+        own = {k: m for k, m in metrics.items() if isinstance(m, BlockMetric)}
+        free = {k: m for k, m in metrics.items() if k not in own}
+        found = []
+        if own:
+            reps = replicate_metrics(scored, keys, row_id, [], n_resamples, seed, mode, stratified, own=own, unit=unit)
+            found.append((own_points(scored, keys, row_id, own), long_metrics(reps, keys, list(own))))
+        if free:
+            drawn = unit or row_id
+            units = scored.select(drawn).distinct() if unit else scored.select(row_id, "y").distinct()
+            draws = bootstrap_draws(units, drawn if unit else "y", drawn, n_resamples, seed, stratified and not unit, mode)
+            ladder = score_ladder(scored.join(draws, drawn), [*keys, "rep"], weight=F.col("times"))
+            found.append((_custom_metrics(score_ladder(scored, keys), keys, free), _custom_metrics(ladder, [*keys, "rep"], free)))
+        point, reps = (functools.reduce(DataFrame.unionByName, x) for x in zip(*[(p, r.select(*keys, "metric", "value")) for p, r in found]))
         bounds = interval(reps, [*keys, "metric"], alpha)
         return point.withColumnRenamed("value", "estimate").join(bounded(bounds), [*keys, "metric"], "left")
     unknown = [m for m in metrics if m not in METRICS]
     if unknown:
         raise KeyError(f"unknown metrics: {unknown}")
     point = long_metrics(ladder_metrics(score_ladder(scored, keys), keys, metrics), keys, metrics)
-    reps = replicate_metrics(scored, keys, row_id, metrics, n_resamples, seed, mode, stratified)
+    reps = replicate_metrics(scored, keys, row_id, metrics, n_resamples, seed, mode, stratified, unit=unit)
     bounds = interval(long_metrics(reps, keys, metrics), [*keys, "metric"], alpha)
     return point.withColumnRenamed("value", "estimate").join(bounded(bounds), [*keys, "metric"], "left")
 

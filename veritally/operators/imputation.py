@@ -19,13 +19,15 @@ def impute_level(
     draws: int = 5,
     seed: int = 42,
     unknown: str = "Unknown",
+    fit_on: DataFrame | None = None,
 ) -> DataFrame:
     """One copy of the rows per draw (column ``draw``), unknown levels drawn from a multinomial model.
 
     The level is the first whose cumulative predicted probability exceeds the
-    row's uniform draw, so imputations do not depend on partitioning.
+    row's uniform draw, so imputations do not depend on partitioning. ``fit_on`` are the rows to
+    learn from, all rows if it is left out.
     """
-    known = df.where(~F.col(column).eqNullSafe(unknown) & F.col(column).isNotNull())
+    known = (df if fit_on is None else fit_on).where(~F.col(column).eqNullSafe(unknown) & F.col(column).isNotNull())
     indexer = StringIndexer(inputCol=column, outputCol="_level", stringOrderType="alphabetAsc").fit(known)
     assemble = VectorAssembler(inputCols=predictors, outputCol="_x")
     scaler = StandardScaler(withMean=True, inputCol="_x", outputCol="features").fit(assemble.transform(known))

@@ -48,6 +48,20 @@ def placements(scored: DataFrame, row_id: str = "row_id") -> DataFrame:
     return joined.select(row_id, "y", "model", F.when(F.col("y") == 1, F.col("_won")).otherwise(F.col("_lost")).alias("v"))
 
 
+def auc_variances(ladder: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, auroc, variance: the placement variance of each group's AUROC, in one aggregation over its ladder."""
+    won = (F.col("neg_below") + F.col("neg") / 2) / F.col("neg_total")
+    lost = 1 - (F.col("pos_below") + F.col("pos") / 2) / F.col("pos_total")
+    sums = ladder.groupBy(*keys).agg(
+        F.sum("pos").alias("_p"), F.sum("neg").alias("_q"),
+        F.sum(F.col("pos") * won).alias("_w"), F.sum(F.col("pos") * won * won).alias("_ww"),
+        F.sum(F.col("neg") * lost).alias("_l"), F.sum(F.col("neg") * lost * lost).alias("_ll"),
+    )
+    spread = lambda n, x, xx: F.try_divide(F.col(xx) - F.col(x) * F.col(x) / F.col(n), F.col(n) - 1)
+    variance = spread("_p", "_w", "_ww") / F.col("_p") + spread("_q", "_l", "_ll") / F.col("_q")
+    return sums.select(*keys, (F.col("_w") / F.col("_p")).alias("auroc"), variance.alias("variance"))
+
+
 def delong_moments(scored: DataFrame, models: list[str], row_id: str = "row_id") -> DataFrame:
     """y, model_a, model_b, n, mean_a, mean_b, var_a, var_b, cov over the placements."""
     place = placements(scored.where(F.col("model").isin(models)), row_id)
