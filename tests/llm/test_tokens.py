@@ -53,6 +53,18 @@ def test_known_words_come_back(monkeypatch):
         first = first or ids
     own.learn({b"alpha", b"beta"})
     assert own.encode([b"alpha", b"beta"]) == first
+    texts = [b"alpha beta", b"gamma, delta beta's 42", "Größe alpha beta".encode(), b"alpha beta"]
+    for _ in range(3):
+        assert [own.encoded([t])[0] for t in texts] == own.encoded(texts) and own.encoded(texts)[0][0] == first
+
+
+ODD = ["it's 'S don't we'LL", "a\x1cb\x85c\xa0d \x00\x7f\x01e", "\u0132\u0149 ĿÀ e\u0301 E\u0301x İstanbul ŉ", "½²³ª º №5 ١٢", "<|endoftext|>tail", "ﬁne ſo Straße ΑΒΓ", "  ", "a<|b", "x" * 5000 + "é" * 300, "œuvre Ǆ ǆ ɐ"]
+
+
+def test_odd_texts_like_the_library(spark, library):
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(ODD)], "doc_id long, text string")
+    rows = bpe.encode(docs, vocabulary(), decode=True).collect()
+    assert sorted(((r.doc_id, bytes(r.ids), r.decoded) for r in rows), key=repr) == expected(library, enumerate(ODD))
 
 
 @pytest.mark.parametrize("which", ["edge", "small"])

@@ -3,13 +3,15 @@
 The vocabulary file (tokenizers JSON, byte-level BPE with a word-end suffix) is
 read once on the driver and broadcast: its size doesn't depend on the data.
 
-A text is cut at ASCII white space, where no token can reach across. Inside a
-word, two neighbouring bytes that occur next to each other in no vocabulary
-token can't be merged by any order of merges, so the word is cut there for
-certain: the fragments are encoded on their own and their ids concatenated. A
-byte that ends a word counts as another symbol than the same byte inside, since
-the word-end suffix belongs to it. Words repeat, so each worker keeps a bounded
-table of words it has encoded.
+A text is cut into the pieces of the vocabulary's word pattern, which no token
+can reach across. Inside a piece, two neighbouring bytes that occur next to each
+other in no vocabulary token can't be merged by any order of merges, so the
+piece is cut there for certain: the fragments are encoded on their own and their
+ids concatenated. A byte that ends a piece counts as another symbol than the
+same byte inside, since the word-end suffix belongs to it. Pieces repeat, so
+each worker keeps a bounded table of pieces it has encoded. Texts of Latin
+letters are cut at once; others (and texts that hold special strings) are first
+cut at ASCII white space, and each word by the library's splitter.
 
 Defined results: a null or empty text has no ids and decodes to the empty
 string. Rows are encoded alone, so repeated rows give the same ids and an empty
@@ -40,6 +42,8 @@ SUFFIX = "</w>"
 END = 0x0400  # added to a symbol's code point when it ends a word; byte symbols lie below
 CACHED_BYTES = 150_000_000  # of one generation of known words; there are two at most
 WORD_COST = 400  # bytes that a known word, its pieces and fragments take in tables besides their own
+PIECE_COST = 220
+MOST_FRAGMENTS = 300_000
 PRINTABLE = re.compile(rb"[!-~]+").fullmatch
 # Fixed value: the word pattern of the vocabulary file, for lower-case ASCII. The byte alphabet shows printable ASCII as itself.
 ASCII_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+").findall
@@ -59,6 +63,18 @@ HIDDEN = byte_alphabet()
 NONE = partial(is_, None)
 
 
+def latin(kind: str) -> str:
+    """Characters with marks below ``LATIN`` whose class begins with ``kind``, for a pattern's set."""
+    return "".join(chr(c) for c in range(0x80, LATIN) if unicodedata.category(chr(c)).startswith(kind))
+
+
+# The pattern over whole texts, of ASCII and of Latin letters, normalised and lower-cased.
+SHORT = r"'s|'t|'re|'ve|'m|'ll|'d"
+ASCII_TEXT = re.compile(SHORT + r"|[a-z]+|[0-9]|[^\x09-\x0d\x20a-z0-9]+").findall
+LATIN_TEXT = re.compile(rf"{SHORT}|[a-zA-Z{latin('L')}]+|[0-9{latin('N')}]|[^\x09-\x0d\x20\x85\xa0a-zA-Z0-9{latin('L')}{latin('N')}]+").findall
+BEYOND = re.compile("[^\\x00-\\u024f]").search
+
+
 class Encoder:
     """Encodes words; built once per Python worker from the vocabulary file's text. Decoded words are kept on request."""
 
@@ -84,7 +100,9 @@ class Encoder:
         for token, i in (model["vocab"] | self.special).items():
             self.strings[i] = token.encode()
         self.fragment_ids: dict[str, bytes] = {"\n": b""}
-        self.size = 0
+        self.known: dict = {}
+        self.old_known: dict = {}
+        self.size = self.piece_size = 0
         self.piece_ids: dict[str, bytes] = {}
         self.piece_text: dict[str, bytes] = {}
         self.ids: dict[bytes, bytes] = {}
@@ -183,22 +201,61 @@ class Encoder:
         """Ids of a text cut at white space, as little-endian 32-bit integers; its words were learned."""
         return b"".join(map(self.ids.__getitem__, words))
 
-    def encoded(self, texts: list[list[bytes]]) -> list[bytes]:
-        """Ids of texts; words that aren't known are learned."""
-        get = self.ids.get
-        found = [list(map(get, words)) for words in texts]
-        missing: set[bytes] = set()
-        for words, own in zip(texts, found):
-            if None in own:
-                missing.update(compress(words, map(NONE, own)))
+    def pieces_of(self, text: str) -> list[str] | None:
+        """Pieces of a whole text, or None if it must be cut word by word."""
+        if any(t in text for t in self.special):
+            return None
+        if text.isascii():
+            return ASCII_TEXT(text.lower())
+        text = unicodedata.normalize("NFC", text).lower()
+        return None if BEYOND(text) else LATIN_TEXT(text)
+
+    def know(self, pieces: set[str]) -> None:
+        """Adds pieces to the table of pieces as they stand in texts; a full table becomes the older one."""
+        if self.piece_size > CACHED_BYTES:
+            self.old_known, self.known, self.piece_size = self.known, {}, 0
+        for p in pieces.intersection(self.old_known):
+            self.known[p] = self.old_known[p]
+        new = list(pieces.difference(self.known))
+        shown = [p if p.isascii() and p.isprintable() else p.encode().decode("latin-1").translate(HIDDEN) for p in new]
+        self.piece_size += (PIECE_COST * len(new) + 3 * sum(map(len, new))) << self.decoding
+        self.piece_ids, self.piece_text, self.fragment_ids = {}, {}, self.fragment_ids if len(self.fragment_ids) < MOST_FRAGMENTS else {"\n": b""}
+        self.learn_pieces(set(shown))
+        get = self.piece_ids.__getitem__
+        if self.decoding:
+            text = self.piece_text.__getitem__
+            self.known.update(zip(new, zip(map(get, shown), map(text, shown))))
+        else:
+            self.known.update(zip(new, map(get, shown)))
+
+    def encoded(self, texts: list[bytes]) -> list:
+        """Ids of texts, with ``decoding`` pairs of ids and decoded text; pieces that aren't known are learned."""
+        cut = [self.pieces_of(t.decode()) for t in texts]
+        get = self.known.get
+        found = [None if pieces is None else list(map(get, pieces)) for pieces in cut]
+        missing: set[str] = set()
+        for pieces, own in zip(cut, found):
+            if own is not None and None in own:
+                missing.update(compress(pieces, map(NONE, own)))
         if missing:
-            self.learn(missing)  # may start new tables; what was found before stays right
-            get = self.ids.__getitem__
-            for words, own in zip(texts, found):
-                if None in own:
+            self.know(missing)  # may start a new table; what was found before stays right
+            get = self.known.__getitem__
+            for pieces, own in zip(cut, found):
+                if own is not None and None in own:
                     for k in [k for k, x in enumerate(own) if x is None]:
-                        own[k] = get(words[k])
-        return [b"".join(own) for own in found]
+                        own[k] = get(pieces[k])
+        return [self.by_words(t) if own is None else self.joined(own) for t, own in zip(texts, found)]
+
+    def joined(self, own: list):
+        if not self.decoding:
+            return b"".join(own)
+        return b"".join([x for x, _ in own]), b" ".join([y for _, y in own])
+
+    def by_words(self, text: bytes):
+        words = text.split()
+        self.learn(set(words))
+        ids = self.encode(words)
+        return (ids, self.text(words)) if self.decoding else ids
 
     def text(self, words: list[bytes]) -> bytes:
         return b" ".join(filter(None, map(self.decoded.__getitem__, words)))
@@ -224,6 +281,15 @@ def shared_vocabulary(df: DataFrame, path: str):
         return df.sparkSession.sparkContext.broadcast(f.read())
 
 
+def whole_texts(column: pa.Array) -> Iterator[tuple[int, int, list[bytes]]]:
+    """Runs [a, b) of rows and their texts."""
+    data, offsets = utf8(column)
+    for a, b in pieces(offsets):
+        raw = data[offsets[a] : offsets[b]].tobytes()
+        at = (offsets[a : b + 1] - offsets[a]).tolist()
+        yield a, b, [raw[x:y] for x, y in zip(at, at[1:])]
+
+
 def texts_as_words(column: pa.Array) -> Iterator[tuple[int, int, list[list[bytes]]]]:
     """Runs [a, b) of rows and their texts cut at ASCII white space."""
     data, offsets = utf8(column)
@@ -243,13 +309,12 @@ def encode(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(spec.value, decode)
         for batch in batches:
-            for a, b, texts in texts_as_words(batch.column(1)):
+            for a, b, texts in whole_texts(batch.column(1)):
                 with without_cycles():
-                    if decode:
-                        own.learn(set().union(*texts))
-                    columns = [batch.column(0).slice(a, b - a), pa.array(own.encoded(texts), pa.binary())]
-                    if decode:
-                        columns.append(pa.array([own.text(t) for t in texts], pa.binary()).cast(pa.string()))
+                    found = own.encoded(texts)
+                columns = [batch.column(0).slice(a, b - a), pa.array([x for x, _ in found] if decode else found, pa.binary())]
+                if decode:
+                    columns.append(pa.array([y for _, y in found], pa.binary()).cast(pa.string()))
                 yield pa.RecordBatch.from_arrays(columns, names)
 
     names = ["doc_id", "ids"] + ["decoded"] * decode

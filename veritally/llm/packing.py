@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veritally.llm.bpe import encoder, shared_vocabulary, texts_as_words
+from veritally.llm.bpe import encoder, shared_vocabulary, whole_texts
 from veritally.llm.common import written
 from veritally.llm.words import without_cycles
 
@@ -110,7 +110,7 @@ def cut(docs: DataFrame, vocabulary: str, doc_id: str, text: str, s: Settings) -
         own = encoder(spec.value, False)
         number = TaskContext.get().partitionId() << 36
         for batch in batches:
-            for a, b, texts in texts_as_words(batch.column(1)):
+            for a, b, texts in whole_texts(batch.column(1)):
                 with without_cycles():
                     encoded = own.encoded(texts)
                 rows: list[tuple] = []
