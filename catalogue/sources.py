@@ -104,6 +104,14 @@ def digests(spark, sf):
 QUERIES["io_file_digests"] = digests
 
 
+def pieces(spark, sf):
+    files = io.piece_digests(spark, sf, 1 << 20)
+    return files.select(F.element_at(F.split("path", "/"), -1).alias("file"), "bytes", "pieces", "sha256")
+
+
+QUERIES["io_file_piece_digests"] = pieces
+
+
 def model_store(spark, sf):
     orders = table(spark, sf, "orders").select(
         "o_orderkey", "o_totalprice", "o_orderstatus", (F.col("o_orderpriority") == "1-URGENT").cast("int").alias("target")

@@ -17,6 +17,8 @@ from veritally.operators.bounded import bounded, scratch_path
 from veritally.operators.calibration import calibration_fits, integrated_calibration_index
 from veritally.operators.discrimination import ladder_metrics
 from veritally.operators import smoothing as sm
+from veritally.operators import tuning as tu
+from veritally.operators.pooling import pooled, t_quantile
 from veritally.operators.ladder import score_ladder
 from veritally.operators.models import fit_model, make_estimator
 from veritally.operators.neighbours import nearest_neighbours
@@ -24,7 +26,7 @@ from veritally.operators.quantiles import exact_quantiles
 from veritally.operators.row_index import stratified_index
 from veritally.operators.running import running
 from veritally.operators.split import ColumnRoles
-from veritally.sources.tables import file_digests
+from veritally.sources.tables import file_digests, piece_digests
 
 
 @pytest.fixture(scope="module")
@@ -398,6 +400,57 @@ def test_file_digests(spark, tmp_path):
     assert found == {n: (len(d), hashlib.sha256(d).hexdigest()) for n, d in content.items()}
 
 
+def test_piece_digests(spark, tmp_path):
+    import hashlib
+
+    content = {"a.bin": b"x", "b.bin": bytes(range(256)) * 9, "c.bin": b"y" * 2000}
+    for name, data in content.items():
+        (tmp_path / name).write_bytes(data)
+    found = {r["path"].rsplit("/", 1)[1]: (r["bytes"], r["pieces"], r["sha256"]) for r in piece_digests(spark, str(tmp_path), 1000).collect()}
+    for name, data in content.items():
+        parts = [data[k : k + 1000] for k in range(0, len(data), 1000)]
+        joined = "".join(hashlib.sha256(x).hexdigest() for x in parts)
+        assert found[name] == (len(data), len(parts), hashlib.sha256(joined.encode()).hexdigest())
+
+
+@pytest.mark.parametrize("block", [2, 8])
+def test_replayed_searches_follow_the_rule(spark, block):
+    """The grouped replay against the rule written out, for two studies at once."""
+    rng = np.random.default_rng(5)
+    rows = [(s, t, k, float(v)) for s in (1, 2) for t in range(40) for k, v in enumerate(rng.normal(size=3))]
+    found = tu.replayed(spark.createDataFrame(rows, "study long, trial long, step int, value double"), steps=3, startup=4, block=block)
+    values = {(s, t): [r[3] for r in rows if r[:2] == (s, t)] for s in (1, 2) for t in range(40)}
+    want, pruned = {}, 0
+    for s in (1, 2):
+        done: dict = {}
+        for t in range(40):
+            earlier = [h for u, h in done.items() if u // block < t // block]
+            state, used = "COMPLETE", 3
+            for k in range(1, 3):
+                medians = [np.mean(h[: k + 1]) for h in earlier]
+                if len(earlier) >= 4 and np.mean(values[s, t][: k + 1]) < np.median(medians):
+                    state, used = "PRUNED", k + 1
+                    pruned += 1
+                    break
+            if state == "COMPLETE":
+                done[t] = values[s, t]
+            want[s, t] = (state, used)
+    assert {(r["study"], r["trial"]): (r["state"], r["folds"]) for r in found.collect()} == want and pruned > 10
+
+
+def test_pooling_by_hand(spark):
+    q, v = [0.6, 0.64, 0.61, 0.66], [0.001, 0.0012, 0.0009, 0.001]
+    df = spark.createDataFrame([("a", k, x, y) for k, (x, y) in enumerate(zip(q, v))] + [("b", 0, 0.5, 0.01)], "model string, draw int, estimate double, variance double")
+    r = {x["model"]: x for x in pooled(df, ["model"]).collect()}
+    between, within = np.var(q, ddof=1), np.mean(v)
+    total = within + 1.25 * between
+    assert (r["a"]["estimate"], r["a"]["within"], r["a"]["between"], r["a"]["se"]) == pytest.approx((np.mean(q), within, between, math.sqrt(total)))
+    assert r["a"]["df"] == pytest.approx(3 * (total / (1.25 * between)) ** 2)
+    assert r["b"]["ci_high"] - 0.5 == pytest.approx(0.1 * 1.959963984540054)
+    ten = spark.range(1).select(t_quantile(1.959963984540054, F.lit(10.0)).alias("t")).first()["t"]
+    assert ten == pytest.approx(2.2281, abs=2e-3)  # the 97.5th percentile of t with ten degrees of freedom
+
+
 def test_search_prunes_alike_in_any_order():
     from veritally.operators.tuning import should_stop
 

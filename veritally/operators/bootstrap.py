@@ -35,7 +35,7 @@ from veritally.operators.row_index import stratified_index
 # Rows x replicates handled at a time, rows per score block, and most blocks.
 MATRIX_CELLS = 4_000_000
 BLOCK_ROWS = 20_000
-MAX_BLOCKS = 16_384
+MAX_BLOCKS = 65_536
 
 
 # --- draws -----------------------------------------------------------------------

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from veritally.operators.bounded import bounded, stored
 
-MAX_BUCKETS = 4096
+MAX_BUCKETS = 65_536  # edges the driver may hold; with the rows below, tables of 65 billion distinct scores
 BUCKET_ROWS = 1_000_000
 
 

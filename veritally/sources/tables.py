@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -70,3 +74,35 @@ def file_digests(spark: SparkSession, path: str) -> DataFrame:
     """path, bytes, sha256 of every file under a path that isn't empty; a file of 2 GB or more can't be one row and raises."""
     files = spark.read.format("binaryFile").load(path)
     return files.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+
+
+def piece_digests(spark: SparkSession, path: str, piece_bytes: int = 64 << 20) -> DataFrame:
+    """path, bytes, pieces, sha256 of files of any size: the SHA-256 of the hexadecimal SHA-256 of each piece, in order.
+
+    Files that aren't empty are listed without their content, and every piece is a row that some task reads on its own.
+    The store must be one that Arrow's file systems reach from the executors; ``file_digests`` reads
+    through Spark itself.
+    """
+    files = spark.read.format("binaryFile").load(path).select("path", F.col("length").alias("bytes"))
+    last = F.ceil(F.col("bytes") / piece_bytes) - 1
+    pieces = files.select("path", "bytes", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("piece"))
+    shuffled = pieces.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "path", "piece")
+
+    def digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow.fs import FileSystem
+
+        for rows in batches:
+            found = []
+            for uri, piece in zip(rows["path"], rows["piece"]):
+                plain = uri if not uri.startswith("file:/") or uri.startswith("file://") else "file://" + uri[len("file:") :]
+                store, name = FileSystem.from_uri(plain)
+                with store.open_input_file(name) as f:
+                    f.seek(int(piece) * piece_bytes)
+                    found.append(hashlib.sha256(f.read(piece_bytes)).hexdigest())
+            yield rows.assign(sha256=found)
+
+    read = shuffled.mapInPandas(digests, "path string, bytes bigint, piece bigint, sha256 string")
+    ordered = F.array_sort(F.collect_list(F.struct("piece", "sha256")))  # one short row a piece
+    return read.groupBy("path", "bytes").agg(
+        F.count(F.lit(1)).alias("pieces"), F.sha2(F.array_join(F.transform(ordered, lambda x: x.sha256), ""), 256).alias("sha256")
+    )
