@@ -44,7 +44,7 @@ class Settings:
     sample_texts: int = 500
     sample_bytes: int = 1 << 16
     rounds: int = 2
-    longest_piece: int = 6
+    longest_piece: int = 16  # the longest of the vocabulary
     smoothing: float = 0.01
     unknown: float = 1e-7
 
