@@ -59,8 +59,8 @@ class Settings:
     code_bits: int = 41
     hot_words: int = 65_536
     salts: int = 4096
-    shard_words: int = 1_000_000
-    batch_edges: int = 2_000_000
+    shard_words: int = 300_000
+    batch_edges: int = 1_000_000
     parts: int = 16
 
 
@@ -208,9 +208,10 @@ def graph(docs: DataFrame, words: DataFrame, apart: dict, text: str, lang: str,
         def sent() -> Iterator[pa.RecordBatch]:
             a, b = (np.concatenate(x) for x in zip(*waiting))
             a, b, n = folded(a, b, np.ones(len(a), np.int64))
-            columns = [pa.array(x) for x in (dealt(a, b, hot, shards, s), a, b, n)]
-            for at in range(0, len(a), 1 << 17):
-                yield pa.RecordBatch.from_arrays([c.slice(at, 1 << 17) for c in columns], ["shard", "a", "b", "n"])
+            waiting.clear()
+            for at in range(0, len(a), 1 << 16):
+                x, y, z = (c[at : at + (1 << 16)] for c in (a, b, n))
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (dealt(x, y, hot, shards, s), x, y, z)], ["shard", "a", "b", "n"])
 
         for batch in batches:
             names, hashes = tongues(batch.column(0))
@@ -227,7 +228,7 @@ def graph(docs: DataFrame, words: DataFrame, apart: dict, text: str, lang: str,
                 size += len(code)
                 if size >= s.batch_edges:
                     yield from sent()
-                    waiting, size = [], 0
+                    size = 0
         if size:
             yield from sent()
 
