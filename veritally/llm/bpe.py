@@ -40,10 +40,10 @@ from veritally.llm.words import pieces, utf8, without_cycles
 
 SUFFIX = "</w>"
 END = 0x0400  # added to a symbol's code point when it ends a word; byte symbols lie below
-CACHED_BYTES = 150_000_000  # of one generation of known words; there are two at most
+CACHED_BYTES = 200_000_000  # of one generation of known words; there are two at most
 WORD_COST = 400  # bytes that a known word, its pieces and fragments take in tables besides their own
 PIECE_COST = 220
-MOST_FRAGMENTS = 300_000
+MOST_FRAGMENTS = 800_000
 PRINTABLE = re.compile(rb"[!-~]+").fullmatch
 # Fixed value: the word pattern of the vocabulary file, for lower-case ASCII. The byte alphabet shows printable ASCII as itself.
 ASCII_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+").findall
@@ -68,10 +68,11 @@ def latin(kind: str) -> str:
     return "".join(chr(c) for c in range(0x80, LATIN) if unicodedata.category(chr(c)).startswith(kind))
 
 
-# The pattern over whole texts, of ASCII and of Latin letters, normalised and lower-cased.
-SHORT = r"'s|'t|'re|'ve|'m|'ll|'d"
-ASCII_TEXT = re.compile(SHORT + r"|[a-z]+|[0-9]|[^\x09-\x0d\x20a-z0-9]+").findall
-LATIN_TEXT = re.compile(rf"{SHORT}|[a-zA-Z{latin('L')}]+|[0-9{latin('N')}]|[^\x09-\x0d\x20\x85\xa0a-zA-Z0-9{latin('L')}{latin('N')}]+").findall
+# The same pattern over whole texts, of ASCII and of Latin letters, normalised and lower-cased. What a piece begins with tells
+# its kind, so the commonest kind is asked for first.
+SHORT = "'(?:[stmd]|re|ve|ll)"
+ASCII_TEXT = re.compile(rf"[a-z]+|[0-9]|{SHORT}|[^\x09-\x0d\x20a-z0-9]+").findall
+LATIN_TEXT = re.compile(rf"[a-zA-Z{latin('L')}]+|[0-9{latin('N')}]|{SHORT}|[^\x09-\x0d\x20\x85\xa0a-zA-Z0-9{latin('L')}{latin('N')}]+").findall
 BEYOND = re.compile("[^\\x00-\\u024f]").search
 
 
