@@ -462,3 +462,62 @@ def test_search_prunes_alike_in_any_order():
 def test_functions_as_metrics_are_drawn_exactly_or_not_at_all(spark):
     with pytest.raises(ValueError, match="exact"):
         bootstrap_ci(spark.range(3).selectExpr("id as row_id", "1 as y", "0.5 as p"), [], metrics={"x": lambda: F.count("p")}, mode="poisson")
+
+
+def test_replay_of_one_search_has_every_trial(spark, sf):
+    from catalogue.modelling import QUERIES
+
+    users = spark.read.parquet(f"{sf}/events.parquet").select("user_id").distinct().count()
+    found = QUERIES["tuning_replay"](spark, sf).collect()
+    assert found[0].asDict().keys() == {"trial", "same"} and len(found) == users and all(r["same"] for r in found)
+
+
+@pytest.fixture
+def exploded_sizes(spark, tmp_path):
+    """A table small on disk, joins of which Spark would like to broadcast."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "100MB")
+    yield spark.range(600).selectExpr("id as row_id", "cast(id % 3 = 0 as int) as y", "'m' as model", "id % 97 / 97.0 as p", "id * 1.0 as x")
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_repeats_of_rows_are_never_broadcast(exploded_sizes):
+    """Sizes are estimated before ``explode``: such sides would go through the driver whole."""
+    from veritally.operators.explain import permuted_rows
+
+    plan = plan_of(permuted_rows(exploded_sizes, "row_id", ["x"], 3))
+    assert "SortMergeJoin [rep" in plan
+    changes = bs._changes(bs._positioned(exploded_sizes, "y", "row_id", 42, True), "row_id", 5, 42)
+    assert "SortMergeJoin [_s" in plan_of(changes)
+
+
+def test_fast_draws_are_those_of_the_polynomial():
+    from veritally.functions.hashing import PRIME, polynomial
+
+    rng = np.random.default_rng(1)
+    h1, h2 = (np.r_[rng.integers(0, PRIME, 3000), 0, PRIME - 1] for _ in range(2))
+    draws = bs._Poisson(40, 42)
+    want = np.searchsorted(np.array(bs.poisson_cuts()), polynomial(h1[:, None], h2[:, None], {k: v[None] for k, v in draws.c.items()}) / float(PRIME), side="right")
+    assert (draws.counts(h1, h2, 0, 40) == want).all()
+    ball, reps = draws.table(40, 42, "boot-ball"), np.arange(3, 40, 2)
+    limit = np.full(len(reps), PRIME // 3)
+    found = {(c, a, r, k) for c, at, rep, key in bs._taken_back(draws, ball, h1, h2, reps, limit) for a, r, k in zip(at, rep, key)}
+    right = set()
+    for copy in range(1, want.max() + 1):
+        key = bs._removed_key(h1[:, None], h2[:, None], copy, {k: v[None] for k, v in ball.items()})
+        right |= {(copy, a, r, key[a, r]) for a, r in zip(*np.nonzero((want >= copy) & (key < PRIME // 3))) if r in reps}
+    assert found == right
+
+
+def test_functions_as_metrics_see_the_ladder_of_every_replicate(spark):
+    rows = spark.range(900).selectExpr("id as row_id", "cast(id % 4 = 0 as int) as y", "'m' as model", "cast(id % 50 as double) / 50 as p")
+    draws = bs.bootstrap_draws(rows.select("row_id", "y"), "y", "row_id", 6)
+    want = score_ladder(rows.join(draws, "row_id"), ["model", "rep"], weight=F.col("times"))
+    found = bs.replicate_ladder(rows, ["model"], "row_id", 6, block_rows=100)  # scores of 18 rows, blocks of 100
+    crowded = bs.replicate_ladder(rows, ["model"], "row_id", 6, block_rows=10)
+    columns = ["model", "rep", "p", "pos", "neg", "pos_below", "neg_below", "pos_total", "neg_total"]
+    expected = sorted(map(tuple, want.select(columns).collect()))
+    assert expected == sorted(map(tuple, found.select(columns).collect())) == sorted(map(tuple, crowded.select(columns).collect()))
