@@ -521,3 +521,11 @@ def test_functions_as_metrics_see_the_ladder_of_every_replicate(spark):
     columns = ["model", "rep", "p", "pos", "neg", "pos_below", "neg_below", "pos_total", "neg_total"]
     expected = sorted(map(tuple, want.select(columns).collect()))
     assert expected == sorted(map(tuple, found.select(columns).collect())) == sorted(map(tuple, crowded.select(columns).collect()))
+
+
+def test_isotonic_index_with_blocks_inside_long_ties(spark):
+    """Blocks that hold nothing but a part of a tie have no cells."""
+    rows = spark.range(3000).selectExpr("'m' as model", "cast(id % 3 as double) / 4 as p", "cast(id % 7 < id % 3 as int) as y")
+    ladder = score_ladder(rows, ["model"])
+    want = sm.isotonic_index(ladder, ["model"]).first()["ici"]
+    assert sm.isotonic_index(ladder, ["model"], 100).first()["ici"] == pytest.approx(want, abs=1e-12)

@@ -275,7 +275,7 @@ def isotonic_index(ladder: DataFrame, keys: list[str], block_rows: int = BLOCK_R
 
     def gaps(rows: pd.DataFrame, fits: pd.DataFrame) -> pd.DataFrame:
         if rows.empty:  # a pool may reach over a block that holds the end of one long tie only
-            return pd.DataFrame({c: [] for c in [*keys, "gap", "w"]})
+            return fits[keys].iloc[:1].assign(gap=0.0, w=0.0)  # adds nothing; Arrow takes no empty frame without types
         fits = fits.sort_values("w_high")
         value = fits["value"].to_numpy()[np.searchsorted(fits["w_high"].to_numpy(), rows["below"].to_numpy(), side="right")]
         w = rows["w"].to_numpy("float64")
