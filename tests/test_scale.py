@@ -529,3 +529,22 @@ def test_isotonic_index_with_blocks_inside_long_ties(spark):
     ladder = score_ladder(rows, ["model"])
     want = sm.isotonic_index(ladder, ["model"]).first()["ici"]
     assert sm.isotonic_index(ladder, ["model"], 100).first()["ici"] == pytest.approx(want, abs=1e-12)
+
+
+def test_running_sums_of_events_keep_the_weights():
+    rng = np.random.default_rng(3)
+    n = 5 * bs.EVENT_ROWS + 7
+    p = np.sort(np.r_[rng.random(n // 2).round(2), np.full(n - n // 2, 0.5)])  # a tie over several runs of rows
+    y, w = (rng.random(n) < 0.2).astype(float), rng.integers(0, 9, (n, 4)).astype(float)
+    before, at = w.copy(), np.flatnonzero(y)
+    own, below, upto, others = bs._Events(p, y).split(w)
+    assert (w == before).all() and (own == w[at]).all() and (others == w[y == 0].sum(0)).all()
+    assert (below == [w[(y == 0) & (p < x)].sum(0) for x in p[at]]).all() and (upto == [w[(y == 0) & (p <= x)].sum(0) for x in p[at]]).all()
+
+
+def test_draws_of_a_small_table_are_made_in_many_tasks(spark, monkeypatch):
+    kept = []
+    monkeypatch.setattr(bs, "stored", lambda df: kept.append(df) or df)
+    rows = spark.range(200).selectExpr("id as row_id", "cast(id % 3 = 0 as int) as y")
+    bs.bootstrap_draws(rows, "y", "row_id", 3)
+    assert any("h1" in k.columns and "RepartitionByExpression" in k._jdf.queryExecution().logical().toString() for k in kept)

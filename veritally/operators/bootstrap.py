@@ -33,8 +33,9 @@ from veritally.operators.ladder import add_bucket, balanced_edges, score_cells,
 from veritally.operators.row_index import stratified_index
 
 # Rows x replicates handled at a time, rows per score block, and most blocks.
-MATRIX_CELLS = 1_000_000
+MATRIX_CELLS = 2_000_000
 TILE_CELLS = 32_768  # drawn at a time, so that the steps of a draw stay in a core's cache
+EVENT_ROWS = 64  # rows that running sums are taken over by one small product
 BLOCK_ROWS = 20_000
 MAX_BLOCKS = 65_536
 
@@ -73,7 +74,7 @@ class _Poisson:
 
     def counts(self, h1: np.ndarray, h2: np.ndarray, low: int, high: int) -> np.ndarray:
         """Rows x replicates low + 1 to high."""
-        cuts, common = self.cuts, 5
+        cuts, common = self.cuts, 4
         out = np.zeros((len(h1), high - low), "uint8")
         for start, end, x in _value_tiles(h1, h2, {k: v[low:high] for k, v in self.c.items()}):
             part = out[start:end]
@@ -92,35 +93,39 @@ def _whole_cuts(cuts: list[float]) -> np.ndarray:
         while v / float(PRIME) < cut:
             v += 1
         found.append(v)
-    return np.array(found, "uint32")
+    return np.array(found, "int32")
+
+
+LIMB = 15  # residues are cut here, so that products and their sums are whole numbers that doubles hold exactly
+PER_PRIME = (1.0 + 2.0**-51) / PRIME  # a little more than the quotient, so that multiples of the prime aren't rounded down
 
 
 def _value_tiles(h1: np.ndarray, h2: np.ndarray, c: dict) -> Iterator[tuple[int, int, np.ndarray]]:
     """(first row, end, ``polynomial`` of those rows x all coefficients) for small runs of rows.
 
-    The three products are below 2^62 each, so their sum fits unsigned 64-bit integers; 2^31 is 1 modulo PRIME, so
-    the upper bits are added to the lower 31 instead of dividing.
+    The polynomial is a product of (h1, h1^2, h2, 1) and the coefficients. With the former in limbs of 15 and 16 bits
+    and the shift of the upper ones put into the coefficients, a sum stays below 2^50: one matrix product of doubles is
+    exact. Its quotient by the prime is below 2^19, and a remainder is 2^-31 of the prime at least, so rounding can't
+    reach the next whole quotient.
     """
-    rows = [x.astype("uint64")[:, None] for x in (h1, h1 * h1 % PRIME, h2)]
-    a0, a1, a2, a3 = (c[k].astype("uint64")[None, :] for k in ("a0", "a1", "a2", "a3"))
-    step = max(1, TILE_CELLS // max(1, a0.shape[1]))
-    first, second = (np.empty((step, a0.shape[1]), "uint64") for _ in range(2))
+    terms = (h1, h1 * h1 % PRIME, h2)
+    by = [c[k].astype("int64") for k in ("a1", "a2", "a3")]
+    rows = np.stack([*(x >> LIMB for x in terms), *(x & (2**LIMB - 1) for x in terms), np.ones_like(h1)], axis=1).astype("float64")
+    columns = np.stack([*((a << LIMB) % PRIME for a in by), *by, c["a0"]]).astype("float64")
+    width = columns.shape[1]
+    step = max(1, TILE_CELLS // max(1, width))
+    first, second = (np.empty((step, width)) for _ in range(2))
+    whole = np.empty((step, width), "int32")
     for start in range(0, len(h1), step):
         end = min(len(h1), start + step)
-        x, y = first[: end - start], second[: end - start]
-        np.multiply(rows[0][start:end], a1, out=x)
-        for r, a in ((rows[1], a2), (rows[2], a3)):
-            np.multiply(r[start:end], a, out=y)
-            x += y
-        x += a0
-        for _ in range(2):
-            np.right_shift(x, np.uint64(31), out=y)
-            x &= np.uint64(PRIME)
-            x += y
-        found = x.astype("uint32")
-        if found.max(initial=0) >= PRIME:
-            found[found >= PRIME] -= np.uint32(PRIME)
-        yield start, end, found
+        x, y, found = first[: end - start], second[: end - start], whole[: end - start]
+        np.matmul(rows[start:end], columns, out=x)
+        np.multiply(x, PER_PRIME, out=y)
+        np.floor(y, out=y)
+        y *= float(PRIME)
+        x -= y
+        found[:] = x
+        yield start, end, found  # overwritten by the next run
 
 
 COPY = 1_000_003  # residues of a row's second, third ... draw lie so far from those of the one before
@@ -175,6 +180,8 @@ def _changes(positions: DataFrame, row_id: str, n_resamples: int, seed: int) ->
     """
     draws = _Poisson(n_resamples, seed)
     kind = dict(positions.dtypes)
+    # few bytes but much work: as with blocks, an explicit count keeps the rows apart
+    spread = stored(positions.select("_s", row_id, "h1", "h2").repartition(2 * shuffle_partitions(positions), row_id))
 
     def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total: dict = {}
@@ -184,11 +191,12 @@ def _changes(positions: DataFrame, row_id: str, n_resamples: int, seed: int) ->
                 step = max(1, MATRIX_CELLS // len(part))
                 for low in range(0, n_resamples, step):
                     high = min(n_resamples, low + step)
-                    own[low:high] += draws.counts(part["h1"].to_numpy(), part["h2"].to_numpy(), low, high).sum(0, dtype="int64")
+                    counts = draws.counts(part["h1"].to_numpy(), part["h2"].to_numpy(), low, high).astype("float32")
+                    own[low:high] += (np.ones(len(part), "float32") @ counts).astype("int64")  # far below 2^24 each
         for stratum, own in total.items():
             yield pd.DataFrame({"_s": stratum, "rep": np.arange(1, n_resamples + 1, dtype="int32"), "drawn": own})
 
-    drawn = _pandas(positions.select("_s", "h1", "h2"), f"_s {kind['_s']}, rep int, drawn bigint", sums)
+    drawn = _pandas(spread.select("_s", "h1", "h2"), f"_s {kind['_s']}, rep int, drawn bigint", sums)
     drawn = drawn.groupBy("_s", "rep").agg(F.sum("drawn").alias("drawn"))
     sizes = positions.groupBy("_s").agg(F.max("stratum_n").alias("n"))
     lacking = stored(drawn.join(sizes, "_s").select("_s", "rep", "drawn", "n", (F.col("n") - F.col("drawn")).alias("lack")))
@@ -216,6 +224,7 @@ def _changes(positions: DataFrame, row_id: str, n_resamples: int, seed: int) ->
                         continue
                     limit = limits[stratum]
                     reps = np.flatnonzero(limit)
+                    limit = np.minimum(limit, PRIME).astype("int32")
                     ids, h1, h2 = (part[c].to_numpy() for c in (row_id, "h1", "h2"))
                     step = max(1, MATRIX_CELLS // len(part))
                     for low in range(0, len(reps), step):
@@ -225,7 +234,7 @@ def _changes(positions: DataFrame, row_id: str, n_resamples: int, seed: int) ->
                                 yield pd.DataFrame({"_s": stratum, row_id: ids[at], "rep": (rep + 1).astype("int32"), "key": key, "copy": np.int32(copy)})
 
         schema = f"_s {kind['_s']}, `{row_id}` {kind[row_id]}, rep int, key bigint, copy int"
-        found = stored(_pandas(positions.select("_s", row_id, "h1", "h2"), schema, near))
+        found = stored(_pandas(spread.select("_s", row_id, "h1", "h2"), schema, near))
         counts = found.groupBy("_s", "rep").agg(F.count(F.lit(1)).alias("found"))
         short = lacking.where("lack < 0").join(counts, ["_s", "rep"], "left").where(F.coalesce("found", F.lit(0)) < -F.col("lack"))
         if short.isEmpty():
@@ -397,14 +406,24 @@ class _Events:
         # a score of one row holds no other outcome; a score that ends the block has all others below its end
         self.end = np.where(end - first == 1, self.first, np.where(end == n, len(self.edges), np.searchsorted(self.edges, end)))
         self.fewer = np.searchsorted(self.at, first)
-
-    def split(self, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Weights of events; weights of other rows below each event's score, and up to it. ``w`` is used up."""
-        events = w[self.at]
-        w[self.at] = 0.0
-        upto = np.zeros((len(self.edges) + 1, w.shape[1]))
-        np.cumsum(np.add.reduceat(w, self.edges, axis=0), axis=0, out=upto[1:])
-        return events, upto[self.first], upto[self.end]
+        # sums up to an edge are products within a run of rows, and what earlier runs hold
+        self.runs = []
+        for start in range(0, n, EVENT_ROWS):
+            other = 1.0 - y[start : start + EVENT_ROWS]
+            low, high = np.searchsorted(self.edges, (start, min(n, start + EVENT_ROWS)))
+            before = np.arange(len(other)) < np.r_[self.edges[low:high] - start, len(other)][:, None]
+            self.runs.append((start, low, high, before * other))
+
+    def split(self, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Weights of events; weights of other rows below each event's score, up to it, and in all."""
+        upto = np.empty((len(self.edges) + 1, w.shape[1]))
+        carried = np.zeros(w.shape[1])
+        for start, low, high, sides in self.runs:
+            found = sides @ w[start : start + EVENT_ROWS]
+            np.add(found[:-1], carried, out=upto[low:high])
+            carried = carried + found[-1]
+        upto[-1] = carried
+        return w[self.at], upto[self.first], upto[self.end], carried
 
     def lower(self, events: np.ndarray) -> np.ndarray:
         """Weights of events at lower scores than each event's."""
@@ -461,7 +480,7 @@ def _blocks(
         cold = plain.withColumns({"pos": none, "neg": none}).unionByName(parts.select(*keys, "p", *blank, "pos", "neg"))
     blocks = add_bucket(cold, "p", edges, "block")
     # An explicit count keeps the parts apart: blocks are few bytes but much work.
-    return blocks.repartition(shuffle_partitions(scored), *keys, "block")
+    return blocks.repartition(2 * shuffle_partitions(scored), *keys, "block")
 
 
 def replicate_metrics(
@@ -491,6 +510,7 @@ def replicate_metrics(
     terms = {f"_t{i}_{j}": f for i, m in enumerate(own.values()) for j, f in enumerate(m.terms.values())}
     ranked = {f"_r{i}_{j}": f for i, m in enumerate(own.values()) for j, f in enumerate(m.ranked.values())}
     gain = ["_gain"] if "auprc" in metrics else []
+    won = ["_won"] if gain and "auroc" in metrics else []  # then the second look at the blocks, which needs the same sums, counts both
     blocks = _blocks(scored, keys, row_id, n_resamples, seed, mode, stratified, stratum, block_rows, weights, unit)
     if ranked or gain:
         blocks = stored(blocks)
@@ -501,7 +521,7 @@ def replicate_metrics(
         q = np.clip(p, EPS, 1 - EPS)
         loss = -np.where(y == 1, np.log(q), np.log(1 - q))
         linear = np.stack([y, 1 - y, loss, np.where(y == 1, (1 - p) ** 2, p**2), p])
-        events = _Events(p, y) if "auroc" in metrics else None
+        events = _Events(p, y) if "auroc" in metrics and not won else None
         for reps, w in drawn:
             pos, neg, loss, square, total = linear @ w
             found = {"rep": (reps + 1).astype("int32"), "pos": pos, "neg": neg, "loss": loss, "square": square, "total": total}
@@ -510,7 +530,7 @@ def replicate_metrics(
                 found |= {c: f(*cells) for c, f in terms.items()}
             found["won"] = 0.0
             if events is not None:
-                own, below, upto = events.split(w)
+                own, below, upto, _ = events.split(w)
                 below += upto
                 found["won"] = np.einsum("ij,ij->j", own, below) / 2
             parts.append(pd.DataFrame(found))
@@ -535,7 +555,7 @@ def replicate_metrics(
     size = F.sum("pos") + F.sum("neg")
     pi = F.sum("pos") / size
     formulas = {
-        "auroc": F.try_divide(F.sum(F.col("won") + F.col("pos") * F.col("_neg_below")), F.sum("pos") * F.sum("neg")),
+        "auroc": F.sum(F.col("won") + F.col("pos") * F.col("_neg_below")),
         "auprc_baseline": pi,
         "log_loss": F.sum("loss") / size,
         "brier": F.sum("square") / size,
@@ -545,6 +565,7 @@ def replicate_metrics(
     table = placed.groupBy(*group).agg(
         *[formulas[m].alias(m) for m in metrics if m != "auprc"],
         F.sum("pos").alias("_pos_total"),
+        F.sum("neg").alias("_neg_total"),
         *[F.sum(c).alias(c) for c in terms],
     )
     if ranked or gain:
@@ -554,7 +575,7 @@ def replicate_metrics(
 
         def second(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
             if left.empty or right.empty:
-                return pd.DataFrame({c: [] for c in [*keys, "rep", *gain, *ranked]})
+                return pd.DataFrame({c: [] for c in [*keys, "rep", *gain, *won, *ranked]})
             above_tp, above_fp = (np.asarray(right[c].iloc[0]) for c in ("tp", "fp"))
             parts = []
             p, y, drawn = _block_rows(left, weights)
@@ -566,9 +587,11 @@ def replicate_metrics(
                     higher = [np.cumsum(x[::-1], axis=0)[::-1] - x + above[reps] for x, above in zip(cells[1:], (above_tp, above_fp))]
                     found |= {c: f(*cells, *higher) for c, f in ranked.items()}
                 if gain:
-                    own, below, _ = events.split(w)
+                    own, below, upto, others = events.split(w)
+                    if won:
+                        found["_won"] = np.einsum("ij,ij->j", own, below + upto) / 2
                     tp = above_tp[reps] + own.sum(0) - events.lower(own)
-                    flagged = above_fp[reps] + w.sum(0) - below + tp
+                    flagged = above_fp[reps] + others - below + tp
                     found["_gain"] = np.divide(own * tp, flagged, out=np.zeros_like(tp), where=flagged > 0).sum(0)
                 parts.append(pd.DataFrame(found))
             return left[keys].iloc[:1].merge(pd.concat(parts), how="cross")
@@ -576,9 +599,12 @@ def replicate_metrics(
         more = (
             blocks.groupBy(*keys, "block")
             .cogroup(ahead.groupBy(*keys, "block"))
-            .applyInPandas(second, f"{kinds}, rep int, " + ", ".join(f"{c} double" for c in [*gain, *ranked]))
+            .applyInPandas(second, f"{kinds}, rep int, " + ", ".join(f"{c} double" for c in [*gain, *won, *ranked]))
         )
-        table = table.join(more.groupBy(*group).agg(*[F.sum(c).alias(c) for c in [*gain, *ranked]]), group)
+        table = table.join(more.groupBy(*group).agg(*[F.sum(c).alias(c) for c in [*gain, *won, *ranked]]), group)
+    if "auroc" in metrics:
+        pairs = F.col("auroc") + F.col("_won") if won else F.col("auroc")
+        table = table.withColumn("auroc", F.try_divide(pairs, F.col("_pos_total") * F.col("_neg_total")))
     if "auprc" in metrics:
         table = table.withColumn("auprc", F.try_divide(F.col("_gain"), F.col("_pos_total")))
     for i, (name, m) in enumerate(own.items()):
