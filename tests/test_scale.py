@@ -548,3 +548,26 @@ def test_draws_of_a_small_table_are_made_in_many_tasks(spark, monkeypatch):
     rows = spark.range(200).selectExpr("id as row_id", "cast(id % 3 = 0 as int) as y")
     bs.bootstrap_draws(rows, "y", "row_id", 3)
     assert any("h1" in k.columns and "RepartitionByExpression" in k._jdf.queryExecution().logical().toString() for k in kept)
+
+
+def test_visits_are_found_and_handed_over_in_small_frames():
+    from veritally.operators import neighbours as nn
+
+    rng = np.random.default_rng(4)
+    n, asked = 700, []
+    rows = pd.DataFrame({"id": np.arange(n), "v": list(rng.random((n, 3))), "cell": 0, "block": "0-0-0", "reach": np.inf})
+    names, cells, lows, highs = np.array([f"0-0-{k}" for k in range(40)]), np.zeros(40, int), np.zeros(40), np.ones(40)
+
+    def to_pivots(v):
+        asked.append(len(v))
+        return np.ones((len(v), 1))
+
+    found = list(nn._visits([rows, rows.iloc[:0]], to_pivots, np.ones((1, 1)), names, cells, lows, highs))
+    assert max(asked) <= nn.VISIT_ROWS and max(map(len, found)) <= nn.VISITS
+    assert set(zip(*pd.concat(found)[["id", "target"]].to_numpy().T)) == {(k, x) for k in range(n) for x in names[1:]}
+
+
+def test_blocks_of_smoothers_stay_small_frames(spark):
+    rows = spark.range(3 * 65_536).selectExpr("'m' as model", "id / 200000.0 as p", "cast(id % 3 = 0 as int) as y")
+    blocks = sm._blocked(score_ladder(rows, ["model"]), ["model"], sm.BLOCK_ROWS).groupBy("block").count().collect()
+    assert len(blocks) == 3 and max(r["count"] for r in blocks) <= 65_536
