@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from veritally.operators.bounded import stored
 
-BLOCK_ROWS = 500_000
+BLOCK_ROWS = 65_536  # a task holds a block as a frame
 MOMENTS = 12
 MERGED = 64  # hulls of blocks that are merged at a time
 
