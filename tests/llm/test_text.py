@@ -300,3 +300,15 @@ def test_sql(spark, con, sf, name):
     from compare import compare
 
     assert compare(QUERIES[name](spark, sf), con, ORACLES[name]) == []
+
+
+def test_licence_model_of_all_lines(spark):
+    """Nothing is left out, and a line beyond any sample is learned from."""
+    long = "He lost the license " + "of his car " * 2000
+    lines = [f"He lost the license number {k} of his car." for k in range(5000)] + [long, "Released under the MIT License."]
+    docs = spark.createDataFrame([(k, x) for k, x in enumerate(lines)], "doc_id long, text string")
+    model = licenses.fit(docs, settings=licenses.Settings(sample_lines=None))
+    assert model.n_sampled == 5001 and 2300 < model.n_calibrated < 2700
+    assert "lost the license" in model.weights
+    found = {r.doc_id: r.families for r in licenses.scan(docs, model).collect()}
+    assert found.pop(5001) == ["MIT"] and not any(found.values())
