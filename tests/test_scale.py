@@ -571,3 +571,21 @@ def test_blocks_of_smoothers_stay_small_frames(spark):
     rows = spark.range(3 * 65_536).selectExpr("'m' as model", "id / 200000.0 as p", "cast(id % 3 = 0 as int) as y")
     blocks = sm._blocked(score_ladder(rows, ["model"]), ["model"], sm.BLOCK_ROWS).groupBy("block").count().collect()
     assert len(blocks) == 3 and max(r["count"] for r in blocks) <= 65_536
+
+
+def test_blocks_read_again_keep_a_task_of_their_own(spark):
+    from veritally.operators.bootstrap import replicate_metrics
+
+    rows = spark.range(300).selectExpr("id as row_id", "'m' as model", "cast(id % 5 = 0 as int) as y", "id % 97 / 97.0 as p")
+    table = replicate_metrics(rows, ["model"], "row_id", ["auroc", "auprc"], 3, block_rows=50)
+    assert table._jdf.queryExecution().toString().count("REPARTITION_BY_NUM") >= 2  # both sides of the second look
+
+
+def test_counts_are_those_of_the_cuts(spark):
+    import veritally.operators.bootstrap as bs
+
+    draws = bs._Poisson(2000, 7)
+    h1, h2 = (np.random.default_rng(k).integers(0, bs.PRIME, 700) for k in (1, 2))
+    found = draws.counts(h1, h2, 0, 2000)
+    value = bs.polynomial(h1[:, None], h2[:, None], draws.c)
+    assert (found == np.searchsorted(draws.cuts, value, side="right")).all() and found.max() >= 7

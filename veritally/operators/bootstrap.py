@@ -35,6 +35,7 @@ from veritally.operators.row_index import stratified_index
 # Rows x replicates handled at a time, rows per score block, and most blocks.
 MATRIX_CELLS = 2_000_000
 TILE_CELLS = 32_768  # drawn at a time, so that the steps of a draw stay in a core's cache
+COMMON_CUTS = 8  # counts up to this are compared everywhere; one draw in a million has more
 EVENT_ROWS = 64  # rows that running sums are taken over by one small product
 BLOCK_ROWS = 20_000
 MAX_BLOCKS = 65_536
@@ -74,14 +75,16 @@ class _Poisson:
 
     def counts(self, h1: np.ndarray, h2: np.ndarray, low: int, high: int) -> np.ndarray:
         """Rows x replicates low + 1 to high."""
-        cuts, common = self.cuts, 4
-        out = np.zeros((len(h1), high - low), "uint8")
+        cuts, common = self.cuts, COMMON_CUTS
+        out = np.empty((len(h1), high - low), "uint8")
         for start, end, x in _value_tiles(h1, h2, {k: v[low:high] for k, v in self.c.items()}):
             part = out[start:end]
-            for cut in cuts[:common]:
+            np.greater_equal(x, cuts[0], out=part.view("bool"))
+            for cut in cuts[1:common]:
                 part += (x >= cut).view("uint8")
-            rare = np.flatnonzero(x >= cuts[common])
-            part.reshape(-1)[rare] = np.searchsorted(cuts, x.reshape(-1)[rare], side="right")
+            if x.max(initial=0) >= cuts[common]:
+                rare = np.flatnonzero(x >= cuts[common])
+                part.reshape(-1)[rare] = np.searchsorted(cuts, x.reshape(-1)[rare], side="right")
         return out
 
 
@@ -202,7 +205,7 @@ def _changes(positions: DataFrame, row_id: str, n_resamples: int, seed: int) ->
     lacking = stored(drawn.join(sizes, "_s").select("_s", "rep", "drawn", "n", (F.col("n") - F.col("drawn")).alias("lack")))
 
     number = F.explode(F.sequence(F.lit(1), F.col("lack").cast("int"))).alias("d")
-    more = lacking.where("lack > 0").select("_s", "rep", "n", number)
+    more = lacking.where("lack > 0").repartition(shuffle_partitions(positions), "_s", "rep").select("_s", "rep", "n", number)
     more = more.select("_s", (key_hash(seed, "boot-add", "_s", "rep", "d") % F.col("n") + 1).alias("idx"), "rep")
     # ``more`` comes of a small file but is large: its estimated size must not make it a broadcast through the driver
     added = more.hint("merge").join(positions.select("_s", "idx", row_id), ["_s", "idx"]).select(row_id, "rep")
@@ -478,9 +481,15 @@ def _blocks(
         plain = rows.join(crowded, [*keys, "p"], "left_anti").drop(row_id)
         blank = [F.lit(None).cast(t).alias(c) for c, t in plain.select("y", *draw).dtypes]
         cold = plain.withColumns({"pos": none, "neg": none}).unionByName(parts.select(*keys, "p", *blank, "pos", "neg"))
-    blocks = add_bucket(cold, "p", edges, "block")
-    # An explicit count keeps the parts apart: blocks are few bytes but much work.
-    return blocks.repartition(2 * shuffle_partitions(scored), *keys, "block")
+    return _apart(add_bucket(cold, "p", edges, "block"), keys)
+
+
+def _apart(blocks: DataFrame, keys: list[str]) -> DataFrame:
+    """Blocks are few bytes but much work: an explicit count keeps them from being merged into a task a core.
+
+    A table that was stored has lost it and needs it again.
+    """
+    return blocks.repartition(2 * shuffle_partitions(blocks), *keys, "block")
 
 
 def replicate_metrics(
@@ -513,7 +522,7 @@ def replicate_metrics(
     won = ["_won"] if gain and "auroc" in metrics else []  # then the second look at the blocks, which needs the same sums, counts both
     blocks = _blocks(scored, keys, row_id, n_resamples, seed, mode, stratified, stratum, block_rows, weights, unit)
     if ranked or gain:
-        blocks = stored(blocks)
+        blocks = _apart(stored(blocks), keys)
 
     def sums(block: pd.DataFrame) -> pd.DataFrame:
         parts = []
@@ -598,7 +607,7 @@ def replicate_metrics(
 
         more = (
             blocks.groupBy(*keys, "block")
-            .cogroup(ahead.groupBy(*keys, "block"))
+            .cogroup(_apart(ahead, keys).groupBy(*keys, "block"))
             .applyInPandas(second, f"{kinds}, rep int, " + ", ".join(f"{c} double" for c in [*gain, *won, *ranked]))
         )
         table = table.join(more.groupBy(*group).agg(*[F.sum(c).alias(c) for c in [*gain, *won, *ranked]]), group)
@@ -625,7 +634,7 @@ def replicate_ladder(
     weights = _Weights(n_resamples, seed)
     kinds = _ddl(scored, keys)
     known = scored.where(F.col("y").isNotNull())
-    blocks = stored(_blocks(known, keys, row_id, n_resamples, seed, "exact", stratified, "y", block_rows, weights, unit))
+    blocks = _apart(stored(_blocks(known, keys, row_id, n_resamples, seed, "exact", stratified, "y", block_rows, weights, unit)), keys)
 
     def totals(block: pd.DataFrame) -> pd.DataFrame:
         _, y, drawn = _block_rows(block, weights)
@@ -661,7 +670,7 @@ def replicate_ladder(
             yield pd.DataFrame({**{k: [head[k]] * len(at) for k in keys}, "rep": (reps[j] + 1).astype("int32"), **found})
 
     return (
-        blocks.unionByName(heads, allowMissingColumns=True)
+        _apart(blocks.unionByName(heads, allowMissingColumns=True), keys)
         .groupBy(*keys, "block")
         .applyInPandas(rungs, f"{kinds}, rep int, p double, " + ", ".join(f"{c} long" for c in columns[1:]))
     )
