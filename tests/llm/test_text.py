@@ -163,6 +163,37 @@ def test_model_is_a_distribution_and_beats_the_base(small):
     assert total.sum() + 10 ** model.unknown() == pytest.approx(1, abs=1e-6)
 
 
+def follower_docs(spark, more=()):
+    """Texts in which each word is followed by few; those above 1000 are not learned from."""
+    words = [f"w{k}" for k in range(12)]
+    learned = [" ".join(words[(i + 5 * k) % 12] for k in range(12)) for i in range(40)]
+    return spark.createDataFrame([*enumerate(learned), *((1000 + k, t) for k, t in enumerate(more))], "doc_id long, text string")
+
+
+def test_a_word_is_predicted_by_the_word_before_it(spark):
+    words = [f"w{5 * k % 12}" for k in range(12)]
+    docs = follower_docs(spark, [" ".join(words), " ".join(sorted(words))])
+    rows = {r.doc_id: r for r in pitman_yor.score(docs, learn=F.col("doc_id") < 1000).collect()}
+    assert rows[1000].score > rows[1001].score + 5 and rows[1000].base_score == pytest.approx(rows[1001].base_score)
+
+
+def test_followers_are_a_distribution(spark):
+    words = [*(f"w{k}" for k in range(12)), "unknown"]
+    texts = ["", *words, *(f"{a} {b}" for a in words for b in words)]
+    rows = pitman_yor.score(follower_docs(spark, texts), learn=F.col("doc_id") < 1000).collect()
+    p = {texts[r.doc_id - 1000]: 10**r.score for r in rows if r.doc_id >= 1000}
+    # with x the first words' probabilities, p(b | a) = p(ab) x(b) / (p(b) x(a)) and p(end | a) = p(a) / x(a), which sum to one for every a
+    rates = np.array([[p[f"{a} {b}"] / p[b] for b in words] for a in words])
+    x = np.linalg.solve(np.eye(len(words)) - rates, [p[a] for a in words])
+    assert x.min() > 0 and x.sum() + p[""] == pytest.approx(1, abs=1e-4)
+
+
+def test_scores_do_not_depend_on_chunks_and_buckets(small):
+    a, b = ({r.doc_id: r for r in pitman_yor.score(small, learn=fold() != 1, settings=s).collect()} for s in (pitman_yor.Settings(), pitman_yor.Settings(chunk_bytes=3000, bucket_pairs=200)))
+    assert a.keys() == b.keys()
+    assert all((a[k].n_known, a[k].score) == (b[k].n_known, pytest.approx(b[k].score)) for k in a)
+
+
 def test_scores_without_training(edge, nothing):
     rows = pitman_yor.score(edge, learn=F.lit(False)).collect()
     assert {(r.train_tokens, r.n_known, r.base_score) for r in rows} == {(0, 0, None)} and max(abs(r.score) for r in rows) < 1e-6
