@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from veritally.llm import langid, licenses, pitman_yor, quality, secrets
+from veritally.llm import common, langid, licenses, pitman_yor, quality, secrets
 from veritally.llm.queries import ORACLES, QUERIES, fold, vocabulary
 
 PIECES = "piece_bpe_32k.model"
@@ -343,3 +343,28 @@ def test_licence_model_of_all_lines(spark):
     assert "lost the license" in model.weights
     found = {r.doc_id: r.families for r in licenses.scan(docs, model).collect()}
     assert found.pop(5001) == ["MIT"] and not any(found.values())
+
+
+def test_chunks_are_cut_in_the_worker_that_uses_them(small):
+    s = pitman_yor.Settings(chunk_bytes=3000)
+    apart = pitman_yor.chunked(small, "doc_id", "text", s, fold() != 1)
+    whole = pitman_yor.learned_from(small, "doc_id", "text", fold() != 1)
+    for one, two in (
+        (pitman_yor.words_of_chunks(apart), pitman_yor.words_of_chunks(whole, s)),
+        (pitman_yor.pairs_of_chunks(apart, 7), pitman_yor.pairs_of_chunks(whole, 7, s)),
+    ):
+        assert sorted(map(tuple, one.collect())) == sorted(map(tuple, two.collect()))
+        assert two._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+
+
+def test_workers_give_freed_memory_back():
+    def held():
+        with open("/proc/self/statm") as f:
+            return int(f.read().split()[1]) * 4096
+
+    rows = [bytes([k % 256]) * 2000 for k in range(100_000)]  # too small to be mapped one by one
+    keep = rows[-1]
+    full = held()
+    del rows
+    common.give_back()
+    assert full - held() > 100_000_000 and keep
