@@ -589,3 +589,85 @@ def test_counts_are_those_of_the_cuts(spark):
     found = draws.counts(h1, h2, 0, 2000)
     value = bs.polynomial(h1[:, None], h2[:, None], draws.c)
     assert (found == np.searchsorted(draws.cuts, value, side="right")).all() and found.max() >= 7
+
+
+def blocks_and_points(n_blocks, n, seed=3):
+    """Blocks of rings around pivots, and points with the reach of their own neighbours, as ``nearest_neighbours`` has them."""
+    rng = np.random.default_rng(seed)
+    pivots = rng.random((20, 3))
+    gaps = np.maximum(np.sqrt(((pivots[:, None] - pivots[None]) ** 2).sum(2)), 1e-300)
+    to_pivots = lambda v: np.sqrt(((v[:, None, :] - pivots[None]) ** 2).sum(2))
+    cells = rng.integers(0, 19, n_blocks).astype("int32")  # the last cell has no block
+    lows = rng.random(n_blocks)
+    highs, names = lows + 0.5 / n_blocks, np.array([f"b{k}" for k in range(n_blocks)], object)
+    v = rng.random((n, 3))
+    reach = np.where(np.arange(n) % 50 == 7, math.inf, rng.random(n) * 2 / n_blocks)
+    points = pd.DataFrame({"id": np.arange(n), "v": list(v), "cell": to_pivots(v).argmin(1).astype("int32"), "reach": reach, "block": names[rng.integers(0, n_blocks, n)]})
+    return points, to_pivots, gaps, names, cells, lows, highs
+
+
+def visits_one_by_one(points, to_pivots, gaps, names, cells, lows, highs):
+    d = to_pivots(np.array(points["v"].tolist()))
+    out = set()
+    for row, (i, mine, limit, home) in enumerate(zip(points["id"], points["cell"], points["reach"], points["block"])):
+        plane = (d[row, cells] ** 2 - d[row, mine] ** 2) / (2 * gaps[mine, cells])
+        plane[cells == mine] = 0.0
+        lower = np.maximum(np.maximum(lows - d[row, cells], d[row, cells] - highs), plane)
+        out |= {(i, x) for x in names[(lower <= limit * (1 + 1e-9) + 1e-12) & (names != home)]}
+    return out
+
+
+def test_visits_by_cell_equal_those_of_every_block(monkeypatch):
+    from veritally.operators import neighbours as nn
+
+    monkeypatch.setattr(nn, "LOOKS", 1000)
+    points, *rest = blocks_and_points(400, 1200)
+    frames = list(nn._visits([points[:500], points[500:]], *rest))
+    found = [(i, x) for f in frames for i, x in zip(f["id"], f["target"])]
+    assert len(found) == len(set(found)) and set(found) == visits_one_by_one(points, *rest)
+    assert list(nn._visits([points[:0]], *rest)) == []
+
+
+def test_finding_visits_does_not_look_at_every_block_for_every_point():
+    import time
+
+    from veritally.operators import neighbours as nn
+
+    points, *rest = blocks_and_points(30_000, 2000)
+    points = points[np.isfinite(points["reach"])]
+    began = time.process_time()
+    frames = list(nn._visits([points], *rest))
+    whole = time.process_time() - began
+    few = points[:100]
+    began = time.process_time()
+    expected = visits_one_by_one(few, *rest)
+    each = (time.process_time() - began) * len(points) / len(few)
+    assert {(i, x) for f in frames for i, x in zip(f["id"], f["target"]) if i <= few["id"].max()} == expected
+    assert whole < each / 2
+
+
+def test_a_point_is_no_neighbour_of_its_own_in_a_block_of_k():
+    from veritally.operators import neighbours as nn
+
+    v, ids = np.arange(10.0).reshape(5, 2), np.arange(5) * 3
+    found = nn._nearest(v, ids, np.full(5, np.inf), v, ids, 5)
+    assert len(found) == 20 and (found["q"] != found["nb"]).all()
+    none = nn._nearest(v[:0], ids[:0], np.zeros(0), v, ids, 5)
+    assert len(none) == 0 and list(none.dtypes.astype(str)) == ["int64", "int64", "float64"]
+    limited = nn._nearest(v[:1], ids[:1], np.array([3.0]), v, ids, 5)
+    assert limited["nb"].tolist() == [3]
+
+
+def test_nearest_in_tiles_equals_one_by_one(monkeypatch):
+    from veritally.operators import neighbours as nn
+
+    monkeypatch.setattr(nn, "TILE", 1000)
+    rng = np.random.default_rng(4)
+    v, ids = rng.integers(0, 6, (90, 3)).astype(float), rng.integers(0, 70, 90)  # ties, and ids that repeat
+    reach = np.where(np.arange(90) % 3 == 0, math.inf, rng.random(90) * 4)
+    found = nn._nearest(v, ids, reach, v, ids, 4)
+    expected = []
+    for q in range(90):
+        near = sorted((math.dist(v[q], v[j]), ids[j]) for j in range(90) if ids[j] != ids[q] and math.dist(v[q], v[j]) <= reach[q] + 1e-9)[:4]
+        expected += [(ids[q], i, round(d, 9)) for d, i in near]
+    assert [(a, b, round(d, 9)) for a, b, d in found.itertuples(index=False)] == expected
