@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -368,3 +369,14 @@ def test_workers_give_freed_memory_back():
     del rows
     common.give_back()
     assert full - held() > 100_000_000 and keep
+
+
+def test_a_chunk_numbers_words_as_they_split():
+    texts = [None, "", "  ", "\n", "a BÄ c", "x" * 3_000_000 + " y", None, "A a\x0bA b", " lead", "trail "]
+    own = pitman_yor.Chunk([pa.chunked_array([pa.array(texts[:5]), pa.array(texts[5:])])], 4)
+    words = [[*(t or "").encode().lower().split(), b""] for t in texts]
+    assert own.sizes.tolist() == [len(w) for w in words]
+    flat = [w for ws in words for w in ws]
+    assert own.keys[own.ids].tolist() == pitman_yor.keys_of(flat, len(flat)).tolist()
+    assert own.keys[own.first[own.pair]].tolist() == pitman_yor.keys_of([b"", *flat[:-1]], len(flat)).tolist()
+    assert len(pitman_yor.Chunk([pa.chunked_array([], pa.string())], 4).ids) == 0
