@@ -12,6 +12,7 @@ from catalogue import registry
 from veritally.operators import bootstrap as bs
 from veritally.operators import explain as ex
 from veritally.operators import inference as inf
+from veritally.operators import sensitivity
 from veritally.operators.bootstrap import bootstrap_ci
 from veritally.operators.bounded import bounded, scratch_path
 from veritally.operators.calibration import calibration_fits, integrated_calibration_index
@@ -671,3 +672,35 @@ def test_nearest_in_tiles_equals_one_by_one(monkeypatch):
         near = sorted((math.dist(v[q], v[j]), ids[j]) for j in range(90) if ids[j] != ids[q] and math.dist(v[q], v[j]) <= reach[q] + 1e-9)[:4]
         expected += [(ids[q], i, round(d, 9)) for d, i in near]
     assert [(a, b, round(d, 9)) for a, b, d in found.itertuples(index=False)] == expected
+
+
+def test_imbalance_arms_run_all_rounds(spark, tmp_path, monkeypatch):
+    rows = [(k, k % 7, "FOP"[k % 3], ["1-URGENT", "5-LOW"][k % 2], float(k)) for k in range(60)]
+    orders = spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_orderstatus string, o_orderpriority string, o_totalprice double")
+    orders.write.parquet(str(tmp_path / "orders.parquet"))
+    asked = []
+
+    def fitted(arm, key, dev, roles, target, row_id, params, seed):
+        asked.append((arm.name, make_estimator(key, params, 1.0)))
+        raise InterruptedError
+
+    monkeypatch.setattr(sensitivity, "fit_arm", fitted)
+    with pytest.raises(InterruptedError):
+        registry.all_queries()["sensitivity_imbalance_arms"](spark, str(tmp_path))
+    assert "none" in {a for a, _ in asked} and {(e.getMaxIter(), e.getMaxDepth()) for _, e in asked} == {(500, 5)}
+
+
+def test_arms_come_in_order_however_many_are_fitted_at_a_time(spark, monkeypatch):
+    class Model:
+        def __init__(self, p):
+            self.p = p
+
+        def score(self, df, keep):
+            return df.select(*keep, F.lit(self.p).alias("p"))
+
+    monkeypatch.setattr(sensitivity, "fit_arm", lambda arm, *a: Model(float(arm.name)))
+    df = spark.createDataFrame([(1, 0), (2, 1)], "id long, t int")
+    arms = [sensitivity.Arm("a", str(k)) for k in range(5)]
+    for parallel in (1, 3):
+        found = sensitivity.score_arms(arms, "boosted_depthwise", df, df, None, "t", "id", parallel=parallel).collect()
+        assert [(r.arm, r.y, r.p) for r in found] == [(str(k), y, float(k)) for k in range(5) for y in (0, 1)]
