@@ -1,5 +1,6 @@
 """The paths that only large or skewed tables take, forced on small ones."""
 
+import hashlib
 import itertools
 import math
 
@@ -27,6 +28,7 @@ from veritally.operators.quantiles import exact_quantiles
 from veritally.operators.row_index import stratified_index
 from veritally.operators.running import running
 from veritally.operators.split import ColumnRoles
+from veritally.sources import tables
 from veritally.sources.tables import file_digests, piece_digests
 
 
@@ -704,3 +706,19 @@ def test_arms_come_in_order_however_many_are_fitted_at_a_time(spark, monkeypatch
     for parallel in (1, 3):
         found = sensitivity.score_arms(arms, "boosted_depthwise", df, df, None, "t", "id", parallel=parallel).collect()
         assert [(r.arm, r.y, r.p) for r in found] == [(str(k), y, float(k)) for k in range(5) for y in (0, 1)]
+
+
+@pytest.mark.parametrize("whole", [100, 1 << 24])
+def test_files_larger_than_a_row_are_digested(spark, tmp_path, monkeypatch, whole):
+    sizes = {"none": 0, "small": 10, "equal": 1000, "above it, 100%25 #1": 1001, "large": 9_000_000}
+    data = {n: np.random.default_rng(k).bytes(size) for k, (n, size) in enumerate(sizes.items())}
+    for name, content in data.items():
+        (tmp_path / name).write_bytes(content)
+    monkeypatch.setattr(tables, "WHOLE_BYTES", whole)
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", 1000)  # stands for the 2 GB of a row
+    try:
+        found = {r.path.rsplit("/", 1)[1]: (r.bytes, r.sha256) for r in file_digests(spark, str(tmp_path)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
+    assert found == {n: (len(x), hashlib.sha256(x).hexdigest()) for n, x in data.items() if x}
+    assert file_digests(spark, str(tmp_path / "none")).count() == 0

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -70,10 +71,48 @@ def write_attributions(phis: DataFrame, row_id: str, names: list[str], path: str
     return write_parquet(long.toDF(row_id, "feature", "phi"), path)
 
 
+WHOLE_BYTES = 16 << 20  # larger files are never held as a row
+READ_BYTES = 1 << 22
+
+
+def _opened(uri: str):
+    """A file of one of the stores that Arrow reaches, as a stream."""
+    from pyarrow.fs import FileSystem, LocalFileSystem
+
+    if uri.startswith("file:"):  # Spark writes names as they are, without escapes
+        return LocalFileSystem().open_input_stream("/" + uri[len("file:") :].lstrip("/"))
+    scheme, rest = uri.split("://", 1)
+    store, name = FileSystem.from_uri(f"{'s3' if scheme == 's3a' else scheme}://{quote(rest)}")
+    return store.open_input_stream(name)
+
+
 def file_digests(spark: SparkSession, path: str) -> DataFrame:
-    """path, bytes, sha256 of every file under a path that isn't empty; a file of 2 GB or more can't be one row and raises."""
+    """path, bytes, sha256 of every file under a path that isn't empty, whatever its size.
+
+    A small file is one row that Spark reads. A larger one is listed without its content and streamed by the task that
+    lists it. Stores other than the local one are read through Spark itself as far as Spark's rows reach
+    (``spark.sql.sources.binaryFile.maxLength``, 2 GB); beyond that Arrow's file systems must reach them from the executors.
+    """
     files = spark.read.format("binaryFile").load(path)
-    return files.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    first = files.select("path").head(1)
+    most = int(spark.conf.get("spark.sql.sources.binaryFile.maxLength"))
+    if first and first[0]["path"].startswith("file:"):
+        most = min(most, WHOLE_BYTES)
+    small, large = files.where(F.col("length") <= most), files.where(F.col("length") > most)
+
+    def digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            found = []
+            for uri in rows["path"]:
+                digest = hashlib.sha256()
+                with _opened(uri) as f:
+                    while part := f.read(READ_BYTES):
+                        digest.update(part)
+                found.append(digest.hexdigest())
+            yield rows.assign(sha256=found)
+
+    streamed = large.select("path", F.col("length").alias("bytes")).mapInPandas(digests, "path string, bytes bigint, sha256 string")
+    return small.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256")).unionByName(streamed)
 
 
 def piece_digests(spark: SparkSession, path: str, piece_bytes: int = 64 << 20) -> DataFrame:
@@ -81,7 +120,7 @@ def piece_digests(spark: SparkSession, path: str, piece_bytes: int = 64 << 20) -
 
     Files that aren't empty are listed without their content, and every piece is a row that some task reads on its own.
     The store must be one that Arrow's file systems reach from the executors; ``file_digests`` reads
-    through Spark itself.
+    files of other stores through Spark itself.
     """
     files = spark.read.format("binaryFile").load(path).select("path", F.col("length").alias("bytes"))
     last = F.ceil(F.col("bytes") / piece_bytes) - 1
