@@ -722,3 +722,56 @@ def test_files_larger_than_a_row_are_digested(spark, tmp_path, monkeypatch, whol
         spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
     assert found == {n: (len(x), hashlib.sha256(x).hexdigest()) for n, x in data.items() if x}
     assert file_digests(spark, str(tmp_path / "none")).count() == 0
+
+
+@pytest.mark.parametrize("group_rows", [1 << 17, 100])
+def test_vectors_travel_by_group_of_blocks_where_nothing_is_ruled_out(spark, monkeypatch, group_rows):
+    from veritally.operators import neighbours as nn
+
+    rng = np.random.default_rng(6)
+    v = rng.normal(size=(600, 16)).astype("float32")
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    v[5::60] = -v[4::60]
+    ids = rng.permutation(600)
+    df = spark.createDataFrame([(int(i), x.tolist()) for i, x in zip(ids, v)], "id long, v array<float>")
+    kept = []
+    keep = nn.stored
+    monkeypatch.setattr(nn, "GROUP_ROWS", group_rows)
+    monkeypatch.setattr(nn, "stored", lambda t: kept.append(keep(t)) or kept[-1])
+    found = nearest_neighbours(df, "id", "v", 4, block_rows=20).toPandas().sort_values(["id", "rank"])
+    d = np.sqrt(((v[:, None].astype(float) - v[None]) ** 2).sum(2))
+    np.fill_diagonal(d, np.inf)
+    for a in range(600):
+        best = sorted(range(600), key=lambda b: (d[a, b], ids[b]))[:4]
+        mine = found[found["id"] == ids[a]]
+        assert mine["neighbour_id"].tolist() == [ids[b] for b in best] and mine["distance"].tolist() == pytest.approx([d[a, b] for b in best])
+    assert all(t.groupBy("id").count().agg(F.max("count")).first()[0] == 1 for t in kept if {"id", "v"} <= set(t.columns))
+    visits = next(t for t in kept if "visits" in t.columns).select("id", F.explode("groups").alias("group"))
+    groups = visits.agg(F.count_distinct("group")).first()[0]
+    assert groups >= 600 / max(group_rows, 600 / 4) and visits.count() <= 600 * groups
+
+
+def test_queries_of_blocks_visit_only_theirs():
+    from veritally.operators import neighbours as nn
+
+    rng = np.random.default_rng(7)
+    q, points = rng.integers(0, 5, (40, 3)).astype(float), rng.integers(0, 5, (90, 3)).astype(float)
+    qid, ids, bits = np.arange(40), 100 + rng.permutation(90), rng.choice([0, 5, 63], 90)
+    visits = sum((rng.random(40) < 0.6).astype("uint64") << np.uint64(b) for b in (0, 5, 63))
+    reach = np.where(np.arange(40) % 3 == 0, np.inf, 2.5)
+    found = nn._nearest_in_blocks(q, qid, reach, visits, points, ids, bits, 4)
+    for a in range(40):
+        own = [(math.dist(q[a], points[b]), ids[b]) for b in range(90) if int(visits[a]) >> int(bits[b]) & 1]
+        best = sorted(x for x in own if x[0] <= reach[a] + 1e-9)[:4]
+        mine = found[found["q"] == a].sort_values(["distance", "nb"])
+        assert mine["nb"].tolist() == [i for _, i in best] and mine["distance"].tolist() == pytest.approx([x for x, _ in best])
+
+
+def test_a_stored_table_leaves_no_shuffle_files(spark):
+    from veritally.operators import bounded as bo
+
+    before = spark.conf.get(bo.CLEANUP)
+    with bo.shuffles_dropped(spark), bo.shuffles_dropped(spark):
+        assert spark.conf.get(bo.CLEANUP) == "true"
+    assert spark.conf.get(bo.CLEANUP) == before
+    assert bo.stored(spark.range(50).repartition(3, "id").groupBy("id").count()).count() == 50
