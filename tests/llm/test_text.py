@@ -380,3 +380,48 @@ def test_a_chunk_numbers_words_as_they_split():
     assert own.keys[own.ids].tolist() == pitman_yor.keys_of(flat, len(flat)).tolist()
     assert own.keys[own.first[own.pair]].tolist() == pitman_yor.keys_of([b"", *flat[:-1]], len(flat)).tolist()
     assert len(pitman_yor.Chunk([pa.chunked_array([], pa.string())], 4).ids) == 0
+
+
+def test_pairs_are_seated_anew_in_every_sweep(spark, monkeypatch):
+    asked, seated = [], pitman_yor.seated_pairs
+
+    def spied(counted, followers, turn=1, known=None):
+        found = seated(counted, followers, turn, known)
+        asked.append((turn, known is None, {r.key: (r.customers, r.more) for r in found.collect()}))
+        return found
+
+    monkeypatch.setattr(pitman_yor, "seated_pairs", spied)
+    rows = pitman_yor.score(follower_docs(spark, ["w1 w6"]), learn=F.col("doc_id") < 1000, settings=pitman_yor.Settings(bucket_pairs=100)).collect()
+    assert len(rows) == 41 and [a[:2] for a in asked] == [(1, True), (2, False), (3, False)]
+    assert asked[0][2] != asked[1][2] != asked[2][2] and asked[0][2].keys() == asked[1][2].keys() == asked[2][2].keys()
+
+
+def test_pairs_are_seated_by_the_sweep_before(spark):
+    docs, s = follower_docs(spark), pitman_yor.Settings()
+    texts = pitman_yor.learned_from(docs, "doc_id", "text", F.lit(True))
+    pairs = pitman_yor.counted_pairs(pitman_yor.pairs_of_chunks(texts, 3, s), 3).cache()
+    first = pitman_yor.first_words(pairs).cache()
+    counts = [r["count"] for r in first.groupBy("bucket", "key").count().collect()]
+    words = docs.select(F.explode(F.split(F.concat_ws(" ", "text", F.lit("\n")), " ")).alias("word"))
+    words = words.select(F.when(F.col("word") == "\n", F.lit("")).otherwise(F.col("word")).cast("binary").alias("word")).distinct().select(pitman_yor.key())
+    buckets = spark.range(3).select(F.col("id").alias("bucket"))
+    followers = pitman_yor.Followers(520, 0.5, 1.0, s)
+
+    def customers(log, more):
+        logs = words.crossJoin(buckets).select("bucket", "key", F.lit(log).cast("float").alias("log"))
+        known = logs.unionByName(first.withColumn("more", F.lit(more).cast("long")), allowMissingColumns=True)
+        return sum(r.customers for r in pitman_yor.seated_pairs(pairs, followers, 2, known).collect())
+
+    distinct = len({(a, b) for r in docs.collect() for a, b in zip(["", *r.text.split()], [*r.text.split(), ""])})
+    few, some, many = customers(-9.0, 0), customers(-1.0, 0), customers(-1.0, 100)
+    assert set(counts) == {1} and few == distinct < some < many <= 40 * 13
+
+
+def test_numbers_come_back_as_they_were_packed():
+    rng = np.random.default_rng(3)
+    for x in (rng.integers(0, 200, 7), rng.integers(0, 70_000, 5), np.zeros(3, np.int64), np.array([2**40, 0])):
+        assert pitman_yor.widened(pa.chunked_array([[pitman_yor.narrow(x), b""]], pa.binary()), [len(x), 0]).tolist() == x.tolist()
+    logs = -rng.random((2, 50)) * 9
+    a, b = map(pitman_yor.log_steps, logs)
+    assert np.abs(a / pitman_yor.STEPS - logs[0]).max() <= 0.5 / pitman_yor.STEPS
+    assert (a + pitman_yor.changed(pitman_yor.changes(b, a)) == b).all() and pitman_yor.changes(b, a).min() >= 0
